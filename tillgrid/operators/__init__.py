@@ -10,7 +10,6 @@ from tillgrid.operators.aggregates import (
     flag_matrix,
     imbalance_flag,
     kpis,
-    largest_per_dimension,
     mean_by,
     mean_pivot,
     profile_counts,
@@ -30,7 +29,7 @@ from tillgrid.operators.filters import (
 )
 from tillgrid.operators.joins import duplicate_keys, join_dim, map_lookup
 from tillgrid.operators.ordering import order_asc, order_by_key, order_desc, preview, top_k
-from tillgrid.operators.points import group_points, map_points, scatter_grid, scatter_points
+from tillgrid.operators.points import category_grid, group_points, map_points, scatter_grid, scatter_points
 from tillgrid.operators.reshape import dense_counts, melt
 from tillgrid.operators.shares import flag_max, pct_change, share_of_total
 from tillgrid.operators.statistics import (

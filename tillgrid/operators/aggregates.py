@@ -59,19 +59,6 @@ def profile_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return counts.select("dimension", value.alias("value"), "n").where(F.col("value").isNotNull())
 
 
-def largest_per_dimension(counts: DataFrame) -> DataFrame:
-    """Top value of each dimension of ``profile_counts`` with its share; ties by value."""
-    best = F.min(F.struct((-F.col("n")).alias("minus_n"), F.col("value")))
-    top = counts.groupBy("dimension").agg(best.alias("best"), F.sum("n").alias("total"))
-    n = -F.col("best.minus_n")
-    return top.select(
-        "dimension",
-        F.col("best.value").alias("value"),
-        n.alias("n"),
-        ratio(n * F.lit(100.0), F.col("total")).alias("share"),
-    )
-
-
 def flag_matrix(df: DataFrame, cols: Sequence[str], values: Sequence[str] | None = None) -> DataFrame:
     """Counts of each value in each flag column: one row per column, absent values 0.
 
@@ -128,6 +115,13 @@ def sum_by(
     return kept.groupBy(*map(column, keys)).agg(*totals)
 
 
+def _mean_of(df: DataFrame, name: str) -> Column:
+    if isinstance(df.schema[name].dataType, T.DecimalType):
+        # The exact sum over the count: avg of a decimal would be cut to a few places.
+        return ratio(F.sum(column(name)), F.count(column(name)))
+    return F.avg(column(name)).cast("double")
+
+
 def mean_by(
     df: DataFrame,
     keys: str | Iterable[str],
@@ -140,7 +134,7 @@ def mean_by(
     kept = with_keys(df, keys, keep_null_key)
     outs = []
     for out, name in means.items():
-        mean = F.avg(column(name)).cast("double")
+        mean = _mean_of(df, name)
         outs.append((round_even(mean, rounding) if rounding is not None else mean).alias(out))
     return kept.groupBy(*map(column, keys)).agg(*outs)
 
@@ -202,7 +196,7 @@ def mean_pivot(df: DataFrame, row: str, col: str, value: str, values: Sequence[s
     """Mean per (row, column) laid out wide; absent cells stay NULL."""
     kept = with_keys(df, [row, col])
     wide = kept.groupBy(column(row)).pivot(col, list(values) if values else None)
-    return wide.agg(F.avg(column(value)).cast("double"))
+    return wide.agg(_mean_of(df, value))
 
 
 def crosstab_counts(df: DataFrame, row: str, col: str, values: Sequence[str] | None = None) -> DataFrame:

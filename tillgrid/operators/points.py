@@ -30,6 +30,15 @@ def scatter_grid(
     return cells.agg(F.count(F.lit(1)).alias("n"))
 
 
+def category_grid(df: DataFrame, x: str, y: str, y_width: float, hue: str | None = None) -> DataFrame:
+    """Points per value of a text axis and cell of a numeric one."""
+    hues = [column(hue)] if hue else []
+    cells = df.where(column(x).isNotNull() & column(y).isNotNull()).groupBy(
+        *hues, column(x), F.floor(column(y) / F.lit(float(y_width))).cast("bigint").alias("y_cell")
+    )
+    return cells.agg(F.count(F.lit(1)).alias("n"))
+
+
 def map_points(df: DataFrame, lat: str, lon: str, columns: Mapping[str, Column]) -> DataFrame:
     """One marker per located row: coordinates and the named expressions (popup, class)."""
     placed = df.where(column(lat).isNotNull() & column(lon).isNotNull())
