@@ -324,6 +324,7 @@ panels(
 union all select * from (select 'largest_industry', industry, total_population from industries
   order by total_population desc, industry limit 1)""",
         "region_preview": "select region, population from regions order by region limit 5",
+        "region_industry_preview": "select * from region_industry order by all nulls last limit 5",
         "industry_by_region": _LONG + mean_ci("l", "region, industry", '"count"'),
     },
 )

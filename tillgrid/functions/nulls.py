@@ -42,10 +42,13 @@ def nan_to_null(col: Column) -> Column:
 
 
 def is_in(col: Column, values: Iterable) -> Column:
-    """List membership where a None in the list matches NULL."""
+    """Filter condition for list membership, where a None in the list matches NULL.
+
+    Without a None it is a plain IN, which reaches the scan and prunes partitions.
+    """
     values = list(values)
     present = [v for v in values if v is not None]
     hit = col.isin(*present) if present else F.lit(False)
     if len(present) < len(values):
         hit = hit | col.isNull()
-    return F.coalesce(hit, F.lit(False))
+    return hit

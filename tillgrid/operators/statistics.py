@@ -96,28 +96,32 @@ def _poisson_weight(row_key: Sequence[str]) -> Column:
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair in long form; each pair drops its own nulls.
+    """Pearson correlation of every pair of columns in long form; each pair drops its own nulls.
 
-    One aggregate computes all pairs in one scan and moves one row per task.
+    Each row gives one record per column pair, and tasks cut those to one row per pair before
+    the shuffle. A wide aggregate of all pairs is slower from about seven columns on, and
+    ``corr`` itself fails on a constant column in ANSI mode, where this gives NULL.
     """
     clean = df.select(*[nan_to_null(column(c).cast("double")).alias(c) for c in cols])
-    outs = []
-    for i, a in enumerate(cols):
-        outs.append(F.when(F.var_pop(column(a)) > 0, F.lit(1.0)).alias(f"c_{i}_{i}"))
-        for j in range(i + 1, len(cols)):
-            r = nan_to_null(F.corr(column(a), column(cols[j])))
-            outs.append(r.alias(f"c_{i}_{j}"))
-    row = clean.agg(*outs)
-    cells = [
-        F.struct(
-            F.lit(a).alias("col_a"),
-            F.lit(b).alias("col_b"),
-            F.col(f"c_{min(i, j)}_{max(i, j)}").alias("corr"),
-        )
-        for i, a in enumerate(cols)
-        for j, b in enumerate(cols)
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    records = [
+        F.struct(F.lit(p).alias("pair"), column(cols[i]).alias("x"), column(cols[j]).alias("y"))
+        for p, (i, j) in enumerate(pairs)
     ]
-    return row.select(F.inline(F.array(*cells)))
+    long = clean.select(F.inline(F.array(*records))).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    spread = F.sqrt(F.var_pop("x")) * F.sqrt(F.var_pop("y"))
+    r = F.try_divide(F.covar_pop("x", "y"), spread)
+    bounded = F.when(r.isNotNull(), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
+    per_pair = long.groupBy("pair").agg(bounded.alias("r"))
+    # One entry per column pair.
+    found = per_pair.agg(F.map_from_entries(F.collect_list(F.struct("pair", "r"))).alias("found"))
+    cells = []
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            r = F.try_element_at(F.col("found"), F.lit(pairs.index((min(i, j), max(i, j)))))
+            r = F.when(r.isNotNull(), F.lit(1.0)) if i == j else r
+            cells.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), r.alias("corr")))
+    return found.select(F.inline(F.array(*cells)))
 
 
 def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:

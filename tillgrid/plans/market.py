@@ -52,7 +52,9 @@ def market_report(
         panels["region_preview"] = lambda: op.preview(regions, 5, regions.columns)
     # The frame is empty where its bundle could not be loaded; then there is nothing to unpivot.
     if region in region_industry.columns:
-        panels["region_industry_preview"] = lambda: op.preview(region_industry, 5, region)
+        panels["region_industry_preview"] = lambda: op.preview(
+            region_industry, 5, [region, *(c for c in region_industry.columns if c != region)]
+        )
         panels["industry_by_region"] = lambda: op.mean_ci_by(
             industry_by_region(region_industry, region), [region, "industry"], "count"
         )
