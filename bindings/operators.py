@@ -44,7 +44,7 @@ group by o_custkey order by revenue desc, o_custkey limit 10
 """)
 def top_customers_by_revenue(spark, sf):
     orders = op.filter_in(table(spark, sf, "orders"), {"o_orderstatus": ["F", "O"]})
-    return op.top_k(op.sum_by(orders, "o_custkey", {"revenue": "o_totalprice"}), "revenue", 10, "o_custkey")
+    return op.top_k(op.sum_by(orders, "o_custkey", {"revenue": "o_totalprice"}, money=True), "revenue", 10, "o_custkey")
 
 
 @query("""
@@ -175,7 +175,7 @@ select l_suppkey, cast(sum(cast(l_extendedprice as decimal(18,2))) as double) as
 from lineitem group by 1
 """)
 def sums_by_branch(spark, sf):
-    return op.sum_by(table(spark, sf, "lineitem"), "l_suppkey", {"gross": "l_extendedprice", "quantity": "l_quantity"})
+    return op.sum_by(table(spark, sf, "lineitem"), "l_suppkey", {"gross": "l_extendedprice", "quantity": "l_quantity"}, money=True)
 
 
 @query("""
@@ -188,10 +188,10 @@ def net_flow_by_product(spark, sf):
     lines = table(spark, sf, "lineitem").select("l_partkey", flow.alias("flow"))
     # Sums per part first: one row per part is joined, and a part sold in a third of all
     # lines is no larger than any other.
-    per_part = op.sum_by(lines, "l_partkey", {"flow": "flow"})
+    per_part = op.sum_by(lines, "l_partkey", {"flow": "flow"}, money=True)
     parts = table(spark, sf, "part").select("p_partkey", "p_type")
     typed = per_part.join(parts, per_part.l_partkey == parts.p_partkey)
-    return op.order_desc(op.sum_by(typed, "p_type", {"net_flow": "flow"}), "net_flow", "p_type")
+    return op.order_desc(op.sum_by(typed, "p_type", {"net_flow": "flow"}, money=True), "net_flow", "p_type")
 
 
 @query("""
@@ -315,7 +315,7 @@ def score_group_top(spark, sf):
     scored = per_customer.join(customers, per_customer.o_custkey == customers.c_custkey)
     score = fn.engagement_score(F.col("n_orders"), F.col("n_lines"), F.col("months"))
     scored = scored.select(fn.round_even(score, 1).alias("score"), "c_mktsegment", "c_acctbal")
-    sums = op.sum_by(scored, ["score", "c_mktsegment"], {"total_balance": "c_acctbal"})
+    sums = op.sum_by(scored, ["score", "c_mktsegment"], {"total_balance": "c_acctbal"}, money=True)
     return op.top_k(sums, "total_balance", 10, ["score", "c_mktsegment"])
 
 
@@ -447,10 +447,10 @@ select p_brand, revenue, round(100 * revenue / sum(revenue) over (), 6) as perce
   from lineitem join part on l_partkey = p_partkey group by 1)
 """)
 def share_of_total(spark, sf):
-    per_part = op.sum_by(table(spark, sf, "lineitem"), "l_partkey", {"revenue": "l_extendedprice"})
+    per_part = op.sum_by(table(spark, sf, "lineitem"), "l_partkey", {"revenue": "l_extendedprice"}, money=True)
     parts = table(spark, sf, "part").select("p_partkey", "p_brand")
     branded = per_part.join(parts, per_part.l_partkey == parts.p_partkey)
-    brands = op.sum_by(branded, "p_brand", {"revenue": "revenue"})
+    brands = op.sum_by(branded, "p_brand", {"revenue": "revenue"}, money=True)
     return rounded(op.order_desc(op.share_of_total(brands, "revenue"), "revenue", "p_brand"), "percentage")
 
 

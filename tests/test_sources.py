@@ -44,6 +44,13 @@ def test_bad_number_fails_when_read(spark, tmp_path):
         src.read_table(spark, path, SMALL).collect()
 
 
+def test_amounts_are_never_rounded_unseen(spark, tmp_path):
+    path = write(tmp_path / "a.csv", "Name,Score (5.0),Opened,Amount\nx,1,2024-01-01,1.005\n")
+    with pytest.raises(Exception, match="amount is not decimal"):
+        src.read_table(spark, path, SMALL).collect()
+    assert src.read_table(spark, path, SMALL.with_money("double")).first()["amount"] == 1.005
+
+
 def test_strict_date_fails_when_read(spark, tmp_path):
     path = write(tmp_path / "a.csv", "Employee ID,JoiningDate,Branch,Department,Position,Gender,Age,IncomeLevelNumeric,EducationLevel\n1,then,b,d,p,g,30,1,e\n")
     with pytest.raises(Exception, match="not a timestamp"):

@@ -100,10 +100,13 @@ def sum_by(
     keys: str | Iterable[str],
     sums: Mapping[str, str],
     rounding: int | None = None,
-    money: bool = True,
+    money: bool = False,
     keep_null_key: bool = False,
 ) -> DataFrame:
-    """Sums per key, ``sums`` maps output name to column; doubles sum as exact cents if ``money``."""
+    """Sums per key, ``sums`` maps output name to column.
+
+    ``money`` says the doubles are amounts with two decimals, to be summed exactly as cents.
+    """
     keys = name_list(keys)
     kept = with_keys(df, keys, keep_null_key)
     totals = []

@@ -55,6 +55,9 @@ def _typed(raw: DataFrame, header: str, field: Field, tokens: tuple[str, ...], d
             parsed = col.try_cast(field.dtype)
             if field.mode == "strict":
                 bad = col.isNotNull() & parsed.isNull()
+                if field.dtype.startswith("decimal"):
+                    # An amount with more decimals than declared must not be rounded unseen.
+                    bad = bad | (parsed != col.try_cast("decimal(38,18)"))
                 message = F.concat(F.lit(f"{field.name} is not {field.dtype}: "), col)
                 parsed = F.when(bad, F.raise_error(message)).otherwise(parsed)
             col = parsed

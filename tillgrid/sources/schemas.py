@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import types as T
 
@@ -25,6 +25,12 @@ class Dataset:
     name: str
     fields: tuple[Field, ...]
 
+    def with_money(self, dtype: str) -> Dataset:
+        """The same dataset with amounts of another type, where two decimals are not enough."""
+        return replace(
+            self, fields=tuple(replace(f, dtype=dtype) if f.dtype == MONEY else f for f in self.fields)
+        )
+
     def schema(self) -> T.StructType:
         """Schema of the conformed frame with every column present."""
         schema = T.StructType()
