@@ -27,7 +27,7 @@ def money(col: Column) -> Column:
 
 
 def day(col: Column) -> Column:
-    return F.date_format(col, "yyyy-MM-dd")
+    return col.cast("date").cast("string")
 
 
 def pick(names, at: Column) -> Column:
@@ -43,7 +43,7 @@ def accounts(spark, sf) -> DataFrame:
     raw = o.select(
         F.concat(F.lit("C"), F.col("o_custkey")).alias("Customer ID"),
         F.when(priority != "3-MEDIUM", priority).otherwise("n/a").alias("Account Type"),
-        F.when(price < 20000, "pending").otherwise(day(F.col("o_orderdate"))).alias("Opening Date"),
+        F.when(price >= 20000, F.col("o_orderdate")).alias("Opening Date"),
         F.when(status == "F", "Yes").when(status == "O", "No").otherwise("NA").alias("Active Account"),
         F.when(status == "F", "Active").when(status == "O", "Dormant").otherwise("Closed").alias("Status"),
         age.alias("Account Age (Years)"),
@@ -61,7 +61,7 @@ def accounts(spark, sf) -> DataFrame:
         (amount - 250000).alias("Current Balance"),
         (price / 1000).alias("Activity Score"),
     )
-    return plans.prepare_accounts(src.conform(raw, src.ACCOUNTS, "yyyy-MM-dd"))
+    return plans.prepare_accounts(src.conform(raw, src.ACCOUNTS))
 
 
 ACCOUNTS_SQL = """accounts as (

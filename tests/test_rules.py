@@ -71,8 +71,17 @@ def test_lenient_dates_give_null_and_strict_dates_fail(spark):
     lenient = df.select(fn.parse_ts(F.col("t"), "yyyy-MM-dd")).collect()
     assert [r[0] for r in lenient] == [dt.datetime(2024, 1, 31), None, None, None]
     assert [r[0] for r in df.select(fn.parse_ts(F.col("t"))).collect()][:2] == [dt.datetime(2024, 1, 31), None]
-    with pytest.raises(Exception, match="not a timestamp"):
-        df.select(fn.parse_ts(F.col("t"), "yyyy-MM-dd", "strict")).collect()
+    assert [r[0] for r in df.select(fn.parse_ts(F.col("t"), "dd/MM/yyyy")).collect()] == [
+        None,
+        dt.datetime(2024, 1, 31),
+        None,
+        None,
+    ]
+    odd = frame(spark, "t string", ("2024-1-31",), ("2024-01-31 10:00",), (" 2024-01-31",), ("2024-01-31\n",))
+    assert [r[0] for r in odd.select(fn.parse_ts(F.col("t"), "yyyy-MM-dd")).collect()] == [None] * 4
+    for fmt in ("yyyy-MM-dd", "dd/MM/yyyy", None):
+        with pytest.raises(Exception, match="not a timestamp"):
+            df.select(fn.parse_ts(F.col("t"), fmt, "strict")).collect()
     with pytest.raises(ValueError):
         fn.parse_ts(F.col("t"), mode="maybe")
 

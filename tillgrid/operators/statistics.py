@@ -81,18 +81,16 @@ def mean_ci_by(
 
 
 def _poisson_weight(row_key: Sequence[str]) -> Column:
-    """Poisson(1) draw: how many cumulative probabilities lie at or below a hashed uniform."""
+    """Poisson(1) draw: the first count whose cumulative probability exceeds a hashed uniform."""
     bits = F.shiftrightunsigned(F.xxhash64(*row_key, F.col("replicate")), 11)
     uniform = bits.cast("double") / F.lit(float(2**53))
-    cumulative, term, total = [], math.exp(-1.0), 0.0
+    weight, term, total = None, math.exp(-1.0), 0.0
     for k in range(18):
         total += term
-        cumulative.append(total)
+        below = uniform < F.lit(total)
+        weight = F.when(below, F.lit(k)) if weight is None else weight.when(below, F.lit(k))
         term /= k + 1
-    weight = F.lit(0)
-    for c in cumulative:
-        weight = weight + (uniform >= F.lit(c)).cast("int")
-    return weight
+    return weight.otherwise(F.lit(18))
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -158,11 +156,12 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
     )
 
 
-def kde(df: DataFrame, col: str, grid: int = 200) -> DataFrame:
+def kde(df: DataFrame, col: str, grid: int = 200, block: int = 20) -> DataFrame:
     """Gaussian density on an even grid from minimum to maximum, bandwidth sd·n^(-1/5).
 
-    Each row adds to the grid points its kernel reaches, and the sums are cut to one row per
-    grid point in every task. The bandwidth shrinks as rows grow, and with it the reach.
+    Each row meets the blocks of grid points its kernel reaches and adds to all points of a
+    block at once; tasks cut the sums to one row per block. The bandwidth shrinks as rows
+    grow, and with it the reach.
     """
     v = nan_to_null(column(col).cast("double"))
     rows = df.select(v.alias("v")).where(F.col("v").isNotNull())
@@ -176,18 +175,29 @@ def kde(df: DataFrame, col: str, grid: int = 200) -> DataFrame:
     )
     s = shape.scalar()
     n, lo, step, h = (s.getField(x) for x in ("n", "lo", "step", "h"))
+    blocks = -(-grid // block)
     reach = h * F.lit(KERNEL_REACH)
-    first = F.greatest(F.ceil(F.try_divide(F.col("v") - reach - lo, step)), F.lit(0))
-    last = F.least(F.floor(F.try_divide(F.col("v") + reach - lo, step)), F.lit(grid - 1))
+    width = step * F.lit(float(block))
+    first = F.greatest(F.floor(F.try_divide(F.col("v") - reach - lo, width)), F.lit(0))
+    last = F.least(F.floor(F.try_divide(F.col("v") + reach - lo, width)), F.lit(blocks - 1))
     reached = rows.select("v", first.alias("first"), last.alias("last")).where(F.col("first") <= F.col("last"))
-    points = reached.select("v", F.explode(F.sequence("first", "last")).alias("point"))
-    z = (lo + F.col("point") * step - F.col("v")) / h
-    sums = points.groupBy("point").agg(F.sum(F.exp(z * z * F.lit(-0.5))).alias("mass"))
-    # `sums` has one row per grid point at most.
-    dense = df.sparkSession.range(grid).withColumnRenamed("id", "point")
-    dense = dense.join(F.broadcast(sums), "point", "left")
+    met = reached.select("v", F.explode(F.sequence("first", "last")).alias("block"))
+    # Distances in bandwidths: of the block's first point, and from one point to the next.
+    z = (lo + F.col("block") * width - F.col("v")) / h
+    met = met.select("block", z.alias("z"), (step / h).alias("d"))
+    masses = []
+    for j in range(block):
+        zj = F.col("z") + F.col("d") * F.lit(float(j))
+        masses.append(F.sum(F.exp(zj * zj * F.lit(-0.5))).alias(f"mass_{j}"))
+    # One row per block at most.
+    sums = met.groupBy("block").agg(*masses)
+    dense = df.sparkSession.range(blocks).withColumnRenamed("id", "block").join(F.broadcast(sums), "block", "left")
+    cells = [
+        F.struct((F.col("block") * block + j).alias("point"), F.col(f"mass_{j}").alias("mass")) for j in range(block)
+    ]
+    points = dense.select(F.inline(F.array(*cells))).where(F.col("point") < grid)
     norm = n * h * F.lit(math.sqrt(2 * math.pi))
-    return dense.select(
+    return points.select(
         "point",
         (lo + F.col("point") * step).alias("x"),
         F.try_divide(F.coalesce(F.col("mass"), F.lit(0.0)), norm).alias("density"),

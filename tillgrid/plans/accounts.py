@@ -42,10 +42,13 @@ def accounts_report(
     every = accounts
     chosen = chosen_accounts(accounts, years, types)
     flows = {"deposits": "total_deposits", "withdrawals": "total_withdrawals"}
-    # One grouping serves the three product panels; each keeps only the sums it shows.
-    products = op.sum_by(every, "product_code", flows | {"net_flow": "net_flow", "interest": "interest_earned"})
-    interest = op.sum_by(every, "customer_id", {"interest": "interest_earned"})
-    yearly = op.mean_by(chosen, "year_opened", {"mean_balance": "current_balance"})
+
+    def interest_by(key: str) -> DataFrame:
+        return op.sum_by(every, key, {"interest": "interest_earned"})
+
+    def yearly() -> DataFrame:
+        return op.mean_by(chosen, "year_opened", {"mean_balance": "current_balance"})
+
     return Panels(
         {
             "year_options": lambda: op.domain(every, "year_opened"),
@@ -55,18 +58,20 @@ def accounts_report(
             "by_year": lambda: op.value_counts(chosen, "year_opened", order="key"),
             "alerts": lambda: op.flag_matrix(chosen, ALERTS, alert_values),
             "branch_flows": lambda: op.order_by_key(op.sum_by(every, "branch", flows), "branch"),
-            "product_flows": lambda: op.order_by_key(products.select("product_code", *flows), "product_code"),
+            "product_flows": lambda: op.order_by_key(op.sum_by(every, "product_code", flows), "product_code"),
             "age_by_status": lambda: op.value_counts(chosen, ["account_age_years", "status"], order="key"),
-            "product_net_flow": lambda: op.order_desc(products.select("product_code", "net_flow"), "net_flow", "product_code"),
-            "product_interest": lambda: op.order_desc(products.select("product_code", "interest"), "interest", "product_code"),
-            "top_customers": lambda: op.top_k(interest, "interest", top, "customer_id"),
+            "product_net_flow": lambda: op.order_desc(
+                op.sum_by(every, "product_code", {"net_flow": "net_flow"}), "net_flow", "product_code"
+            ),
+            "product_interest": lambda: op.order_desc(interest_by("product_code"), "interest", "product_code"),
+            "top_customers": lambda: op.top_k(interest_by("customer_id"), "interest", top, "customer_id"),
             "activity_by_type": lambda: op.order_asc(
                 op.mean_by(chosen, "account_type", {"mean_activity": "activity_score"}), "mean_activity", "account_type"
             ),
             "balance_histogram": lambda: op.histogram(chosen, "current_balance", 30),
             "balance_density": lambda: op.kde(chosen, "current_balance", 200),
-            "balance_by_year": lambda: op.order_by_key(yearly, "year_opened"),
-            "balance_growth": lambda: op.pct_change(yearly, "year_opened", "mean_balance", "growth_pct"),
+            "balance_by_year": lambda: op.order_by_key(yearly(), "year_opened"),
+            "balance_growth": lambda: op.pct_change(yearly(), "year_opened", "mean_balance", "growth_pct"),
             "balance_interest_points": lambda: op.scatter_points(every, "current_balance", "interest_earned"),
             "balance_interest_grid": lambda: op.scatter_grid(
                 every, "current_balance", "interest_earned", balance_cell, interest_cell

@@ -28,15 +28,15 @@ def agents_report(
         F.col("monthly_transactions"), F.col("active_customer_base"), F.col("months_active")
     )
     scored = agents.withColumn("engagement_score", score)
-    by_score = scored
-    if score_places is not None:
-        by_score = scored.withColumn("engagement_score", round_even(F.col("engagement_score"), score_places))
-    summary = op.sum_by(
-        by_score, ["engagement_score", "performance_tier"], {"total_monthly_volume_ghs": "monthly_volume_ghs"}
-    )
     figures = ("monthly_transactions", "monthly_volume_ghs", "monthly_commission_ghs")
-    regions = op.sum_by(agents, "region", {c: c for c in figures}, rounding=2)
-    region_means = op.mean_by(agents, "region", {"mean_monthly_transactions": "monthly_transactions"}, rounding=2)
+
+    def by_score() -> DataFrame:
+        rows = scored
+        if score_places is not None:
+            rows = rows.withColumn("engagement_score", round_even(F.col("engagement_score"), score_places))
+        sums = {"total_monthly_volume_ghs": "monthly_volume_ghs"}
+        return op.sum_by(rows, ["engagement_score", "performance_tier"], sums)
+
     popup = describe_row(
         [
             "<b>ID:</b> ",
@@ -64,9 +64,15 @@ def agents_report(
             agents, "commission_rate_pct", "monthly_volume_ghs", rate_cell, volume_cell, "performance_tier"
         ),
         "regions": lambda: op.value_counts(agents, "region"),
-        "region_totals": lambda: op.order_desc(regions, "monthly_transactions", "region"),
+        "region_totals": lambda: op.order_desc(
+            op.sum_by(agents, "region", {c: c for c in figures}, rounding=2), "monthly_transactions", "region"
+        ),
         # The chart is titled an average but draws the total above; this is the average.
-        "region_mean_transactions": lambda: op.order_desc(region_means, "mean_monthly_transactions", "region"),
+        "region_mean_transactions": lambda: op.order_desc(
+            op.mean_by(agents, "region", {"mean_monthly_transactions": "monthly_transactions"}, rounding=2),
+            "mean_monthly_transactions",
+            "region",
+        ),
         "map_centre": lambda: op.kpis(agents, {"lat": F.avg("gps_latitude"), "lon": F.avg("gps_longitude")}),
         "map_points": lambda: op.map_points(agents, "gps_latitude", "gps_longitude", {"popup": popup}),
         "map_clusters": lambda: op.group_points(agents, "gps_latitude", "gps_longitude", map_cell),
@@ -95,7 +101,7 @@ def agents_report(
             scored, "engagement_score", "monthly_volume_ghs", score_cell, volume_cell, "performance_tier"
         ),
         "engagement_summary": lambda: op.top_k(
-            summary, "total_monthly_volume_ghs", 10, ["engagement_score", "performance_tier"]
+            by_score(), "total_monthly_volume_ghs", 10, ["engagement_score", "performance_tier"]
         ),
     }
     if "compliance_score" in agents.columns:

@@ -67,10 +67,18 @@ def customers_report(
     customers: DataFrame, untapped_below: float = 10, tenure_cell: float = 1, income_cell: float = 500
 ) -> Panels:
     """Panels of a ``prepare_customers`` frame; those on income need an ``income`` column."""
-    sectors = op.value_shares(customers, "employment_sector")
-    regions = op.value_counts(customers, "region", order=None)
-    joined = op.value_counts(customers, "year_joined", order=None)
-    segments = op.dense_counts(customers, F.col("segment"), TENURE_LABELS)
+
+    def counts(col: str) -> DataFrame:
+        return op.value_counts(customers, col, order=None)
+
+    def sectors() -> DataFrame:
+        shares = op.value_shares(customers, "employment_sector")
+        return shares.withColumn("flag", flag_below(F.col("share"), untapped_below))
+
+    def segments() -> DataFrame:
+        dense = op.dense_counts(customers, F.col("segment"), TENURE_LABELS)
+        return dense.withColumn("flag", flag_first_segment(F.col("ordinal")))
+
     panels = {
         "growth": lambda: op.annual_growth_avg(customers, "customer_id", "customer_since"),
         "kpis": lambda: op.kpis(
@@ -81,16 +89,14 @@ def customers_report(
                 "mean_tenure": F.avg("tenure_years"),
             },
         ),
-        "sector_penetration": lambda: op.order_asc(
-            sectors.withColumn("flag", flag_below(F.col("share"), untapped_below)), "share", "employment_sector"
-        ),
-        "regions": lambda: op.order_desc(op.flag_max(regions, "n"), "n", "region"),
-        "strongest_region": lambda: op.arg_max(regions, "region", "n"),
+        "sector_penetration": lambda: op.order_asc(sectors(), "share", "employment_sector"),
+        "regions": lambda: op.order_desc(op.flag_max(counts("region"), "n"), "n", "region"),
+        "strongest_region": lambda: op.arg_max(counts("region"), "region", "n"),
         "gender": lambda: op.value_shares(customers, "gender"),
         "gender_balance": lambda: op.imbalance_flag(customers, "gender"),
-        "segments": lambda: segments.withColumn("flag", flag_first_segment(F.col("ordinal"))),
-        "acquisition": lambda: op.order_by_key(joined, "year_joined"),
-        "peak_year": lambda: op.arg_max(joined, "year_joined", "n"),
+        "segments": segments,
+        "acquisition": lambda: op.order_by_key(counts("year_joined"), "year_joined"),
+        "peak_year": lambda: op.arg_max(counts("year_joined"), "year_joined", "n"),
         "insights": lambda: customer_insights(customers),
     }
     if "income" in customers.columns:

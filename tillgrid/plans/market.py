@@ -35,16 +35,15 @@ def market_report(
     industry: str,
     region: str = "region",
 ) -> Panels:
-    age_shares = op.share_of_total(ages, "total")
-    industry_shares = op.share_of_total(industries, "total_population")
+    shown = industries.select("industry", "total_population")
     panels = {
         "industry_options": lambda: op.domain(industries, "industry", sort=False),
         "age_means": lambda: op.mean_ci_by(ages, "age_group", "total"),
-        "age_percentage": lambda: age_shares.select("age_group", "percentage"),
+        "age_percentage": lambda: op.share_of_total(ages, "total").select("age_group", "percentage"),
         "industry_means": lambda: op.mean_ci_by(industries, "industry", "total_population"),
         "selected_industry": lambda: op.lookup_one(industries, "industry", industry, "total_population"),
         "industry_shares": lambda: op.order_desc(
-            industry_shares.select("industry", "total_population", "percentage"), "total_population", "industry"
+            op.share_of_total(shown, "total_population"), "total_population", "industry"
         ),
         "insights": lambda: market_insights(ages, industries),
     }

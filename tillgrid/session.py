@@ -13,6 +13,8 @@ def local_session(cores: int | str = 8, app: str = "tillgrid", driver_memory: st
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", driver_memory)
         .config("spark.ui.enabled", "false")
+        # Noting the Python line of every column call costs more than planning a small query.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillgrid.functions import NA_TOKENS, nan_to_null, null_tokens, parse_ts
+from tillgrid.functions import NA_TOKENS, nan_to_null, parse_ts
 from tillgrid.sources.schemas import Dataset, Field
 
 
@@ -30,11 +30,23 @@ def normalize_headers(df: DataFrame, names: Mapping[str, str] | None = None) ->
     return df.toDF(*out)
 
 
-def normalize_nulls(df: DataFrame, tokens: Iterable[str] = NA_TOKENS) -> DataFrame:
-    """Missing-value tokens of every text column become NULL."""
-    tokens = tuple(tokens)
-    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
-    return df.withColumns({c: null_tokens(F.col(_quoted(c)), tokens) for c in texts})
+def normalize_nulls(
+    df: DataFrame, tokens: Iterable[str] = NA_TOKENS, cols: Iterable[str] | None = None
+) -> DataFrame:
+    """Missing-value tokens of every text column, or of ``cols``, become NULL."""
+    listed = ", ".join(_sql_text(t) for t in tokens)
+    wanted = set(df.columns if cols is None else cols)
+    out = []
+    for field in df.schema:
+        name = _quoted(field.name)
+        clean = bool(listed) and field.name in wanted and isinstance(field.dataType, T.StringType)
+        # As SQL text the list goes to the session in one call per column, not one per token.
+        out.append(f"case when {name} not in ({listed}) then {name} end as {name}" if clean else name)
+    return df.selectExpr(*out)
+
+
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def read_texts(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
@@ -45,10 +57,9 @@ def read_texts(spark: SparkSession, path: str, multi_line: bool = False) -> Data
     return spark.read.options(header=True, quote='"', escape='"', multiLine=multi_line).csv(path)
 
 
-def _typed(raw: DataFrame, header: str, field: Field, tokens: tuple[str, ...], date_format: str | None) -> Column:
+def _typed(raw: DataFrame, header: str, field: Field, date_format: str | None) -> Column:
     col = F.col(_quoted(header))
     if isinstance(raw.schema[header].dataType, T.StringType):
-        col = null_tokens(col, tokens)
         if field.dtype == "timestamp_ntz":
             return parse_ts(col, date_format, field.mode)
         if field.dtype != "string":
@@ -76,17 +87,14 @@ def conform(
 
     Column order in the file does not matter. A missing column fails here unless optional.
     """
-    tokens = tuple(tokens)
-    columns, missing = [], []
-    for field in dataset.fields:
-        header = next((h for h in (field.header, field.name) if h in raw.columns), None)
-        if header is not None:
-            columns.append(_typed(raw, header, field, tokens, date_format).alias(field.name))
-        elif not field.optional:
-            missing.append(field.header)
+    names = raw.columns
+    found = [(f, next((h for h in (f.header, f.name) if h in names), None)) for f in dataset.fields]
+    missing = [f.header for f, header in found if header is None and not f.optional]
     if missing:
         raise ValueError(f"{dataset.name} lacks columns {missing}")
-    return raw.select(*columns)
+    held = [(f, header) for f, header in found if header is not None]
+    clean = normalize_nulls(raw, tokens, [header for _, header in held])
+    return clean.select(*[_typed(clean, header, f, date_format).alias(f.name) for f, header in held])
 
 
 def read_table(
