@@ -654,7 +654,21 @@ def point_clusters(spark, sf):
     return rounded(op.group_points(_positions(spark, sf), "lat", "lon", 0.25), "x_mean", "y_mean")
 
 
-# --- staging and export
+# --- headers, staging and export
+
+
+@query("""
+select p_partkey as part_id, p_retailprice as retail_price_ghs, p_size as customer_satisfaction, p_brand as brand_pct
+from part
+""")
+def normalize_headers(spark, sf):
+    headed = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("Part ID"),
+        F.col("p_retailprice").alias("Retail Price (GHS)"),
+        F.col("p_size").alias("Customer Satisfaction (5.0)"),
+        F.col("p_brand").alias("brand_(%)"),
+    )
+    return src.normalize_headers(headed, {"Customer Satisfaction (5.0)": "customer_satisfaction"})
 
 
 def shared_folder(spark, name: str) -> str:

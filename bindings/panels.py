@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bindings import standins as st
+from bindings.operators import shared_folder
 from bindings.registry import query
 from tillgrid import plans
-from tillgrid.sources import read_texts
-from bindings.operators import shared_folder
+from tillgrid.sources import INDUSTRY_AGES, INDUSTRY_POPULATION, export_csv, read_bundle, read_texts
 
 
 def comparable(df: DataFrame, places: int) -> DataFrame:
@@ -229,6 +229,7 @@ union all select 'first_year_share', 'New (<1yr)', round(100.0 * count(*) filter
 union all select 'peak_year_customers', year_joined::varchar, n::double from peak
 union all select 'peak_year_change', year_joined::varchar, round(change, 6) from peak""",
         "income_points": points("customers", "tenure_years", "income"),
+        "age_bins": counts("customers", "age_binned"),
         "income_grid": grid("customers", "tenure_years", "income", 1, 500),
     },
 )
@@ -338,6 +339,21 @@ def market_export(spark, sf):
     return back.withColumn("percentage", F.round(F.col("percentage").cast("double"), 6))
 
 
+@query(f"""with {st.MARKET_SQL}
+select * from (select 'largest_age_group' as metric, age_group as label, total as value from ages
+  order by total desc, age_group limit 1)
+union all select * from (select 'largest_industry', industry, total_population from industries
+  order by total_population desc, industry limit 1)""")
+def market_bundle(spark, sf):
+    tables = st.market(spark, sf)
+    sources = {}
+    for name, dataset in (("ages", INDUSTRY_AGES), ("industries", INDUSTRY_POPULATION)):
+        headed = tables[name].toDF(*[f.header for f in dataset.fields])
+        sources[name] = (export_csv(headed, shared_folder(spark, name)), dataset)
+    read = read_bundle(spark, sources)
+    return plans.market_insights(read["ages"], read["industries"])
+
+
 # --- branches
 
 

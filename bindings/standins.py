@@ -18,6 +18,7 @@ from tillgrid import sources as src
 AS_OF = dt.date(2002, 1, 1)
 BRANCH_NAMES = (*plans.BRANCH_DISTRICTS, "Night Desk")
 EDUCATION = ("blue", "cold", "hot", "large", "new", "old", "red", "small")
+AGE_BINS = ("18-30", "31-50", "51+")
 TIERS = ("Gold", "Silver", "Bronze")
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
@@ -106,6 +107,7 @@ def customers(spark, sf) -> DataFrame:
         F.col("r_name").alias("Region"),
         F.when(balance < 0, "").when(balance < 5500, "Female").otherwise("Male").alias("Gender"),
         F.when(F.col("c_mktsegment") == "MACHINERY", F.lit(float("nan"))).otherwise(balance).alias("Income"),
+        F.when(balance > 9000, "nan").otherwise(pick(AGE_BINS, F.col("c_custkey") % 3)).alias("Age Binned"),
     )
     return plans.prepare_customers(src.conform(raw, src.CUSTOMERS, "yyyy-MM-dd"))
 
@@ -120,7 +122,8 @@ customers as (
       ((2002 - year(since)) * 12 + 1 - month(since))::double as tenure_months,
       nullif(c_mktsegment, 'BUILDING') as employment_sector, r_name as region,
       case when c_acctbal < 0 then null when c_acctbal < 5500 then 'Female' else 'Male' end as gender,
-      case when c_mktsegment <> 'MACHINERY' then c_acctbal end as income
+      case when c_mktsegment <> 'MACHINERY' then c_acctbal end as income,
+      case when c_acctbal <= 9000 then list_extract(['18-30', '31-50', '51+'], (c_custkey % 3 + 1)::int) end as age_binned
     from customer left join firsts on c_custkey = o_custkey
     join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey))"""
 

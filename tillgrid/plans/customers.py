@@ -66,7 +66,7 @@ def customer_insights(customers: DataFrame) -> DataFrame:
 def customers_report(
     customers: DataFrame, untapped_below: float = 10, tenure_cell: float = 1, income_cell: float = 500
 ) -> Panels:
-    """Panels of a ``prepare_customers`` frame; those on income need an ``income`` column."""
+    """Panels of a ``prepare_customers`` frame; those on income and age bins need their columns."""
 
     def counts(col: str) -> DataFrame:
         return op.value_counts(customers, col, order=None)
@@ -106,4 +106,6 @@ def customers_report(
             "income_points": lambda: op.scatter_points(customers, "tenure_years", "income"),
             "income_grid": lambda: op.scatter_grid(customers, "tenure_years", "income", tenure_cell, income_cell),
         }
+    if "age_binned" in customers.columns:
+        panels["age_bins"] = lambda: op.value_counts(customers, "age_binned", order="key")
     return Panels(panels)

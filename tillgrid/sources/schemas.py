@@ -72,6 +72,7 @@ CUSTOMERS = Dataset(
         Field("Region", "region"),
         Field("Gender", "gender"),
         Field("Income", "income", "double", optional=True),
+        Field("Age Binned", "age_binned", optional=True),
     ),
 )
 
