@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tillgrid.functions import nan_to_null, ratio
@@ -96,51 +96,102 @@ def _poisson_weight(row_key: Sequence[str]) -> Column:
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair of columns in long form; each pair drops its own nulls.
 
-    Each row gives one record per column pair, and tasks cut those to one row per pair before
-    the shuffle. A wide aggregate of all pairs is slower from about seven columns on, and
-    ``corr`` itself fails on a constant column in ANSI mode, where this gives NULL.
+    A first scan finds the means and which columns are complete. Pairs of complete columns take
+    plain sums of centred products in one further scan; only pairs with nulls need their own
+    moments. A constant column gives NULL, where ``corr`` would fail in ANSI mode.
     """
-    clean = df.select(*[nan_to_null(column(c).cast("double")).alias(c) for c in cols])
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    cols = list(cols)
+    clean = df.select(*[nan_to_null(column(c).cast("double")).alias(f"c{i}") for i, c in enumerate(cols)])
+    first = clean.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count(f"c{i}").alias(f"n{i}") for i in range(len(cols))],
+        *[F.avg(f"c{i}").alias(f"mean{i}") for i in range(len(cols))],
+        *[(F.min(f"c{i}") < F.max(f"c{i}")).alias(f"varies{i}") for i in range(len(cols))],
+    ).first()
+    varying = [i for i in range(len(cols)) if first[f"varies{i}"]]
+    complete = [i for i in varying if first[f"n{i}"] == first["n"]]
+    gapped = [
+        (i, j) for a, i in enumerate(varying) for j in varying[a + 1 :] if i not in complete or j not in complete
+    ]
+    found = [_complete_correlations(clean, complete, first)] if len(complete) > 1 else []
+    found += [_gapped_correlations(clean, gapped)] if gapped else []
+    ones = [F.struct(F.lit(i).alias("i"), F.lit(i).alias("j"), F.lit(1.0).alias("r")) for i in varying]
+    spark = df.sparkSession
+    if ones:
+        found.append(spark.range(1).select(F.inline(F.array(*ones))))
+    cells = [
+        F.struct(
+            F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.lit(min(i, j)).alias("i"), F.lit(max(i, j)).alias("j")
+        )
+        for i, a in enumerate(cols)
+        for j, b in enumerate(cols)
+    ]
+    matrix = spark.range(1).select(F.inline(F.array(*cells)))
+    if not found:
+        return matrix.select("col_a", "col_b", F.lit(None).cast("double").alias("corr"))
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.union(more)
+    # One row per pair of columns.
+    return matrix.join(F.broadcast(pairs), ["i", "j"], "left").select("col_a", "col_b", F.col("r").alias("corr"))
+
+
+def _correlation(cov: Column, var_x: Column, var_y: Column) -> Column:
+    r = F.try_divide(cov, F.sqrt(var_x) * F.sqrt(var_y))
+    return F.when(r.isNotNull(), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
+
+
+def _complete_correlations(clean: DataFrame, complete: Sequence[int], first: Row) -> DataFrame:
+    n = F.lit(float(first["n"]))
+    centred = clean.select(*[(F.col(f"c{i}") - F.lit(first[f"mean{i}"])).alias(f"c{i}") for i in complete])
+    sums = [F.sum(f"c{i}").alias(f"s{i}") for i in complete]
+    pairs = [(i, j) for a, i in enumerate(complete) for j in complete[a:]]
+    sums += [F.sum(F.col(f"c{i}") * F.col(f"c{j}")).alias(f"s{i}_{j}") for i, j in pairs]
+    row = centred.agg(*sums)
+
+    def moment(i: int, j: int) -> Column:
+        return F.col(f"s{i}_{j}") / n - (F.col(f"s{i}") / n) * (F.col(f"s{j}") / n)
+
+    cells = [
+        F.struct(
+            F.lit(i).alias("i"), F.lit(j).alias("j"), _correlation(moment(i, j), moment(i, i), moment(j, j)).alias("r")
+        )
+        for i, j in pairs
+        if i < j
+    ]
+    return row.select(F.inline(F.array(*cells)))
+
+
+def _gapped_correlations(clean: DataFrame, pairs: Sequence[tuple[int, int]]) -> DataFrame:
+    """One record per row and pair, cut to one row per pair in each task before the shuffle."""
     records = [
-        F.struct(F.lit(p).alias("pair"), column(cols[i]).alias("x"), column(cols[j]).alias("y"))
-        for p, (i, j) in enumerate(pairs)
+        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"c{i}").alias("x"), F.col(f"c{j}").alias("y"))
+        for i, j in pairs
     ]
     long = clean.select(F.inline(F.array(*records))).where(F.col("x").isNotNull() & F.col("y").isNotNull())
-    spread = F.sqrt(F.var_pop("x")) * F.sqrt(F.var_pop("y"))
-    r = F.try_divide(F.covar_pop("x", "y"), spread)
-    bounded = F.when(r.isNotNull(), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))
-    per_pair = long.groupBy("pair").agg(bounded.alias("r"))
-    # One entry per column pair.
-    found = per_pair.agg(F.map_from_entries(F.collect_list(F.struct("pair", "r"))).alias("found"))
-    cells = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            r = F.try_element_at(F.col("found"), F.lit(pairs.index((min(i, j), max(i, j)))))
-            r = F.when(r.isNotNull(), F.lit(1.0)) if i == j else r
-            cells.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), r.alias("corr")))
-    return found.select(F.inline(F.array(*cells)))
+    r = _correlation(F.covar_pop("x", "y"), F.var_pop("x"), F.var_pop("y"))
+    return long.groupBy("i", "j").agg(r.alias("r"))
 
 
 def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
-    """Counts over equal-width bins from minimum to maximum, the last bin closed, empty bins 0."""
+    """Counts over equal-width bins from minimum to maximum, the last bin closed, empty bins 0.
+
+    The first scan for the limits runs here, so the second has them as constants.
+    """
     v = nan_to_null(column(col).cast("double"))
     rows = df.select(v.alias("v")).where(F.col("v").isNotNull())
-    flat = F.max("v") == F.min("v")
-    limits = rows.agg(
-        F.struct(
-            (F.min("v") - F.when(flat, 0.5).otherwise(0.0)).alias("lo"),
-            (F.max("v") + F.when(flat, 0.5).otherwise(0.0)).alias("hi"),
-        ).alias("limits")
-    )
-    s = limits.scalar()
-    lo, hi = s.getField("lo"), s.getField("hi")
+    limits = rows.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    lo, hi = limits["lo"], limits["hi"]
+    if lo is not None and lo == hi:
+        lo, hi = lo - 0.5, hi + 0.5
+    width = None if lo is None else (hi - lo) / bins
+    base, step = F.lit(lo).cast("double"), F.lit(width).cast("double")
 
     def edge(i: Column) -> Column:
-        return lo + i * ((hi - lo) / F.lit(float(bins)))
+        return base + i * step
 
     # The floor can be off by one at an edge; comparing with the edges settles it.
-    guess = F.least(F.floor((F.col("v") - lo) * F.lit(float(bins)) / (hi - lo)).cast("bigint"), F.lit(bins - 1))
+    guess = F.least(F.floor((F.col("v") - base) / step).cast("bigint"), F.lit(bins - 1).cast("bigint"))
     down = (F.col("v") < edge(F.col("bin"))).cast("bigint")
     up = ((F.col("v") >= edge(F.col("bin") + 1)) & (F.col("bin") < bins - 1)).cast("bigint")
     binned = rows.withColumn("bin", guess).select((F.col("bin") - down + up).alias("bin"))
@@ -167,15 +218,13 @@ def kde(df: DataFrame, col: str, grid: int = 200, block: int = 20, reach: float
     v = nan_to_null(column(col).cast("double"))
     rows = df.select(v.alias("v")).where(F.col("v").isNotNull())
     shape = rows.agg(
-        F.struct(
-            F.count("v").alias("n"),
-            F.min("v").alias("lo"),
-            ((F.max("v") - F.min("v")) / F.lit(float(grid - 1))).alias("step"),
-            (F.stddev_samp("v") * F.pow(F.count("v").cast("double"), F.lit(-0.2))).alias("h"),
-        ).alias("shape")
-    )
-    s = shape.scalar()
-    n, lo, step, h = (s.getField(x) for x in ("n", "lo", "step", "h"))
+        F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.stddev_samp("v").alias("sd")
+    ).first()
+    known = shape["n"] > 1 and shape["sd"] > 0
+    lo = F.lit(shape["lo"]).cast("double")
+    step = F.lit((shape["hi"] - shape["lo"]) / (grid - 1) if shape["n"] else None).cast("double")
+    h = F.lit(shape["sd"] * shape["n"] ** -0.2 if known else None).cast("double")
+    n = F.lit(float(shape["n"]))
     blocks = -(-grid // block)
     reach = h * F.lit(float(reach))
     width = step * F.lit(float(block))
