@@ -173,12 +173,12 @@ def test_density_far_from_any_row_is_zero(spark):
     assert [r.density for r in op.kde(one, "v", 3).collect()] == [None] * 3
 
 
-@pytest.mark.parametrize("accuracy", [10_000, 50])
+@pytest.mark.parametrize("gather", [10_000, 50, 1])
 @pytest.mark.parametrize("broadcast_rows", [100, 0])
-def test_quantiles(sdf, pdf, accuracy, broadcast_rows):
-    # With accuracy 50 the larger groups go through brackets; with no broadcast rows they are joined.
+def test_quantiles(sdf, pdf, gather, broadcast_rows):
+    # Groups above `gather` are narrowed; with no broadcast rows intervals are joined by shuffle.
     probs = (0.0, 0.1, 0.25, 0.5, 0.75, 1.0)
-    got = op.quantiles_by(sdf, "k", "v", probs, accuracy=accuracy, broadcast_rows=broadcast_rows).collect()
+    got = op.quantiles_by(sdf, "k", "v", probs, gather=gather, broadcast_rows=broadcast_rows).collect()
     want = pdf.dropna(subset=["k", "v"]).groupby("k")["v"]
     assert {r.k: r.n for r in got} == want.count().to_dict()
     for r in got:
@@ -188,13 +188,24 @@ def test_quantiles(sdf, pdf, accuracy, broadcast_rows):
 def test_quantiles_of_a_hot_group_with_ties(spark):
     values = [("hot", float(i % 97)) for i in range(3000)] + [("cold", 1.0)] + [("flat", 2.0)] * 500
     df = spark.createDataFrame(values, "k string, v double").repartition(7)
-    got = {r.k: list(r.q) for r in op.quantiles_by(df, "k", "v", accuracy=100).collect()}
+    got = {r.k: list(r.q) for r in op.quantiles_by(df, "k", "v", gather=100).collect()}
     hot = [v for k, v in values if k == "hot"]
     assert got == {"hot": np.quantile(hot, [0.25, 0.5, 0.75]).tolist(), "cold": [1.0] * 3, "flat": [2.0] * 3}
 
 
+def test_quantiles_of_crowded_and_infinite_values(spark):
+    crowded = [1e-12 * i for i in range(2000)] + [1e12, -1e12, 5e-324, 0.0]
+    endless = [math.inf, -math.inf, 1.0, 2.0, 1e308, -1e308, 3.0] * 3
+    data = [("crowded", v) for v in crowded] + [("endless", v) for v in endless]
+    df = spark.createDataFrame(data, "k string, v double").repartition(6)
+    got = {r.k: list(r.q) for r in op.quantiles_by(df, "k", "v", (0.0, 0.3, 0.5, 0.9, 1.0), gather=5).collect()}
+    assert got["crowded"] == pytest.approx(np.quantile(crowded, [0.0, 0.3, 0.5, 0.9, 1.0]).tolist(), rel=1e-12)
+    ordered = sorted(endless)
+    assert got["endless"] == [ordered[0], ordered[6], ordered[10], ordered[18], ordered[20]]
+
+
 def test_box_stats(sdf, pdf):
-    for r in op.box_stats(sdf, "k", "w", accuracy=50).collect():
+    for r in op.box_stats(sdf, "k", "w", gather=50).collect():
         x = pdf.loc[pdf["k"] == r.k, "w"].dropna().to_numpy()
         q1, q2, q3 = np.quantile(x, [0.25, 0.5, 0.75])
         lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
