@@ -52,7 +52,7 @@ def options_with_all(df: DataFrame, col: str, all_label: str = "All") -> DataFra
     values = domain(df, col, sort=False).select(
         F.lit(1).cast("bigint").alias("option_group"), column(col).cast("string").alias("option")
     )
-    every = df.sparkSession.range(1).select(
+    every = df.sparkSession.range(0, 1, 1, 1).select(
         F.lit(0).cast("bigint").alias("option_group"), F.lit(all_label).alias("option")
     )
     return every.union(values).orderBy("option_group", "option")

@@ -118,7 +118,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     ones = [F.struct(F.lit(i).alias("i"), F.lit(i).alias("j"), F.lit(1.0).alias("r")) for i in varying]
     spark = df.sparkSession
     if ones:
-        found.append(spark.range(1).select(F.inline(F.array(*ones))))
+        found.append(spark.range(0, 1, 1, 1).select(F.inline(F.array(*ones))))
     cells = [
         F.struct(
             F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.lit(min(i, j)).alias("i"), F.lit(max(i, j)).alias("j")
@@ -126,7 +126,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         for i, a in enumerate(cols)
         for j, b in enumerate(cols)
     ]
-    matrix = spark.range(1).select(F.inline(F.array(*cells)))
+    matrix = spark.range(0, 1, 1, 1).select(F.inline(F.array(*cells)))
     if not found:
         return matrix.select("col_a", "col_b", F.lit(None).cast("double").alias("corr"))
     pairs = found[0]
@@ -197,7 +197,7 @@ def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
     binned = rows.withColumn("bin", guess).select((F.col("bin") - down + up).alias("bin"))
     counts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
     # `counts` has one row per bin at most.
-    dense = df.sparkSession.range(bins).withColumnRenamed("id", "bin")
+    dense = df.sparkSession.range(0, bins, 1, 1).withColumnRenamed("id", "bin")
     dense = dense.join(F.broadcast(counts), "bin", "left")
     return dense.select(
         "bin",
@@ -241,7 +241,7 @@ def kde(df: DataFrame, col: str, grid: int = 200, block: int = 20, reach: float
         masses.append(F.sum(F.exp(zj * zj * F.lit(-0.5))).alias(f"mass_{j}"))
     # One row per block at most.
     sums = met.groupBy("block").agg(*masses)
-    dense = df.sparkSession.range(blocks).withColumnRenamed("id", "block").join(F.broadcast(sums), "block", "left")
+    dense = df.sparkSession.range(0, blocks, 1, 1).withColumnRenamed("id", "block").join(F.broadcast(sums), "block", "left")
     cells = [
         F.struct((F.col("block") * block + j).alias("point"), F.col(f"mass_{j}").alias("mass")) for j in range(block)
     ]
