@@ -81,7 +81,9 @@ def exact_groups(
     if with_row:
         # Only winners go on, and the window needs no more than them.
         joined = joined.where(winner)
-    return joined.withColumn("kept", winner & (F.row_number().over(first) == 1))
+    # Dealt anew, so that the join above may split a hot digest.
+    spread = joined.repartition("id", "digest")
+    return spread.withColumn("kept", winner & (F.row_number().over(first) == 1))
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
