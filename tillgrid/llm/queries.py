@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
 from tillgrid.llm.exact_dedup import exact_groups
+from tillgrid.llm.mixing import mix
+from tillgrid.llm.packing import pack
 from tillgrid.llm.registry import QUERIES, SQL, query, table
+from tillgrid.llm.sharding import shard_rows
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -26,3 +31,25 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256")
     )
+
+
+@query()
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of 2048 tokens."""
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query()
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of 16, counts at most one apart."""
+    found = shard_rows(table(spark, sf_dir, "documents"), shards=16)
+    return found.select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query()
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in a mix whose sources weigh their size to the power 0.8."""
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "source"))

@@ -77,21 +77,19 @@ def col(name: str) -> Column:
 def ranked(df: DataFrame, group: str, cell: str, order: list[Column], rank: str) -> DataFrame:
     """Number the rows of each group from 0 by (cell, order), with one task for a cell, not for a group.
 
-    Cells must follow the wanted order: rows of a lower cell come first. What is summed over whole
-    groups is one row per cell.
+    Both keys must be known. The rows are shuffled once by (group, cell), and the join keeps that
+    partitioning; what is summed over whole groups is one row per cell.
     """
-    size, before = fresh(df, "cell_rows", "rows_before")
+    size, g, c, before = fresh(df, "cell_rows", "start_group", "start_cell", "rows_before")
     cells = df.groupBy(col(group), col(cell)).agg(F.count(F.lit(1)).alias(size))
     ahead = Window.partitionBy(col(group)).orderBy(col(cell)).rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.select(
-        col(group).alias("g_"),
-        col(cell).alias("c_"),
-        F.coalesce(F.sum(col(size)).over(ahead), F.lit(0)).alias(before),
+        col(group).alias(g), col(cell).alias(c), F.coalesce(F.sum(col(size)).over(ahead), F.lit(0)).alias(before)
     )
     inside = Window.partitionBy(col(group), col(cell)).orderBy(*order)
     numbered = df.withColumn(rank, (F.row_number().over(inside) - 1).cast("long"))
-    joined = numbered.join(starts, (col(group).eqNullSafe(F.col("g_"))) & (col(cell) == F.col("c_")), "left")
-    return joined.withColumn(rank, col(rank) + col(before)).drop("g_", "c_", before)
+    joined = numbered.join(starts, (col(group) == col(g)) & (col(cell) == col(c)))
+    return joined.withColumn(rank, col(rank) + col(before)).drop(g, c, before)
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
