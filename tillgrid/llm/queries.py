@@ -12,6 +12,7 @@ from tillgrid.llm.mixing import mix
 from tillgrid.llm.packing import pack
 from tillgrid.llm.registry import QUERIES, SQL, query, table
 from tillgrid.llm.sharding import shard_rows
+from tillgrid.llm.substring_dedup import remove_repeats
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -53,3 +54,9 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in a mix whose sources weigh their size to the power 0.8."""
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+@query()
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 13-word windows that an earlier document holds."""
+    return remove_repeats(table(spark, sf_dir, "documents"))
