@@ -9,6 +9,7 @@ import public_tokenizers
 
 from tillgrid.llm.exact_dedup import exact_groups
 from tillgrid.llm.mixing import mix
+from tillgrid.llm.near_dedup import near_groups
 from tillgrid.llm.packing import pack
 from tillgrid.llm.registry import QUERIES, SQL, query, table
 from tillgrid.llm.sharding import shard_rows
@@ -60,3 +61,9 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of 13-word windows that an earlier document holds."""
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's component under links of similarity 0.8 on sets of two-word shingles."""
+    return near_groups(table(spark, sf_dir, "documents"), size=2)
