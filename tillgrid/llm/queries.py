@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
 
 from tillgrid.llm.exact_dedup import exact_groups
+from tillgrid.llm.language_id import fit, identify
 from tillgrid.llm.mixing import mix
 from tillgrid.llm.near_dedup import near_groups
 from tillgrid.llm.packing import pack
@@ -67,3 +68,17 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's component under links of similarity 0.8 on sets of two-word shingles."""
     return near_groups(table(spark, sf_dir, "documents"), size=2)
+
+
+def crc32_of_id(parts: int) -> Column:
+    """Remainder of the checksum of the id as text; null ids count as empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % parts
+
+
+@query()
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from three quarters of the labelled documents."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc32_of_id(4) == 2
+    model = fit(docs.where(~held_out), "text", "lang", "doc_id")
+    return identify(docs, model, keep=[F.col("doc_id"), held_out.alias("held_out")])
