@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
+from tillgrid.llm.class_lm import score_texts
 from tillgrid.llm.exact_dedup import exact_groups
 from tillgrid.llm.language_id import fit, identify
 from tillgrid.llm.mixing import mix
@@ -82,3 +83,9 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc32_of_id(4) == 2
     model = fit(docs.where(~held_out), "text", "lang", "doc_id")
     return identify(docs, model, keep=[F.col("doc_id"), held_out.alias("held_out")])
+
+
+@query()
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability under a class model of nine tenths of the documents."""
+    return score_texts(table(spark, sf_dir, "documents"), crc32_of_id(10) == 0)
