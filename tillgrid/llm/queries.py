@@ -16,6 +16,7 @@ from tillgrid.llm.packing import pack
 from tillgrid.llm.registry import QUERIES, SQL, query, table
 from tillgrid.llm.sharding import shard_rows
 from tillgrid.llm.substring_dedup import remove_repeats
+from tillgrid.llm.top_k import top_inner_products
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -89,3 +90,20 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's probability under a class model of nine tenths of the documents."""
     return score_texts(table(spark, sf_dir, "documents"), crc32_of_id(10) == 0)
+
+
+@query("""
+    with v as (
+      select vec_id, [floor(256 * x::double)::bigint for x in embedding] as v from embeddings
+      where embedding is not null and vec_id is not null
+        and len([x for x in embedding if x is null or isnan(x) or isinf(x)]) = 0),
+    s as (
+      select q.vec_id as query_id, c.vec_id,
+        list_sum([x[1] * x[2] for x in list_zip(q.v, c.v)])::bigint as score
+      from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+    r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+    select query_id, rank, vec_id, score from r where rank <= 5
+""")
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest inner products of every fiftieth vector with all others."""
+    return top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
