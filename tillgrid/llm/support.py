@@ -6,7 +6,6 @@ import atexit
 import gc
 import tempfile
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,23 +73,24 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def ranked(df: DataFrame, group: str, cell: str, order: list[Column], rank: str) -> DataFrame:
-    """Number the rows of each group from 0 by (cell, order), with one task for a cell, not for a group.
+def running(df: DataFrame, group: str, cell: str, order: list[Column], value: Column, out: str) -> DataFrame:
+    """Sum of ``value`` over the rows of the group before this one by (cell, order), with one task for a cell.
 
-    Both keys must be known. The rows are shuffled once by (group, cell), and the join keeps that
+    Group and cell must be known. The rows are shuffled once by (group, cell), and the join keeps that
     partitioning; what is summed over whole groups is one row per cell.
     """
-    size, g, c, before = fresh(df, "cell_rows", "start_group", "start_cell", "rows_before")
-    cells = df.groupBy(col(group), col(cell)).agg(F.count(F.lit(1)).alias(size))
+    size, g, c, before = fresh(df, "cell_sum", "start_group", "start_cell", "sum_before")
+    cells = df.groupBy(col(group), col(cell)).agg(F.sum(value).alias(size))
     ahead = Window.partitionBy(col(group)).orderBy(col(cell)).rowsBetween(Window.unboundedPreceding, -1)
     starts = cells.select(
         col(group).alias(g), col(cell).alias(c), F.coalesce(F.sum(col(size)).over(ahead), F.lit(0)).alias(before)
     )
-    inside = Window.partitionBy(col(group), col(cell)).orderBy(*order)
-    numbered = df.withColumn(rank, (F.row_number().over(inside) - 1).cast("long"))
-    joined = numbered.join(starts, (col(group) == col(g)) & (col(cell) == col(c)))
-    return joined.withColumn(rank, col(rank) + col(before)).drop(g, c, before)
+    inside = Window.partitionBy(col(group), col(cell)).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = df.withColumn(out, F.coalesce(F.sum(value).over(inside), F.lit(0)).cast("long"))
+    joined = summed.join(starts, (col(group) == col(g)) & (col(cell) == col(c)))
+    return joined.withColumn(out, col(out) + col(before)).drop(g, c, before)
 
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+def ranked(df: DataFrame, group: str, cell: str, order: list[Column], rank: str) -> DataFrame:
+    """Number the rows of each group from 0 by (cell, order); see ``running``."""
+    return running(df, group, cell, order, F.lit(1).cast("long"), rank)

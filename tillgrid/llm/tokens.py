@@ -44,6 +44,7 @@ class BlockEncoder:
         )
         self._added = [t["content"].encode() for t in said.get("added_tokens", [])]
         self._tokenizer = Tokenizer.from_file(path)
+        self.size = self._tokenizer.get_vocab_size(with_added_tokens=True)
         self._clear()
 
     def _clear(self) -> None:
@@ -55,6 +56,9 @@ class BlockEncoder:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        return self._tokenizer.decode_batch(ids, skip_special_tokens=False)
+
     def _learn(self, ids: list[list[int]]) -> np.ndarray:
         """Entries of new words."""
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
