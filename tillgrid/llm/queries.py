@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import public_tokenizers
-
+import corpus_pipeline
 from tillgrid.llm.chat_tree import format_conversations, read_back
 from tillgrid.llm.class_lm import score_texts
 from tillgrid.llm.exact_dedup import exact_groups
@@ -139,3 +139,9 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five highest inner products of every fiftieth vector with all others."""
     return top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query(corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of what the corpus pipeline keeps."""
+    return corpus_pipeline.run(spark, sf_dir)
