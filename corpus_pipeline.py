@@ -34,11 +34,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     ship(spark)
     model = language.fit(docs, "text", "lang", "doc_id")
-    found = language.identify(docs, model, keep=[F.col(c) for c in docs.columns])
+    found = language.identify(docs, model, keep=[F.struct(*docs.columns).alias("row")])
     known = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
     if not model.languages:
-        known = F.col("text").rlike(r"\p{L}")
-    return found.where(known).select(*docs.columns)
+        known = F.col("row.text").rlike(r"\p{L}")
+    return found.where(known).select("row.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -84,7 +84,6 @@ def mix(
     underscore on the new ones. An empty table stays empty.
     """
     spark = df.sparkSession
-    key, cell, rank = fresh(df, "mix_key", "mix_cell", "mix_rank")
     epoch, block, slot, place = fresh(df, "mix_epoch", "mix_block", "mix_slot", "mix_place")
     named = F.coalesce(F.concat(F.lit("="), col(source_col).cast("string")), F.lit("~"))
     sizes = {s: n for s, n in df.select(named.alias("s")).groupBy("s").count().collect()}  # one row per source of the recipe
@@ -108,19 +107,23 @@ def mix(
         spark.createDataFrame(recipe, "s string, b long, a long, due long, epochs long, slots array<int>")
     )
     cells = max(1, -(-sum(sizes.values()) // cell_rows))
-    rows = df.withColumns({key: named, cell: F.pmod(F.xxhash64(col(id_col)), F.lit(cells))})
-    order = [F.xxhash64(col(id_col), F.lit(1)), col(id_col)]
-    numbered = ranked(rows, key, cell, order, rank).join(plan, col(key) == F.col("s"))
-    names = [*df.columns]
+    rows = df.select(
+        F.struct(*[col(c) for c in df.columns]).alias("row"),
+        named.alias("source"),
+        F.pmod(F.xxhash64(col(id_col)), F.lit(cells)).alias("cell"),
+        F.xxhash64(col(id_col), F.lit(1)).alias("draw"),
+        col(id_col).alias("id"),
+    )
+    numbered = ranked(rows, "source", "cell", [F.col("draw"), F.col("id")], "rank").join(plan, F.col("source") == F.col("s"))
     held = numbered.select(
-        F.struct(*[col(c) for c in names]).alias("row"),
-        F.floor(col(rank) / block_rows).alias("block"),
-        (col(rank) % block_rows).alias("place"),
+        "row",
+        F.floor(F.col("rank") / block_rows).alias("block"),
+        (F.col("rank") % block_rows).alias("place"),
         "b", "a", "due", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1)).alias("epoch"),
     )
     turn = F.col("epoch") * F.col("b") + F.col("block")
     at = F.floor(turn / F.col("a")) * period + F.get("slots", (turn % F.col("a")).cast("int"))
     return held.where(turn < F.col("due")).select(
-        *[F.col("row").getField(c).alias(c) for c in names],
+        *[F.col("row").getField(c).alias(c) for c in df.columns],
         F.col("epoch").alias(epoch), F.col("block").alias(block), at.alias(slot), F.col("place").alias(place),
     )

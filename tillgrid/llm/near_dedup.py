@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillgrid.llm.components import components
-from tillgrid.llm.support import col, settle
+from tillgrid.llm.support import col, fresh, settle
 from tillgrid.llm.textblocks import Block, mix, rows_of, run_hashes, text_blocks
 
 SHINGLE = 5
@@ -223,6 +223,7 @@ def near_groups(
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows that stay, with the columns they came with; of each component the rows with its smallest id."""
-    gone = near_groups(df, id_col, text_col, **options).where("not kept").select(F.col("doc_id").alias("gone_id"))
-    kept = df.join(settle(gone), col(id_col).cast("long") == F.col("gone_id"), "left_anti")
+    (gone_id,) = fresh(df, "gone_id")
+    gone = near_groups(df, id_col, text_col, **options).where("not kept").select(F.col("doc_id").alias(gone_id))
+    kept = df.join(settle(gone), col(id_col).cast("long") == col(gone_id), "left_anti")
     return kept.select(*[col(c) for c in df.columns])
