@@ -22,7 +22,6 @@ def components(edges: DataFrame) -> DataFrame:
         both = pairs.unionByName(pairs.select(F.col("root").alias("node"), F.col("node").alias("root")))
         low = both.groupBy("node").agg(F.least(F.min("root"), F.col("node")).alias("low"))
         large = both.join(low, "node").where("root > node").select(F.col("root").alias("node"), F.col("low").alias("root"))
-        large = large.distinct()
         low = large.groupBy("node").agg(F.min("root").alias("low"))
         small = large.join(low, "node").where("root <> low").select(F.col("root").alias("node"), F.col("low").alias("root"))
         pairs = settle(small.unionByName(low.select("node", F.col("low").alias("root"))).distinct())

@@ -4,10 +4,12 @@ One permutation scatters a document's word shingles over ``1 << PLACES`` places;
 places, gives coordinate k of the signature. All coordinates of a shingle are neighbours in one table, so a
 signature is a running minimum of table rows. Bands of coordinates propose pairs, and the full sets decide.
 
-Equal sets are one class from the start. In each bucket of a band the members meet pivots, never each other:
-one pivot first, then sixteen, then 256, each time only where the bucket still holds several components, and
-only members of other components. A pivot has met the whole bucket and leaves it. When no bucket holds two
-components, every link between members of a bucket is within a component.
+Equal sets are one class from the start. In each bucket of a band the members first meet one pivot, then sixteen
+more, each time only where the bucket still holds several components, and only members of other
+components. A pivot has met the whole bucket and leaves it. Nearly all buckets are of one component then.
+In the others, what lies outside the largest component meets the whole bucket, block against block, so
+what is shuffled are blocks and what comes out are links; two documents are compared in the first band
+they share. So every link between members of a bucket is within a component in the end.
 
 With 48 bands of 6, two documents of similarity 0.8 share no bucket with probability 5e-7.
 """
@@ -30,6 +32,8 @@ PERCENT = 80
 BANDS = 48
 BAND_ROWS = 6
 PLACES = 20
+PIVOTS = (1, 16)
+BLOCK_DOCS = 512
 _STEP = np.uint64(0x2545F4914F6CDD1D)
 _tables: dict[int, np.ndarray] = {}
 
@@ -143,6 +147,64 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(100 * common >= percent * union).select("a", "b")
 
 
+def _linked_in_blocks(members: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """Links a, b between members of a bucket in different components; members: key, doc, at."""
+    parts = members.groupBy("key", "at").agg(F.count(F.lit(1)).alias("c"))
+    sizes = parts.groupBy("key").agg(F.sum("c").alias("all"), F.max(F.struct("c", "at")).alias("top"))
+    sizes = sizes.select("key", F.col("top.at").alias("home"), "all", (F.col("all") - F.col("top.c")).alias("out"))
+    known = settle(members.join(settle(sizes), "key"))
+    told = F.struct("doc", "at", "keys", "shingles")
+
+    def blocks(rows: DataFrame, size: str, name: str, number: str) -> DataFrame:
+        count = F.ceil(F.col(size) / BLOCK_DOCS)
+        dealt = rows.withColumns({"many": count, number: F.pmod(F.xxhash64("doc"), count)})
+        return dealt.join(info, "doc").groupBy("key", number).agg(F.max("many").alias(f"{name}_many"), F.collect_list(told).alias(name))
+
+    left = blocks(known.where("at <> home"), "out", "left", "x")
+    right = blocks(known, "all", "right", "y").drop("right_many")
+    reach = known.groupBy("key").agg(F.max(F.ceil(F.col("all") / BLOCK_DOCS)).alias("ys"))
+    met = left.drop("left_many").join(reach, "key").withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ys") - 1)))
+
+    def side(column: pa.Array, i: int):
+        rows = column[i].values
+        doc, at = rows.field("doc").to_numpy(), rows.field("at").to_numpy()
+        keys = np.asarray(rows.field("keys").flatten()).reshape(len(doc), -1)
+        shingles = rows.field("shingles")
+        return doc, at, keys, np.asarray(shingles.flatten()), np.concatenate(([0], np.cumsum(np.asarray(shingles.value_lengths()))))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key = batch.column("key")[i].as_py()
+                doc, at, keys, shingles, cut = side(batch.column("left"), i)
+                doc2, at2, keys2, shingles2, cut2 = side(batch.column("right"), i)
+                home = batch.column("home")[i].as_py()
+                n, n2 = np.diff(cut), np.diff(cut2)
+                a, b = [], []
+                for x in range(len(doc)):
+                    # Once for each pair of outsiders, in the first band that both share, and only if sizes allow.
+                    use = (at2 != at[x]) & ((at2 == home) | (doc2 > doc[x]))
+                    use &= 100 * np.minimum(n2, n[x]) >= percent * np.maximum(n2, n[x])
+                    y = np.flatnonzero(use)
+                    y = y[keys2[y, (keys2[y] == keys[x]).argmax(axis=1)] == key]
+                    if not len(y):
+                        continue
+                    own = shingles[cut[x] : cut[x + 1]]  # in rising order as unsigned numbers
+                    own = np.sort(own)
+                    each = np.repeat(cut2[y] - (np.cumsum(n2[y]) - n2[y]), n2[y]) + np.arange(n2[y].sum())
+                    other = shingles2[each]
+                    hit = own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other
+                    common = np.add.reduceat(hit.astype(np.int64), np.cumsum(n2[y]) - n2[y])
+                    close = 100 * common >= percent * (n[x] + n2[y] - common)
+                    a += [int(doc[x])] * int(close.sum())
+                    b += doc2[y[close]].tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    homes = known.select("key", "home").distinct()
+    pairs = met.join(right, ["key", "y"]).join(homes, "key").select("key", "home", "left", "right")
+    return pairs.mapInArrow(compare, "a long, b long")
+
+
 def near_groups(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -166,46 +228,46 @@ def near_groups(
     able = signed.where("n > 0 and doc is not null")
     classes = settle(able.groupBy("low", "high", "n").agg(F.min("doc").alias("rep")))
     # Buckets with more than one class; of a class only its first document goes on.
-    reps = classes.select(F.col("rep").alias("doc"), "low", "high").withColumn("is_rep", F.lit(True))
-    exploded = able.join(reps, ["doc", "low", "high"], "left_semi").select("doc", "n", F.explode("keys").alias("key"))
-    exploded = settle(exploded)
+    reps = classes.select(F.col("rep").alias("doc"), "low", "high")
+    first = settle(able.join(reps, ["doc", "low", "high"], "left_semi").select("doc", "n", "keys"))
+    exploded = first.select("doc", "n", F.explode("keys").alias("key"))
     shared = exploded.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("key")
     members = settle(exploded.join(settle(shared), "key"))
-    sets = settle(_sets(docs.join(settle(members.select("doc").distinct()), "doc", "left_semi"), size))
-    roots, pivots_each, turn = None, 1, 0
-    while True:
-        if roots is not None:
-            members = members.join(roots, members["doc"] == roots["node"], "left").select(
-                "doc", "n", "key", F.coalesce("root", "at").alias("at")
-            )
-        else:
+    candidates = settle(members.select("doc").distinct())
+    sets = settle(_sets(docs.join(candidates, "doc", "left_semi"), size))
+    roots = links = None
+    for turn in range(len(PIVOTS) + 1):
+        if roots is None:
             members = members.withColumn("at", F.col("doc"))
-        members = settle(members)
-        open_ = members.groupBy("key").agg(F.min("at").alias("x"), F.max("at").alias("y")).where("x < y").select("key")
-        open_ = settle(open_)
-        if open_.isEmpty():
+        else:
+            members = members.drop("at").join(roots, members["doc"] == roots["node"], "left").select(
+                "doc", "n", "key", F.coalesce("root", "doc").alias("at")
+            )
+            open_ = members.groupBy("key").agg(F.min("at").alias("x"), F.max("at").alias("y")).where("x < y").select("key")
+            members = settle(members.join(settle(open_), "key"))
+        if members.isEmpty():
             break
-        members = settle(members.join(open_, "key"))
-        slot = F.pmod(F.xxhash64("doc", F.lit(turn)), F.lit(pivots_each))
-        pivots = settle(
-            members.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("doc", "n", "at")).alias("p")).select(
-                "key", F.col("p.doc").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.at").alias("pat")
+        if turn == len(PIVOTS):
+            found = _linked_in_blocks(members.select("key", "doc", "at"), sets.join(first.select("doc", "keys"), "doc"), percent)
+        else:
+            slot = F.pmod(F.xxhash64("doc", F.lit(turn)), F.lit(PIVOTS[turn]))
+            pivots = settle(
+                members.groupBy("key", slot.alias("slot"))
+                .agg(F.min(F.struct("doc", "n", "at")).alias("p"))
+                .select("key", F.col("p.doc").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.at").alias("pat"))
+            )
+            near = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
+            pairs = (
+                members.join(pivots, "key")
+                .where((F.col("at") != F.col("pat")) & (F.col("doc") != F.col("pivot")) & near)
+                .select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b"))
+                .distinct()
             )
-        )
-        near = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
-        pairs = (
-            members.join(pivots, "key")
-            .where((F.col("at") != F.col("pat")) & (F.col("doc") != F.col("pivot")) & near)
-            .select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b"))
-            .distinct()
-        )
-        found = settle(_linked(pairs, sets, percent))
-        links = found if turn == 0 else links.unionByName(found)
+            found = _linked(pairs, sets, percent)
+            members = members.join(pivots.select("key", F.col("pivot").alias("doc")), ["key", "doc"], "left_anti")
+        found = settle(found)
+        links = found if links is None else links.unionByName(found)
         roots = components(links)
-        members = members.join(
-            pivots.select("key", F.col("pivot").alias("doc")), ["key", "doc"], "left_anti"
-        )
-        pivots_each, turn = pivots_each * 16, turn + 1
     labelled = signed.join(classes, ["low", "high", "n"], "left")
     if roots is not None:
         labelled = labelled.join(roots, labelled["rep"] == roots["node"], "left")
