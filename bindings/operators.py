@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -114,8 +116,8 @@ and (nullif(o_orderpriority, '3-MEDIUM') in ('1-URGENT') or nullif(o_orderpriori
 """)
 def filter_in_list(spark, sf):
     priority = F.nullif(F.col("o_orderpriority"), F.lit("3-MEDIUM")).alias("priority")
-    orders = order_year(table(spark, sf, "orders")).select("o_orderkey", "order_year", priority, "o_totalprice")
-    return op.filter_in(orders, {"order_year": [1996, 1998], "priority": ["1-URGENT", None]})
+    orders = order_year(op.filter_years(table(spark, sf, "orders"), "o_orderdate", [1996, 1998]))
+    return op.filter_in(orders.select("o_orderkey", "order_year", priority, "o_totalprice"), {"priority": ["1-URGENT", None]})
 
 
 @query("select c_custkey, c_nationkey, c_mktsegment from customer where c_mktsegment = 'BUILDING'")
@@ -208,10 +210,13 @@ def means_by_tier(spark, sf):
 select o_orderpriority, round(avg(o_totalprice) filter (o_orderstatus = 'F'), 6) as "F",
   round(avg(o_totalprice) filter (o_orderstatus = 'O'), 6) as "O",
   round(avg(o_totalprice) filter (o_orderstatus = 'P'), 6) as "P"
-from (select *, from orders where not (o_orderpriority = '5-LOW' and o_orderstatus = 'P')) group by 1
+from (select o_orderpriority, o_orderstatus,
+  case when not (o_orderpriority = '5-LOW' and o_orderstatus = 'P') then o_totalprice end as o_totalprice from orders) group by 1
 """)
 def mean_pivot_region_flag(spark, sf):
-    orders = table(spark, sf, "orders").where("not (o_orderpriority = '5-LOW' and o_orderstatus = 'P')")
+    # One cell of the table has no known price and so stays empty.
+    unknown = (F.col("o_orderpriority") == "5-LOW") & (F.col("o_orderstatus") == "P")
+    orders = table(spark, sf, "orders").withColumn("o_totalprice", F.when(~unknown, F.col("o_totalprice")))
     wide = op.mean_pivot(orders, "o_orderpriority", "o_orderstatus", "o_totalprice", STATUSES)
     return rounded(wide, *STATUSES)
 
@@ -495,7 +500,22 @@ def mean_ci_by_segment(spark, sf):
     return rounded(op.mean_ci_by(table(spark, sf, "customer"), "c_mktsegment", "c_acctbal"), "mean", "ci_low", "ci_high")
 
 
-@query()
+_POISSON = " ".join(
+    f"when u < {sum(math.exp(-1.0) / math.factorial(j) for j in range(k + 1))!r} then {k}" for k in range(18)
+)
+
+
+@query(f"""
+with b as (select c_mktsegment, ('0x' || substr(md5(c_custkey::varchar), 1, 13))::bigint % 512 as block,
+    sum(c_acctbal) as s, count(*) as c from customer group by 1, 2),
+w as (select block, rep, case {_POISSON} else 18 end as w from (
+    select block, rep, ('0x' || substr(md5(block::varchar || ':' || rep::varchar), 1, 13))::bigint / 4503599627370496.0::double as u
+    from (select range as block from range(512)), (select range as rep from range(1000)))),
+m as (select c_mktsegment, rep, sum(w * s) / nullif(sum(w * c), 0) as m from b join w using (block) group by 1, 2),
+q as (select c_mktsegment, quantile_cont(m, 0.025) as lo, quantile_cont(m, 0.975) as hi from m group by 1)
+select c_mktsegment, count(*) as n, round(avg(c_acctbal), 6) as mean, round(any_value(lo), 6) as ci_low,
+  round(any_value(hi), 6) as ci_high from customer join q using (c_mktsegment) group by 1
+""")
 def mean_ci_bootstrap(spark, sf):
     customers = table(spark, sf, "customer")
     means = op.mean_ci_by(customers, "c_mktsegment", "c_acctbal", ci="bootstrap", row_key=["c_custkey"])
@@ -560,6 +580,77 @@ def box_stats(spark, sf):
     return rounded(stats, "q1", "median", "q3", "whisker_low", "whisker_high")
 
 
+_FENCES = """
+with o as (select {group} as g, {value} as v from {table}),
+q as (select g, quantile_cont(v, 0.25) as q1, quantile_cont(v, 0.5) as median, quantile_cont(v, 0.75) as q3 from o group by 1)
+"""
+
+
+def _large_boxes(table_: str, group: str, value: str) -> str:
+    return _FENCES.format(group=group, value=value, table=table_) + f"""
+select o.g as {group}, count(*) as n, round(any_value(q1), 6) as q1, round(any_value(median), 6) as median,
+  round(any_value(q3), 6) as q3,
+  round(least(min(v) filter (v >= q1 - 1.5 * (q3 - q1)), any_value(q1)), 6) as whisker_low,
+  round(greatest(max(v) filter (v <= q3 + 1.5 * (q3 - q1)), any_value(q3)), 6) as whisker_high,
+  count(*) filter (v < q1 - 1.5 * (q3 - q1) or v > q3 + 1.5 * (q3 - q1)) as n_outliers
+from o join q on o.g = q.g group by 1
+"""
+
+
+@query(_large_boxes("lineitem", "l_returnflag", "l_extendedprice"))
+def box_stats_large_groups(spark, sf):
+    """Groups above the size that one task gathers at the scale of the check."""
+    stats = op.box_stats(table(spark, sf, "lineitem"), "l_returnflag", "l_extendedprice", gather=1_000)
+    return rounded(stats, "q1", "median", "q3", "whisker_low", "whisker_high")
+
+
+@query("""
+with o as (select l_linestatus, exp(l_quantity * 10 + l_discount) as v from lineitem)
+select l_linestatus, count(*) as n, round(ln(quantile_cont(v, 0.25)), 6) as q1, round(ln(quantile_cont(v, 0.5)), 6) as median,
+  round(ln(quantile_cont(v, 0.999)), 6) as far from o group by 1
+""")
+def quantiles_heavy_tail(spark, sf):
+    """Values over two hundred orders of magnitude, many of them tied."""
+    lines = table(spark, sf, "lineitem").withColumn("v", F.exp(F.col("l_quantity") * 10 + F.col("l_discount")))
+    q = op.quantiles_by(lines, "l_linestatus", "v", (0.25, 0.5, 0.999), gather=1_000)
+    names = ("q1", "median", "far")
+    return q.select("l_linestatus", "n", *[r(F.ln(F.col("q")[i])).alias(x) for i, x in enumerate(names)])
+
+
+@query(
+    _FENCES.format(group="o_orderpriority", value="power(o_totalprice, 2)", table="orders")
+    + """select o.g as o_orderpriority, round(v, 3) as value from o join q on o.g = q.g
+where v < q1 - 1.5 * (q3 - q1) or v > q3 + 1.5 * (q3 - q1)"""
+)
+def box_outliers(spark, sf):
+    orders = table(spark, sf, "orders").withColumn("squared", F.pow("o_totalprice", F.lit(2.0)))
+    return rounded(op.box_outliers(orders, "o_orderpriority", "squared"), "value", places=3)
+
+
+@query("""
+with s as (select count(*) as n, min(c_acctbal) as lo, max(c_acctbal) as hi, (max(c_acctbal) - min(c_acctbal)) / 199.0 as step,
+  stddev_samp(c_acctbal) * pow(count(*), -0.2) as h from customer),
+g as (select least(floor((c_acctbal - lo) * 30.0 / (hi - lo))::bigint, 29) as bin from customer, s),
+c as (select bin, count(*) as n from g group by 1)
+select 'bin' as kind, r.range::bigint as at, round(lo + r.range * ((hi - lo) / 30.0), 6) as lo,
+  round(lo + (r.range + 1) * ((hi - lo) / 30.0), 6) as hi, coalesce(c.n, 0)::double as value
+from range(30) r cross join s left join c on c.bin = r.range
+union all
+select 'curve', r.range::bigint, round(any_value(lo + r.range * step), 6), round(any_value(lo + r.range * step), 6),
+  round(sum(exp(-0.5 * pow((lo + r.range * step - c_acctbal) / h, 2))) / any_value(h * sqrt(2 * pi())) * any_value((hi - lo) / 30.0), 6)
+from customer, s, range(200) r group by r.range
+""")
+def histogram_with_density(spark, sf):
+    chart = op.histogram_with_density(table(spark, sf, "customer"), "c_acctbal")
+    return rounded(chart, "lo", "hi", "value")
+
+
+@query("select c_custkey, c_mktsegment, 'Low' as attrition_risk from customer")
+def ensure_column(spark, sf):
+    customers = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    return op.ensure_column(op.ensure_column(customers, "attrition_risk", "Low"), "c_mktsegment", "unused")
+
+
 @query("""
 with o as (select o_custkey, o_totalprice as v from orders)
 select o_custkey, count(*) as n, round(quantile_cont(v, 0.25), 6) as q1, round(quantile_cont(v, 0.5), 6) as median,
@@ -572,14 +663,25 @@ def quartiles_many_groups(spark, sf):
 
 @query("""
 select regr_count(y, x)::bigint as n, round(regr_slope(y, x), 6) as slope, round(regr_intercept(y, x), 6) as intercept,
-  round(regr_r2(y, x), 6) as r2 from (select l_quantity as x, nullif(l_extendedprice, 900.0) as y from lineitem)
+  round(regr_r2(y, x), 6) as r2, round(regr_avgx(y, x), 6) as mean_x, round(regr_sxx(y, x), 3) as sxx,
+  round(regr_syy(y, x) / 1e6, 3) as syy, round(regr_sxy(y, x) / 1e3, 3) as sxy, min(x) as min_x, max(x) as max_x,
+  round(sqrt((regr_syy(y, x) - pow(regr_sxy(y, x), 2) / regr_sxx(y, x)) / (regr_count(y, x) - 2)), 6) as residual_sd
+from (select l_quantity as x, nullif(l_extendedprice, 900.0) as y from lineitem) where y is not null
 """)
 def linreg(spark, sf):
     lines = table(spark, sf, "lineitem").select(
         F.col("l_quantity").alias("x"), F.nullif(F.col("l_extendedprice"), F.lit(900.0)).alias("y")
     )
     fit = op.linreg(lines, "x", "y")
-    return fit.select("n", *[r(c).alias(c) for c in ("slope", "intercept", "r2")])
+    return fit.select(
+        "n",
+        *[r(c).alias(c) for c in ("slope", "intercept", "r2", "mean_x", "residual_sd")],
+        r("sxx", 3).alias("sxx"),
+        F.round(F.col("syy") / 1e6, 3).alias("syy"),
+        F.round(F.col("sxy") / 1e3, 3).alias("sxy"),
+        "min_x",
+        "max_x",
+    )
 
 
 @query("""
@@ -677,8 +779,8 @@ def shared_folder(spark, name: str) -> str:
     if base is None:
         base = spark.sparkContext.getCheckpointDir()
     if base is None:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="tillgrid-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

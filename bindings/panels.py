@@ -10,9 +10,9 @@ from pyspark.sql import types as T
 
 from bindings import standins as st
 from bindings.operators import shared_folder
-from bindings.registry import query
+from bindings.registry import SQL, query
 from tillgrid import plans
-from tillgrid.sources import INDUSTRY_AGES, INDUSTRY_POPULATION, export_csv, read_bundle, read_texts
+from tillgrid.sources import INDUSTRY_AGES, INDUSTRY_POPULATION, export_csv, read_bundle, read_table, read_texts
 
 
 def comparable(df: DataFrame, places: int) -> DataFrame:
@@ -339,21 +339,56 @@ def market_export(spark, sf):
     return back.withColumn("percentage", F.round(F.col("percentage").cast("double"), 6))
 
 
-@query(f"""with {st.MARKET_SQL}
+_INSIGHTS = f"""with {st.MARKET_SQL}
 select * from (select 'largest_age_group' as metric, age_group as label, total as value from ages
   order by total desc, age_group limit 1)
 union all select * from (select 'largest_industry', industry, total_population from industries
-  order by total_population desc, industry limit 1)""")
+  order by total_population desc, industry limit 1)"""
+
+
+def _bundle(spark, sf, **options) -> dict[str, DataFrame]:
+    raw = st.market_raw(spark, sf)
+    paths = {name: export_csv(df, shared_folder(spark, name)) for name, df in raw.items()}
+    return read_bundle(spark, {name: (path, st.MARKET_DATASETS[name]) for name, path in paths.items()}, **options)
+
+
+@query(_INSIGHTS)
 def market_bundle(spark, sf):
-    tables = st.market(spark, sf)
-    sources = {}
-    for name, dataset in (("ages", INDUSTRY_AGES), ("industries", INDUSTRY_POPULATION)):
-        headed = tables[name].toDF(*[f.header for f in dataset.fields])
-        sources[name] = (export_csv(headed, shared_folder(spark, name)), dataset)
-    read = read_bundle(spark, sources)
+    read = _bundle(spark, sf)
     return plans.market_insights(read["ages"], read["industries"])
 
 
+@query(f"with {st.MARKET_SQL}{_LONG}{mean_ci('l', 'region, industry', '\"count\"')}")
+def market_bundle_regions(spark, sf):
+    """The wide table of the bundle, whose columns beyond the region are not declared."""
+    read = _bundle(spark, sf)
+    report = plans.market_report(read["ages"], read["industries"], read["regions"], read["region_industry"], "Brand#5")
+    return comparable(report["industry_by_region"], 6)
+
+
+@query(f"with {st.MARKET_SQL} select age_group, total from ages where false")
+def market_bundle_missing(spark, sf):
+    """A bundle of which one table is missing is empty as a whole."""
+    raw = st.market_raw(spark, sf)["ages"]
+    there = export_csv(raw, shared_folder(spark, "ages"))
+    sources = {"ages": (there, INDUSTRY_AGES), "industries": (f"{there}-missing", INDUSTRY_POPULATION)}
+    return read_bundle(spark, sources, on_error="empty")["ages"]
+
+
+# --- the same reports from CSV files
+
+
+def through_csv(raw: DataFrame, dataset, date_format: str | None = None) -> DataFrame:
+    """The raw table written as CSV and read as a user would read it."""
+    path = export_csv(raw, shared_folder(raw.sparkSession, dataset.name))
+    return read_table(raw.sparkSession, path, dataset, date_format=date_format)
+
+
+def csv_query(name: str, sql_of: str, build: Callable) -> None:
+    """Registers a panel read from CSV under the SQL of its twin."""
+    query(SQL[sql_of], name)(build)
+
+
 # --- branches
 
 
@@ -454,3 +489,30 @@ order by total_monthly_volume_ghs desc, engagement_score, performance_tier limit
         "compliance_by_tier": box("agents", "performance_tier", "compliance_score"),
     },
 )
+
+
+def _csv_panels() -> None:
+    def accounts(spark, sf):
+        return comparable(plans.accounts_report(st.accounts(spark, sf, through_csv))["product_flows"], 6)
+
+    def customers(spark, sf):
+        return comparable(plans.customers_report(st.customers(spark, sf, through_csv))["insights"], 6)
+
+    def employees(spark, sf):
+        report = plans.employees_report(st.employees(spark, sf, through_csv), "Brand#7")
+        return comparable(report["hiring"], 6)
+
+    def branches(spark, sf):
+        return comparable(plans.branches_report(st.branches(spark, sf, through_csv))["coverage"], 6)
+
+    def agents(spark, sf):
+        return comparable(plans.agents_report(st.agents(spark, sf, through_csv), training_values=["No", "Yes"])["region_totals"], 6)
+
+    csv_query("csv_accounts", "accounts_product_flows", accounts)
+    csv_query("csv_customers", "customers_insights", customers)
+    csv_query("csv_employees", "employees_hiring", employees)
+    csv_query("csv_branches", "branches_coverage", branches)
+    csv_query("csv_agents", "agents_region_totals", agents)
+
+
+_csv_panels()

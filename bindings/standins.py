@@ -7,6 +7,8 @@ reading rules run too.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +37,10 @@ def pick(names, at: Column) -> Column:
     return F.try_element_at(F.array(*map(F.lit, names)), (at + 1).cast("int"))
 
 
-def accounts(spark, sf) -> DataFrame:
+Load = Callable[..., DataFrame]
+
+
+def accounts(spark, sf, load: Load = src.conform) -> DataFrame:
     o = table(spark, sf, "orders")
     status, priority, price = F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("o_totalprice")
     amount = money(price)
@@ -62,7 +67,7 @@ def accounts(spark, sf) -> DataFrame:
         (amount - 250000).alias("Current Balance"),
         (price / 1000).alias("Activity Score"),
     )
-    return plans.prepare_accounts(src.conform(raw, src.ACCOUNTS))
+    return plans.prepare_accounts(load(raw, src.ACCOUNTS))
 
 
 ACCOUNTS_SQL = """accounts as (
@@ -92,7 +97,7 @@ def _customer_regions(spark, sf) -> DataFrame:
     return nations.join(regions, nations.n_regionkey == regions.r_regionkey).select("n_nationkey", "r_name")
 
 
-def customers(spark, sf) -> DataFrame:
+def customers(spark, sf, load: Load = src.conform) -> DataFrame:
     first = table(spark, sf, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("since"))
     c = table(spark, sf, "customer")
     c = c.join(first, c.c_custkey == first.o_custkey, "left")
@@ -109,7 +114,7 @@ def customers(spark, sf) -> DataFrame:
         F.when(F.col("c_mktsegment") == "MACHINERY", F.lit(float("nan"))).otherwise(balance).alias("Income"),
         F.when(balance > 9000, "nan").otherwise(pick(AGE_BINS, F.col("c_custkey") % 3)).alias("Age Binned"),
     )
-    return plans.prepare_customers(src.conform(raw, src.CUSTOMERS, "yyyy-MM-dd"))
+    return plans.prepare_customers(load(raw, src.CUSTOMERS, "yyyy-MM-dd"))
 
 
 CUSTOMERS_SQL = """firsts as (select o_custkey, min(o_orderdate) as since from orders group by 1),
@@ -128,7 +133,7 @@ customers as (
     join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey))"""
 
 
-def employees(spark, sf) -> DataFrame:
+def employees(spark, sf, load: Load = partial(src.conform, bare=("Branch",))) -> DataFrame:
     p = table(spark, sf, "part")
     joined = F.date_add(F.lit(dt.date(1990, 1, 1)), (F.col("p_partkey") * 37 % 4500).cast("int"))
     raw = p.select(
@@ -142,7 +147,7 @@ def employees(spark, sf) -> DataFrame:
         (F.nullif(F.col("p_size"), F.lit(20)) * 2500.0 - 5000.0).alias("IncomeLevelNumeric"),
         F.substring_index("p_name", " ", 1).alias("EducationLevel"),
     )
-    return plans.prepare_employees(src.conform(raw, src.EMPLOYEES, "yyyy-MM-dd"), AS_OF)
+    return plans.prepare_employees(load(raw, src.EMPLOYEES, "yyyy-MM-dd"), AS_OF)
 
 
 EMPLOYEES_SQL = """employees as (
@@ -156,7 +161,7 @@ EMPLOYEES_SQL = """employees as (
 chosen as (select * from employees where branch = 'Brand#7' and joining_year is not null)"""
 
 
-def branches(spark, sf) -> DataFrame:
+def branches(spark, sf, load: Load = src.conform) -> DataFrame:
     sales = (
         table(spark, sf, "lineitem")
         .groupBy("l_suppkey")
@@ -192,7 +197,7 @@ def branches(spark, sf) -> DataFrame:
         F.when(balance > 5000, "Yes").when(balance > 1000, "No").otherwise("").alias("ATM Available"),
         pick(("Full", "None", "Partial"), nation % 3).alias("Disability Access"),
     )
-    return src.conform(raw, src.BRANCHES)
+    return load(raw, src.BRANCHES)
 
 
 def _sql_text(value: str) -> str:
@@ -219,7 +224,7 @@ loads as (select *, active_customers / nullif(staff_count, 0) as customer_to_sta
   customer_service_desks / nullif(active_customers, 0) as service_capacity_score from branches)"""
 
 
-def agents(spark, sf) -> DataFrame:
+def agents(spark, sf, load: Load = src.conform) -> DataFrame:
     kind, cents = F.col("event_type"), F.rint(F.col("value") * 100).cast("bigint")
 
     def amount(total: Column) -> Column:
@@ -257,7 +262,7 @@ def agents(spark, sf) -> DataFrame:
         (F.col("high") / 10).alias("gps_longitude"),
         F.col("clicks").cast("double").alias("compliance_score"),
     )
-    return src.conform(raw, src.AGENTS)
+    return load(raw, src.AGENTS)
 
 
 AGENTS_SQL = """users as (select user_id, count(*) as events, sum(value::decimal(18,2)) as volume,
@@ -277,7 +282,16 @@ agents as (
 scored as (select *, (monthly_transactions + active_customer_base) / nullif(months_active, 0) as engagement_score from agents)"""
 
 
-def market(spark, sf) -> dict[str, DataFrame]:
+MARKET_DATASETS = {
+    "ages": src.INDUSTRY_AGES,
+    "industries": src.INDUSTRY_POPULATION,
+    "regions": src.REGION_POPULATION,
+    "region_industry": src.INDUSTRY_BY_REGION,
+}
+
+
+def market_raw(spark, sf) -> dict[str, DataFrame]:
+    """The four tables of the bundle under their source headers."""
     c = table(spark, sf, "customer")
     ages = c.groupBy(
         F.concat(F.lit("Age "), F.col("c_nationkey")).alias("Age Groups"), F.col("c_mktsegment")
@@ -285,7 +299,7 @@ def market(spark, sf) -> dict[str, DataFrame]:
     parts = table(spark, sf, "part").groupBy(F.col("p_brand").alias("Industry"))
     industries = parts.agg(F.sum("p_size").alias("Total population"))
     placed = c.join(_customer_regions(spark, sf), F.col("c_nationkey") == F.col("n_nationkey"))
-    regions = placed.groupBy(F.col("r_name").alias("region")).agg(F.count(F.lit(1)).alias("population"))
+    regions = placed.groupBy(F.col("r_name").alias("Region")).agg(F.count(F.lit(1)).alias("population"))
     counted = placed.groupBy("r_name", "c_nationkey").pivot("c_mktsegment", list(SEGMENTS)).agg(F.count(F.lit(1)))
     # Cells as a spreadsheet may hold them: blanks around numbers, thousands commas, notes.
     texts = {
@@ -294,13 +308,12 @@ def market(spark, sf) -> dict[str, DataFrame]:
         .otherwise(F.concat(F.lit(" "), F.col(s), F.lit(" ")))
         for i, s in enumerate(SEGMENTS)
     }
-    wide = counted.select(F.col("r_name").alias("region"), *[v.alias(k) for k, v in texts.items()])
-    return {
-        "ages": src.conform(ages, src.INDUSTRY_AGES),
-        "industries": src.conform(industries, src.INDUSTRY_POPULATION),
-        "regions": regions,
-        "region_industry": src.normalize_nulls(wide),
-    }
+    wide = counted.select(F.col("r_name").alias("Region"), *[v.alias(k) for k, v in texts.items()])
+    return {"ages": ages, "industries": industries, "regions": regions, "region_industry": wide}
+
+
+def market(spark, sf) -> dict[str, DataFrame]:
+    return {name: src.conform(raw, MARKET_DATASETS[name]) for name, raw in market_raw(spark, sf).items()}
 
 
 _CELLS = ",\n      ".join(

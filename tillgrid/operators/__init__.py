@@ -23,7 +23,7 @@ from tillgrid.operators.filters import (
     ensure_column,
     filter_eq_optional,
     filter_in,
-    has_column,
+    filter_years,
     lookup_one,
     options_with_all,
 )
@@ -33,9 +33,11 @@ from tillgrid.operators.points import category_grid, group_points, map_points, s
 from tillgrid.operators.reshape import dense_counts, melt
 from tillgrid.operators.shares import flag_max, pct_change, share_of_total
 from tillgrid.operators.statistics import (
+    box_outliers,
     box_stats,
     corr_matrix,
     histogram,
+    histogram_with_density,
     kde,
     linreg,
     linreg_band,

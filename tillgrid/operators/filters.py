@@ -19,6 +19,24 @@ def filter_in(df: DataFrame, wanted: Mapping[str, Iterable[Any]]) -> DataFrame:
     return df
 
 
+def filter_years(df: DataFrame, date: str, years: Iterable[int | None]) -> DataFrame:
+    """Rows whose date lies in one of the years, as ranges of the date itself, which reach the scan.
+
+    Neighbouring years are one range; a None matches NULL.
+    """
+    years = list(years)
+    keep = column(date).isNull() if None in years else F.lit(False)
+    known = sorted({int(y) for y in years if y is not None})
+    starts = [y for y in known if y - 1 not in known]
+    for start in starts:
+        end = start
+        while end in known:
+            end += 1
+        low, high = (F.lit(f"{y:04d}-01-01 00:00:00").cast("timestamp_ntz") for y in (start, end))
+        keep = keep | ((column(date) >= low) & (column(date) < high))
+    return df.where(keep)
+
+
 def filter_eq_optional(df: DataFrame, wanted: Mapping[str, Any], skip: Any = "All") -> DataFrame:
     """Equality filters, each left out when its value is ``skip``."""
     for name, value in wanted.items():
@@ -63,8 +81,3 @@ def ensure_column(df: DataFrame, name: str, default: Any, dtype: str = "string")
     if name in df.columns:
         return df
     return df.withColumn(name, F.lit(default).cast(dtype))
-
-
-def has_column(df: DataFrame, name: str) -> bool:
-    """Guard of the option list and of the reshaping panel: a column is there and a row too."""
-    return name in df.columns and not df.isEmpty()

@@ -26,6 +26,9 @@ def chosen_accounts(
         accounts = op.drop_null(accounts, "year_opened")
     else:
         accounts = op.filter_in(accounts, {"year_opened": years})
+        if "opening_date" in accounts.columns:
+            # Says the same of the date itself, which the scan can use.
+            accounts = op.filter_years(accounts, "opening_date", years)
     return accounts if types is None else op.filter_in(accounts, {"account_type": types})
 
 

@@ -75,6 +75,9 @@ def district_coverage(
     population: Sequence[tuple[str, int]] = DISTRICT_POPULATION,
 ) -> DataFrame:
     """Active customers of each branch as a percentage of its district's population."""
+    names = [name for name, _ in population]
+    if len(set(names)) < len(names):
+        raise ValueError("a district is listed twice; its branches would be counted twice")
     districts = inline_table(branches.sparkSession, population, "district string, population bigint")
     placed = branches.select(
         "branch_name", "active_customers", op.map_lookup(F.col("branch_name"), mapping).alias("matched_district")

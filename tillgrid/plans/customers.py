@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillgrid import operators as op
@@ -40,27 +42,57 @@ def prepare_customers(customers: DataFrame) -> DataFrame:
 def customer_insights(customers: DataFrame) -> DataFrame:
     """Lowest sector, largest region, first-year share, and the peak year with its change.
 
-    Each line reads the one column it needs.
+    One scan counts every value of the four columns and all rows; the lines come from those counts.
     """
-
-    def line(metric: str, df: DataFrame, label, value) -> DataFrame:
-        return df.select(F.lit(metric).alias("metric"), label.cast("string").alias("label"), value.alias("value"))
-
-    sector = op.value_shares(customers, "employment_sector").orderBy("n", "employment_sector").limit(1)
-    region = op.value_shares(customers, "region").limit(1)
-    first = op.kpis(
-        customers,
-        {"share": ratio(F.count_if(F.col("segment") == 0) * F.lit(100.0), F.count(F.lit(1)))},
+    dims = ["employment_sector", "region", "year_joined", "segment"]
+    texts = customers.select(*[F.col(d).cast("string").alias(d) for d in dims])
+    counted = texts.groupingSets([*([F.col(d)] for d in dims), []], *map(F.col, dims)).agg(
+        *[F.grouping(d).alias(f"no_{d}") for d in dims], F.count(F.lit(1)).alias("n")
     )
-    yearly = op.pct_change(op.value_counts(customers, "year_joined", order=None), "year_joined", "n")
-    peak = op.top_k(yearly, "n", 1, "year_joined")
-    return (
-        line("lowest_sector_share", sector, F.col("employment_sector"), F.col("share"))
-        .union(line("largest_region_share", region, F.col("region"), F.col("share")))
-        .union(line("first_year_share", first, F.lit(TENURE_LABELS[0]), F.col("share")))
-        .union(line("peak_year_customers", peak, F.col("year_joined"), F.col("n").cast("double")))
-        .union(line("peak_year_change", peak, F.col("year_joined"), F.col("pct_change")))
+
+    def known(dim: str) -> Column:
+        return (F.col(f"no_{dim}") == 0) & F.col(dim).isNotNull()
+
+    def total(dim: str) -> Column:
+        return F.sum(F.when(known(dim), F.col("n")))
+
+    def extreme(dim: str, sign: int) -> Column:
+        return F.min(F.when(known(dim), F.struct((F.col("n") * sign).alias("n"), F.col(dim).alias("label"))))
+
+    all_rows = F.sum(F.when(reduce(lambda a, b: a & b, [F.col(f"no_{d}") == 1 for d in dims]), F.col("n")))
+    first = F.coalesce(F.sum(F.when(known("segment") & (F.col("segment") == "0"), F.col("n"))), F.lit(0))
+    year = F.struct(F.col("year_joined").cast("int").alias("year"), "n")
+    row = counted.agg(
+        extreme("employment_sector", 1).alias("sector"),
+        total("employment_sector").alias("sectors"),
+        extreme("region", -1).alias("region"),
+        total("region").alias("regions"),
+        ratio(first * F.lit(100.0), all_rows).alias("first"),
+        F.array_sort(F.collect_list(F.when(known("year_joined"), year))).alias("years"),
     )
+    most = F.array_max(F.transform("years", lambda y: y["n"]))
+    place = F.array_position(F.transform("years", lambda y: y["n"]), most).cast("int")
+    row = row.withColumn("peak", F.try_element_at("years", F.nullif(place, F.lit(0))))
+    row = row.withColumn("before", F.when(place > 1, F.get("years", place - 2)))
+    change = (ratio(F.col("peak.n"), F.col("before.n")) - F.lit(1.0)) * F.lit(100.0)
+
+    def line(metric: str, label: Column, value: Column, shown: Column) -> Column:
+        return F.struct(
+            F.lit(metric).alias("metric"),
+            label.cast("string").alias("label"),
+            value.cast("double").alias("value"),
+            shown.alias("shown"),
+        )
+
+    sector, region, peak = F.col("sector"), F.col("region"), F.col("peak")
+    lines = [
+        line("lowest_sector_share", sector["label"], ratio(sector["n"] * F.lit(100.0), F.col("sectors")), sector.isNotNull()),
+        line("largest_region_share", region["label"], ratio(region["n"] * F.lit(-100.0), F.col("regions")), region.isNotNull()),
+        line("first_year_share", F.lit(TENURE_LABELS[0]), F.col("first"), F.lit(True)),
+        line("peak_year_customers", peak["year"], peak["n"], peak.isNotNull()),
+        line("peak_year_change", peak["year"], change, peak.isNotNull()),
+    ]
+    return row.select(F.inline(F.array(*lines))).where("shown").drop("shown")
 
 
 def customers_report(

@@ -27,6 +27,14 @@ def industry_by_region(wide: DataFrame, region: str = "region") -> DataFrame:
     return op.drop_null(long.withColumn("count", to_number(F.col("count").cast("string"))), "count")
 
 
+def _header(df: DataFrame, name: str) -> str:
+    """The frame's own spelling of a column, found as Spark finds columns."""
+    found = [c for c in df.columns if c.lower() == name.lower()]
+    if not found:
+        raise ValueError(f"no column {name} among {df.columns}")
+    return found[0]
+
+
 def market_report(
     ages: DataFrame,
     industries: DataFrame,
@@ -49,8 +57,9 @@ def market_report(
     }
     if regions.columns:
         panels["region_preview"] = lambda: op.preview(regions, 5, regions.columns)
-    # The frame is empty where its bundle could not be loaded; then there is nothing to unpivot.
-    if region in region_industry.columns:
+    # The frame is without columns where its bundle could not be loaded; then there is nothing to unpivot.
+    if region_industry.columns:
+        region = _header(region_industry, region)
         panels["region_industry_preview"] = lambda: op.preview(
             region_industry, 5, [region, *(c for c in region_industry.columns if c != region)]
         )

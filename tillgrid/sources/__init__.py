@@ -16,7 +16,9 @@ from tillgrid.sources.schemas import (
     CUSTOMERS,
     EMPLOYEES,
     INDUSTRY_AGES,
+    INDUSTRY_BY_REGION,
     INDUSTRY_POPULATION,
+    REGION_POPULATION,
     Dataset,
     Field,
 )
@@ -29,7 +31,9 @@ __all__ = [
     "CUSTOMERS",
     "EMPLOYEES",
     "INDUSTRY_AGES",
+    "INDUSTRY_BY_REGION",
     "INDUSTRY_POPULATION",
+    "REGION_POPULATION",
     "Dataset",
     "Field",
     "conform",

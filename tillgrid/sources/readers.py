@@ -52,9 +52,12 @@ def _sql_text(value: str) -> str:
 def read_texts(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """CSV as text columns under its own headers; only the header line is read ahead.
 
-    ``multi_line`` accepts line breaks inside quotes, at the price of files that cannot be split.
+    Where a path holds several files, each must have the same headers in the same order; a file that
+    differs fails when it is read. ``multi_line`` accepts line breaks inside quotes, at the price of
+    files that cannot be split.
     """
-    return spark.read.options(header=True, quote='"', escape='"', multiLine=multi_line).csv(path)
+    options = {"header": True, "quote": '"', "escape": '"', "multiLine": multi_line, "enforceSchema": False}
+    return spark.read.options(**options).csv(path)
 
 
 def _typed(raw: DataFrame, header: str, field: Field, date_format: str | None) -> Column:
@@ -72,6 +75,13 @@ def _typed(raw: DataFrame, header: str, field: Field, date_format: str | None) -
                 message = F.concat(F.lit(f"{field.name} is not {field.dtype}: "), col)
                 parsed = F.when(bad, F.raise_error(message)).otherwise(parsed)
             col = parsed
+    elif field.dtype.startswith("decimal") and field.mode == "strict":
+        # As for text: what does not fit the declared decimals fails.
+        parsed, whole = col.try_cast(field.dtype), col.try_cast("decimal(38,18)")
+        known = col.isNotNull() & ~F.isnan(col.cast("double"))
+        bad = known & (parsed.isNull() | (parsed != whole))
+        message = F.concat(F.lit(f"{field.name} is not {field.dtype}: "), col.cast("string"))
+        col = F.when(bad, F.raise_error(message)).otherwise(parsed)
     else:
         col = col.cast(field.dtype)
     return nan_to_null(col) if field.dtype == "double" else col
@@ -82,10 +92,13 @@ def conform(
     dataset: Dataset,
     date_format: str | None = None,
     tokens: Iterable[str] = NA_TOKENS,
+    bare: Iterable[str] = (),
 ) -> DataFrame:
     """Declared columns by header, or by name where already renamed, nulls cleaned and typed.
 
-    Column order in the file does not matter. A missing column fails here unless optional.
+    Column order in the file does not matter. A missing column fails here unless optional; others
+    are left out, or follow under their own headers where the dataset takes the rest. ``bare`` names
+    headers known to hold no missing-value text: they stay as they are, so filters on them reach the scan.
     """
     names = raw.columns
     found = [(f, next((h for h in (f.header, f.name) if h in names), None)) for f in dataset.fields]
@@ -93,8 +106,11 @@ def conform(
     if missing:
         raise ValueError(f"{dataset.name} lacks columns {missing}")
     held = [(f, header) for f, header in found if header is not None]
-    clean = normalize_nulls(raw, tokens, [header for _, header in held])
-    return clean.select(*[_typed(clean, header, f, date_format).alias(f.name) for f, header in held])
+    taken = {header for _, header in held}
+    rest = [c for c in names if c not in taken] if dataset.rest else []
+    clean = normalize_nulls(raw, tokens, [h for h in (*taken, *rest) if h not in set(bare)])
+    typed = [_typed(clean, header, f, date_format).alias(f.name) for f, header in held]
+    return clean.select(*typed, *[F.col(_quoted(c)) for c in rest])
 
 
 def read_table(
@@ -103,10 +119,16 @@ def read_table(
     dataset: Dataset | None = None,
     fmt: str = "csv",
     date_format: str | None = None,
-    tokens: Iterable[str] = NA_TOKENS,
+    tokens: Iterable[str] | None = None,
     multi_line: bool = False,
 ) -> DataFrame:
-    """One table from a path; without a dataset all columns come back with nulls cleaned."""
+    """One table from a path; without a dataset all columns come back with nulls cleaned.
+
+    By default the missing-value tokens are cleaned from CSV, which has no other way to say null. Other
+    formats have real nulls: their columns stay bare, so filters on them reach the scan.
+    """
+    if tokens is None:
+        tokens = NA_TOKENS if fmt == "csv" else ()
     raw = read_texts(spark, path, multi_line) if fmt == "csv" else spark.read.format(fmt).load(path)
     if dataset is None:
         return normalize_nulls(raw, tokens)
@@ -118,6 +140,8 @@ def read_bundle(
     sources: Mapping[str, tuple[str, Dataset | None]],
     on_error: str = "raise",
     fmt: str = "csv",
+    date_format: str | None = None,
+    tokens: Iterable[str] | None = None,
 ) -> dict[str, DataFrame]:
     """Tables that belong together: name to (path, dataset).
 
@@ -127,7 +151,7 @@ def read_bundle(
     if on_error not in ("raise", "empty"):
         raise ValueError(f"unknown on_error {on_error!r}")
     try:
-        return {name: read_table(spark, path, ds, fmt) for name, (path, ds) in sources.items()}
+        return {name: read_table(spark, path, ds, fmt, date_format, tokens) for name, (path, ds) in sources.items()}
     except (PySparkException, ValueError):
         if on_error == "raise":
             raise

@@ -22,8 +22,11 @@ class Field:
 
 @dataclass(frozen=True)
 class Dataset:
+    """``rest`` takes the columns that are not declared as well, as they are."""
+
     name: str
     fields: tuple[Field, ...]
+    rest: bool = False
 
     def with_money(self, dtype: str) -> Dataset:
         """The same dataset with amounts of another type, where two decimals are not enough."""
@@ -146,3 +149,7 @@ INDUSTRY_POPULATION = Dataset(
     "industry_pop",
     (Field("Industry", "industry"), Field("Total population", "total_population", "double")),
 )
+
+REGION_POPULATION = Dataset("region_pop", (Field("Region", "region", optional=True),), rest=True)
+
+INDUSTRY_BY_REGION = Dataset("regbyindustry", (Field("Region", "region"),), rest=True)
