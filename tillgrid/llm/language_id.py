@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillgrid.llm.support import col
+from tillgrid.llm.support import col, fresh
 from tillgrid.llm.textblocks import Block, mix, text_blocks
 
 BITS = 15
@@ -228,24 +228,23 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", keep: list[Col
     """``lang_pred`` and ``score`` of each row, after the columns of ``keep``.
 
     A text that is null or has no letter is ``und`` with score 0, as is every text of a model that has
-    learned no language. An empty table stays empty.
+    learned no language. An empty table stays empty. Only the texts go to Python.
     """
-    rows = df.select(*(keep or []), col(text_col).cast("string").alias("_text_to_identify"))
-    kept = rows.columns[:-1]
-    schema = rows.select(*[col(c) for c in kept]).withColumns(
-        {"lang_pred": F.lit(None).cast("string"), "score": F.lit(None).cast("double")}
-    ).schema
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("lang string, score double")
+    def predict(texts: pa.Array) -> pa.Array:
         names = np.array([*model.languages, UNKNOWN], object)
-        for batch in batches:
-            langs, scores = [], []
-            for block in text_blocks(batch.column(batch.num_columns - 1)):
-                best, score = model.predict(block)
-                langs.append(names[best])
-                scores.append(score)
-            lang = pa.array(np.concatenate(langs) if langs else [], pa.string())
-            score = pa.array(np.concatenate(scores) if scores else [], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lang, score], names=[*kept, "lang_pred", "score"])
-
-    return rows.mapInArrow(predict, schema)
+        langs, scores = [], []
+        for block in text_blocks(texts):
+            best, score = model.predict(block)
+            langs.append(names[best])
+            scores.append(score)
+        lang = pa.array(np.concatenate(langs) if langs else [], pa.string())
+        score = pa.array(np.concatenate(scores) if scores else [], pa.float64())
+        return pa.StructArray.from_arrays([lang, score], names=["lang", "score"])
+
+    (found,) = fresh(df, "found")
+    rows = df.select(*(keep or []), predict(col(text_col).cast("string")).alias(found))
+    return rows.select(
+        *[col(c) for c in rows.columns[:-1]], col(found)["lang"].alias("lang_pred"), col(found)["score"].alias("score")
+    )

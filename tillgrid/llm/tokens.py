@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import json
 import os
+from itertools import chain
 
 import numpy as np
 
 from tillgrid.llm.textblocks import _WHITE, Block, Lookup, run_hashes
 
-_STORE_LIMIT = 1 << 24
+_STORE_LIMIT = 1 << 23
+_AT_ONCE = 4_096
 _encoders: dict[str, "BlockEncoder"] = {}
 
 
@@ -59,15 +61,19 @@ class BlockEncoder:
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self._tokenizer.decode_batch(ids, skip_special_tokens=False)
 
-    def _learn(self, ids: list[list[int]]) -> np.ndarray:
-        """Entries of new words."""
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        starts = len(self._ids) + np.cumsum(counts) - counts
+    def _learn(self, words: list[str]) -> np.ndarray:
+        """Entries of new words. They are encoded a few thousand at a time: the library's results are large."""
+        all_ids, all_counts = [self._ids], []
+        for i in range(0, len(words), _AT_ONCE):
+            ids = self._encode(words[i : i + _AT_ONCE])
+            all_counts.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            all_ids.append(np.fromiter(chain.from_iterable(ids), np.uint32, all_counts[-1].sum()))
+        counts = np.concatenate(all_counts)
         first = len(self._starts)
-        self._ids = np.concatenate([self._ids, np.fromiter((x for one in ids for x in one), np.uint32, counts.sum())])
-        self._starts = np.concatenate([self._starts, starts])
+        self._starts = np.concatenate([self._starts, len(self._ids) + np.cumsum(counts) - counts])
         self._counts = np.concatenate([self._counts, counts])
-        return np.arange(first, first + len(ids))
+        self._ids = np.concatenate(all_ids)
+        return np.arange(first, first + len(words))
 
     def ids(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the block's texts, and where each text's begin (rows + 1 entries)."""
@@ -89,7 +95,7 @@ class BlockEncoder:
             distinct, first, back = np.unique(keys[new], return_index=True, return_inverse=True)
             at = new[first]
             words = [bytes(block.data[a:b]).decode() for a, b in zip(starts[at], ends[at])]
-            learned = self._learn(self._encode(words))
+            learned = self._learn(words)
             self._known.add(distinct, learned)
             entries[new] = learned[back]
         counts = self._counts[entries]
