@@ -19,7 +19,7 @@ from tillgrid.llm.support import col, fresh, ranked
 
 BLOCK_ROWS = 32
 PERIOD = 1_000
-CELL_ROWS = 10_000
+CELL_ROWS = 1_000
 
 
 def parts_of(weights: Mapping[str, float], period: int) -> dict[str, int]:
