@@ -4,8 +4,7 @@ import pytest
 from compare import connect, differences
 
 import __spark_entry__ as entry
-
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+from bindings.registry import QUERIES, SQL
 
 
 @pytest.fixture(scope="module")
@@ -25,6 +24,7 @@ def test_query_without_sql_runs(name, spark, sf_dir):
 
 def test_sql_names_are_queries():
     assert set(SQL) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry_returns_ten_rows(spark):
