@@ -92,13 +92,42 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
-@query()
+@query(r"""
+    with w as (
+      select doc_id, [x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] as ws
+      from documents),
+    p as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as i, len(ws) as n from w),
+    g as (
+      select doc_id, i, n, string_agg(word, ' ') over (partition by doc_id order by i rows between current row and 12 following) as g
+      from p),
+    f as (select *, min(doc_id) over (partition by g) as first from g where i <= n - 12),
+    c as (select distinct doc_id, unnest(range(i, i + 13)) as i from f where first < doc_id),
+    k as (
+      select p.doc_id, count(c.i) as n_removed, string_agg(word, ' ' order by p.i) filter (c.i is null) as kept
+      from p left join c on p.doc_id = c.doc_id and p.i = c.i group by p.doc_id)
+    select w.doc_id, len(ws) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+    from w left join k on w.doc_id = k.doc_id
+""")
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of 13-word windows that an earlier document holds."""
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(r"""
+    with recursive w as (
+      select doc_id, [x for x in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') if x <> ''] as ws from documents),
+    s as (
+      select distinct doc_id, unnest(case when len(ws) = 1 then ws
+        else [ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))] end) as g from w),
+    n as (select doc_id, count(*) as n from s group by doc_id),
+    o as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+    l as (select a, b from o join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 80 * (x.n + y.n - k)),
+    e as (select a, b from l union all select b, a from l),
+    r as (select doc_id, doc_id as root from documents union select e.b, r.root from r join e on e.a = r.doc_id)
+    select d.doc_id, coalesce(n, 0) as n_shingles, min(root) as component_id, d.doc_id = min(root) as kept
+    from documents d join r on r.doc_id = d.doc_id left join n on n.doc_id = d.doc_id group by d.doc_id, n
+""")
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's component under links of similarity 0.8 on sets of two-word shingles."""
     return near_groups(table(spark, sf_dir, "documents"), size=2)
