@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 _written: list[tuple[SparkSession, str]] = []
+_local: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -19,11 +20,12 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not spark.sparkContext.master.partition("[")[0] == "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="tillgrid-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = "file://" + tempfile.mkdtemp(prefix="tillgrid-")
+    return _local[app]
 
 
 def settle(df: DataFrame) -> DataFrame:
