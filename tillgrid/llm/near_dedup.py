@@ -4,12 +4,12 @@ One permutation scatters a document's word shingles over ``1 << PLACES`` places;
 places, gives coordinate k of the signature. All coordinates of a shingle are neighbours in one table, so a
 signature is a running minimum of table rows. Bands of coordinates propose pairs, and the full sets decide.
 
-Equal sets are one class from the start. In each bucket of a band the members first meet one pivot, then sixteen
-more, each time only where the bucket still holds several components, and only members of other
-components. A pivot has met the whole bucket and leaves it. Nearly all buckets are of one component then.
-In the others, what lies outside the largest component meets the whole bucket, block against block, so
-what is shuffled are blocks and what comes out are links; two documents are compared in the first band
-they share. So every link between members of a bucket is within a component in the end.
+Equal sets are one class from the start. In each bucket of a band the members first meet one of them, the pivot,
+which joins most buckets to one component. Where a bucket still holds several, members of different
+components meet: in buckets of at most ``FEW`` documents pair by pair, in larger ones what lies outside
+the largest component meets the whole bucket, block against block, so what is shuffled are blocks and what
+comes out are links; there two documents are compared in the first band they share. So every link
+between members of a bucket is within a component in the end.
 
 With 48 bands of 6, two documents of similarity 0.8 share no bucket with probability 5e-7.
 """
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillgrid.llm.components import components
@@ -32,7 +32,7 @@ PERCENT = 80
 BANDS = 48
 BAND_ROWS = 6
 PLACES = 20
-PIVOTS = (1, 16)
+FEW = 16
 BLOCK_DOCS = 512
 _STEP = np.uint64(0x2545F4914F6CDD1D)
 _tables: dict[int, np.ndarray] = {}
@@ -235,44 +235,37 @@ def near_groups(
     members = settle(exploded.join(settle(shared), "key"))
     candidates = settle(members.select("doc").distinct())
     sets = settle(_sets(docs.join(candidates, "doc", "left_semi"), size))
-    roots = links = None
-    for turn in range(len(PIVOTS) + 1):
-        if roots is None:
-            members = members.withColumn("at", F.col("doc"))
-        else:
-            members = members.drop("at").join(roots, members["doc"] == roots["node"], "left").select(
-                "doc", "n", "key", F.coalesce("root", "doc").alias("at")
-            )
-            open_ = members.groupBy("key").agg(F.min("at").alias("x"), F.max("at").alias("y")).where("x < y").select("key")
-            members = settle(members.join(settle(open_), "key"))
-        if members.isEmpty():
-            break
-        if turn == len(PIVOTS):
-            found = _linked_in_blocks(members.select("key", "doc", "at"), sets.join(first.select("doc", "keys"), "doc"), percent)
-        else:
-            slot = F.pmod(F.xxhash64("doc", F.lit(turn)), F.lit(PIVOTS[turn]))
-            pivots = settle(
-                members.groupBy("key", slot.alias("slot"))
-                .agg(F.min(F.struct("doc", "n", "at")).alias("p"))
-                .select("key", F.col("p.doc").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.at").alias("pat"))
-            )
-            near = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
-            pairs = (
-                members.join(pivots, "key")
-                .where((F.col("at") != F.col("pat")) & (F.col("doc") != F.col("pivot")) & near)
-                .select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b"))
-                .distinct()
-            )
-            found = _linked(pairs, sets, percent)
-            members = members.join(pivots.select("key", F.col("pivot").alias("doc")), ["key", "doc"], "left_anti")
-        found = settle(found)
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
+    near = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
+
+    def meet(rows: DataFrame, others: DataFrame, apart: Column) -> DataFrame:
+        """Links between rows and others (key, doc2, n2, at2) of their bucket in other components."""
+        pairs = rows.join(others, "key").where(apart & near)
+        pairs = pairs.select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
+        return settle(_linked(pairs, sets, percent))
+
+    members = members.withColumn("at", F.col("doc"))
+    pivots = settle(members.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("p")))
+    hub = pivots.select("key", F.col("p.doc").alias("doc2"), F.col("p.n").alias("n2"), F.col("p.doc").alias("at2"))
+    links = meet(members, hub, F.col("at") != F.col("at2"))
+    roots = components(links)
+    placed = members.join(roots, members["doc"] == roots["node"], "left")
+    placed = settle(placed.select("doc", "n", "key", F.coalesce("root", "doc").alias("at")))
+    open_ = placed.groupBy("key").agg(F.min("at").alias("x"), F.max("at").alias("y"), F.count(F.lit(1)).alias("size"))
+    open_ = settle(open_.where("x < y").select("key", "size"))
+    # The pivot has met its whole bucket.
+    left = placed.join(pivots.select("key", F.col("p.doc").alias("doc")), ["key", "doc"], "left_anti")
+    left = settle(left.join(open_, "key"))
+    few = left.where(F.col("size") <= FEW).drop("size")
+    if not few.isEmpty():
+        others = few.select("key", F.col("doc").alias("doc2"), F.col("n").alias("n2"), F.col("at").alias("at2"))
+        links = links.unionByName(meet(few, others, F.col("at") < F.col("at2")))
+    many = left.where(F.col("size") > FEW).select("key", "doc", "at")
+    if not many.isEmpty():
+        info = sets.join(first.select("doc", "keys"), "doc")
+        links = links.unionByName(settle(_linked_in_blocks(many, info, percent)))
+    roots = components(links)
     labelled = signed.join(classes, ["low", "high", "n"], "left")
-    if roots is not None:
-        labelled = labelled.join(roots, labelled["rep"] == roots["node"], "left")
-    else:
-        labelled = labelled.withColumn("root", F.lit(None).cast("long"))
+    labelled = labelled.join(roots, labelled["rep"] == roots["node"], "left")
     own = F.when(F.col("n") > 0, F.coalesce("root", "rep")).otherwise(F.col("doc"))
     component = F.when(F.col("doc").isNotNull(), own)
     return labelled.select(
