@@ -73,7 +73,7 @@ def test_filters_reach_the_scan(spark, sf_dir, tmp_path, plan):
     assert "EqualTo(p_brand,Brand#7)" in hired
     path = str(tmp_path / "accounts")
     st.accounts(spark, sf_dir).drop("year_opened").write.parquet(path)
-    accounts = plans.prepare_accounts(src.read_table(spark, path, src.ACCOUNTS, fmt="parquet"))
+    accounts = plans.prepare_accounts(src.read_table(spark, path, src.ACCOUNTS, fmt="parquet", tokens=()))
     chosen = plan(plans.accounts.chosen_accounts(accounts, [1996, 1997, 1999], ["1-URGENT", "2-HIGH"]))
     assert "In(account_type, [1-URGENT,2-HIGH])" in chosen and "GreaterThanOrEqual(opening_date" in chosen
     spark.conf.unset("spark.sql.maxMetadataStringLength")

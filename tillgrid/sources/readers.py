@@ -119,16 +119,14 @@ def read_table(
     dataset: Dataset | None = None,
     fmt: str = "csv",
     date_format: str | None = None,
-    tokens: Iterable[str] | None = None,
+    tokens: Iterable[str] = NA_TOKENS,
     multi_line: bool = False,
 ) -> DataFrame:
     """One table from a path; without a dataset all columns come back with nulls cleaned.
 
-    By default the missing-value tokens are cleaned from CSV, which has no other way to say null. Other
-    formats have real nulls: their columns stay bare, so filters on them reach the scan.
+    Give ``tokens=()`` for a table that says null as null, such as a staged one: its text columns then
+    stay bare, so filters on them reach the scan.
     """
-    if tokens is None:
-        tokens = NA_TOKENS if fmt == "csv" else ()
     raw = read_texts(spark, path, multi_line) if fmt == "csv" else spark.read.format(fmt).load(path)
     if dataset is None:
         return normalize_nulls(raw, tokens)
@@ -141,7 +139,7 @@ def read_bundle(
     on_error: str = "raise",
     fmt: str = "csv",
     date_format: str | None = None,
-    tokens: Iterable[str] | None = None,
+    tokens: Iterable[str] = NA_TOKENS,
 ) -> dict[str, DataFrame]:
     """Tables that belong together: name to (path, dataset).
 
