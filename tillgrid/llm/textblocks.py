@@ -8,6 +8,7 @@ block and the longest single text, never the partition.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -109,6 +110,15 @@ def text_blocks(column: pa.Array | pa.ChunkedArray, limit: int = BLOCK) -> Itera
         j = min(j, rows)
         yield Block(i, j - i, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         i = j
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the machine: Python workers outlive their tasks, and idle ones should be small."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def rows_of(bounds: np.ndarray) -> np.ndarray:

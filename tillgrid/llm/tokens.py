@@ -16,7 +16,7 @@ import numpy as np
 
 from tillgrid.llm.textblocks import _WHITE, Block, Lookup, run_hashes
 
-_STORE_LIMIT = 1 << 23
+_STORE_LIMIT = 1 << 22
 _AT_ONCE = 4_096
 _encoders: dict[str, "BlockEncoder"] = {}
 
@@ -50,7 +50,7 @@ class BlockEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self._known = Lookup(21)
+        self._known = Lookup(20)
         self._starts = np.zeros(1, np.int64)
         self._counts = np.zeros(1, np.int64)
         self._ids = np.zeros(0, np.uint32)
