@@ -18,14 +18,14 @@ from tillgrid.llm.textblocks import text_blocks
 from tillgrid.llm.tokens import BlockEncoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
+ENCODER, TOKENIZER = BlockEncoder(PATH), Tokenizer.from_file(PATH)
 ODD = ["", None, " ", "a", "don't  stop\n\n now", "x  y", "é è  z", "12 345,6", "a <|endoftext|> b", "\t\tx ", "日本 語 文", "end\n"]
 
 
 @given(st.lists(st.text(alphabet="aB1é   \n\t'.,日s<|>", max_size=30), max_size=5))
 @settings(max_examples=150, deadline=None)
 def test_encoder_agrees_with_the_tokenizer(texts):
-    encoder = BlockEncoder(PATH)
-    plain = Tokenizer.from_file(PATH)
+    encoder, plain = ENCODER, TOKENIZER
     for rows in (texts, [*ODD, *texts], ["", *texts, ""]):
         for block in text_blocks(pa.array(rows, pa.string())):
             ids, bounds = encoder.ids(block)
