@@ -2,6 +2,7 @@
 
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -11,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tillgrid.llm.mixing import mix, parts_of, schedule
+from tillgrid.llm.mixing import exact_parts, mix, parts_of, places, schedule, slot_table, tempered
 from tillgrid.llm.packing import best_fit_decreasing, pack
 from tillgrid.llm.sharding import clockwise, plan_loads, ring, shard_rows
 from tillgrid.llm.textblocks import text_blocks
@@ -161,3 +162,40 @@ def test_mix_of_nothing_and_missing_weight(make):
     assert mix(make([])).count() == 0
     with pytest.raises(ValueError, match="no weight"):
         mix(make([(1, "t", None, "x", 1)]), weights={"y": 1.0})
+
+
+def test_unrounded_weights_over_many_slots():
+    """Less than one block from the given weights at every slot, also for sources far below one part in 1,000."""
+    sizes = {"big": 100_000, "mid": 7_777, **{f"one{i}": 1 for i in range(40)}}
+    shares = tempered(sizes, 0.8)
+    total = sum(Fraction(w) for w in shares.values())
+    assert min(shares.values()) / total < 1 / 5_000
+    done = Counter()
+    for s, block, epoch, slot in places(exact_parts(shares), {s: -(-n // 32) for s, n in sizes.items()}):
+        assert divmod(done[s], -(-sizes[s] // 32)) == (epoch, block)
+        done[s] += 1
+        for x in (s, "big", "mid", "one0", "one39"):
+            assert abs(done[x] - (slot + 1) * Fraction(shares[x]) / total) < 1
+    assert slot > 5_000 and max(done[f"one{i}"] for i in range(40)) <= 2
+
+
+def test_mix_keeps_the_given_weights(make):
+    rows = [(i, "t", None, "big" if i < 3_000 else f"one{i}", 1) for i in range(3_004)]
+    weights = {"big": 1.0, **{f"one{i}": 0.0004 for i in range(3_000, 3_004)}}
+    got = mix(make(rows), weights=weights, block_rows=1, cell_rows=100).collect()
+    total = 1.0 + 4 * 0.0004
+    order = sorted((r["mix_slot_"], r.source) for r in got)
+    assert [t for t, _ in order] == list(range(len(got)))
+    done = Counter()
+    for t, s in order:
+        done[s] += 1
+        assert all(abs(done[x] - (t + 1) * w / total) < 1 + 1e-9 for x, w in weights.items())
+    assert {r.doc_id for r in got} == {r[0] for r in rows} and max(done[f"one{i}"] for i in range(3_000, 3_004)) <= 2
+
+
+def test_slots_come_in_ranges(spark):
+    parts, blocks = {"a": 3, "b": 2}, {"a": 7, "b": 1}
+    want = list(places(parts, blocks))
+    for slots in (1, 4, 1_000):
+        got = slot_table(spark, parts, blocks, slots).collect()
+        assert sorted(map(tuple, got), key=lambda r: r[3]) == want

@@ -2,24 +2,39 @@
 
 Each source is cut into blocks of rows. Block i of a source with weight w may start at slot floor(i / w) and
 must end by slot ceil((i + 1) / w); of the blocks that may start, the one due first takes the slot. After
-any number of slots a source is then less than one block away from its share. Weights are whole parts of
-``period`` slots, so the schedule repeats: it is worked out for one period, and block i finds its slot from
-its place in the period.
+any number of slots a source is then less than one block away from its share. The weights are taken as they
+are, as whole parts of their exact sum, over all slots of the mix. The driver deals the slots, some
+microseconds each, in ranges of bounded size; each range is written out, and blocks meet their slots in a join.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+from functools import reduce
+from itertools import count, islice
+from math import inf, lcm
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillgrid.llm.support import col, fresh, ranked
+from tillgrid.llm.support import col, fresh, ranked, settle
 
 BLOCK_ROWS = 32
-PERIOD = 1_000
 CELL_ROWS = 1_000
+RANGE = 1 << 19  # slots that the driver holds at once
+SLOTS = "s string, block long, epoch long, slot long"
+
+
+def exact_parts(weights: Mapping[str, float]) -> dict[str, int]:
+    """Weights as whole parts of their sum, without rounding."""
+    if any(not 0 < w < inf for w in weights.values()):
+        raise ValueError("weights must be positive")
+    exact = {s: Fraction(float(w)) for s, w in weights.items()}
+    unit = lcm(*(x.denominator for x in exact.values()))
+    return {s: int(x * unit) for s, x in exact.items()}
 
 
 def parts_of(weights: Mapping[str, float], period: int) -> dict[str, int]:
@@ -41,24 +56,55 @@ def parts_of(weights: Mapping[str, float], period: int) -> dict[str, int]:
     return parts
 
 
-def schedule(parts: Mapping[str, int]) -> dict[str, list[int]]:
-    """The slots of each source's blocks within one period, earliest deadline first."""
-    period = sum(parts.values())
-    slots: dict[str, list[int]] = {s: [] for s in parts}
+def turns(parts: Mapping[str, int]) -> Iterator[str]:
+    """The source of each slot, without end, earliest deadline first."""
+    total = sum(parts.values())
+    done = dict.fromkeys(parts, 0)
     waiting = [(0, s) for s in parts]
     heapq.heapify(waiting)
     ready: list[tuple[int, str]] = []
-    for slot in range(period):
+    for slot in count():
         while waiting and waiting[0][0] <= slot:
             _, s = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(len(slots[s]) + 1) * period // parts[s]), s))
+            heapq.heappush(ready, (-(-(done[s] + 1) * total // parts[s]), s))
         _, s = heapq.heappop(ready)
+        done[s] += 1
+        heapq.heappush(waiting, (done[s] * total // parts[s], s))
+        yield s
+
+
+def schedule(parts: Mapping[str, int]) -> dict[str, list[int]]:
+    """The slots of each source's blocks within as many slots as there are parts."""
+    slots: dict[str, list[int]] = {s: [] for s in parts}
+    for slot, s in enumerate(islice(turns(parts), sum(parts.values()))):
         slots[s].append(slot)
-        if len(slots[s]) < parts[s]:
-            heapq.heappush(waiting, (len(slots[s]) * period // parts[s], s))
     return slots
 
 
+def places(parts: Mapping[str, int], blocks: Mapping[str, int]) -> Iterator[tuple[str, int, int, int]]:
+    """Source, block, epoch and slot, until every block of every source had its first slot."""
+    done, left = dict.fromkeys(parts, 0), len(parts)
+    for slot, s in enumerate(turns(parts)) if parts else ():
+        epoch, block = divmod(done[s], blocks[s])
+        yield s, block, epoch, slot
+        done[s] += 1
+        left -= done[s] == blocks[s]
+        if not left:
+            return
+
+
+def slot_table(
+    spark: SparkSession, parts: Mapping[str, int], blocks: Mapping[str, int], slots: int = RANGE
+) -> DataFrame:
+    """What ``places`` gives, written in ranges of slots."""
+    rest, ranges = places(parts, blocks), []
+    while (held := list(islice(rest, slots))) or not ranges:
+        s, *numbers = zip(*held) if held else ((), (), (), ())
+        table = pa.table([pa.array(s, pa.string()), *(pa.array(n, pa.int64()) for n in numbers)], names=["s", "block", "epoch", "slot"])
+        ranges.append(settle(spark.createDataFrame(table, SLOTS)))
+    return reduce(DataFrame.unionByName, ranges)
+
+
 def tempered(sizes: Mapping[str, int], power: float) -> dict[str, float]:
     """Weights in proportion to a power of the source sizes; a power below 1 favours small sources."""
     return {s: n**power for s, n in sizes.items() if n}
@@ -71,7 +117,7 @@ def mix(
     weights: Mapping[str | None, float] | None = None,
     power: float = 0.8,
     block_rows: int = BLOCK_ROWS,
-    period: int = PERIOD,
+    period: int | None = None,
     cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """The rows with ``mix_epoch``, ``mix_block``, ``mix_slot`` and ``mix_place``, in as many copies as the weights ask for.
@@ -79,6 +125,9 @@ def mix(
     The schedule runs until every row has been used once; a source that ends before starts over, so
     nothing is dropped and small sources come back in later epochs. ``weights`` names every source
     (None: the rows without one); without it they are the sizes to ``power``. A null source is a source.
+    There may be any number of sources, and a weight may be as small as it likes: the mix is then as long
+    as that source's share of its first pass asks for. With a ``period`` the weights are first rounded to
+    whole parts of so many slots, at least one each, and there may be no more sources than that.
     Rows of one source are taken in the order of a hash of their id; equal ids follow one another. The
     last block of a source may be short. Existing columns with these names are renamed by a trailing
     underscore on the new ones. An empty table stays empty.
@@ -94,18 +143,8 @@ def mix(
         if missing := sorted(set(sizes) - set(shares)):
             raise ValueError(f"no weight for {missing}")
         shares = {s: w for s, w in shares.items() if s in sizes}
-    parts = parts_of(shares, period) if shares else {}
-    slots = schedule(parts)
-    blocks = {s: -(-n // block_rows) for s, n in sizes.items()}
-    end = max((((b - 1) // parts[s]) * period + slots[s][(b - 1) % parts[s]] + 1 for s, b in blocks.items()), default=0)
-    recipe = []
-    for s, b in blocks.items():
-        whole, rest = divmod(end, period)
-        due = whole * parts[s] + sum(x < rest for x in slots[s])
-        recipe.append((s, b, parts[s], due, -(-due // b), slots[s]))
-    plan = F.broadcast(  # one row per source, one number per slot of the period
-        spark.createDataFrame(recipe, "s string, b long, a long, due long, epochs long, slots array<int>")
-    )
+    parts = exact_parts(shares) if period is None else parts_of(shares, period)
+    dealt = slot_table(spark, parts, {s: -(-n // block_rows) for s, n in sizes.items()})
     cells = max(1, -(-sum(sizes.values()) // cell_rows))
     rows = df.select(
         F.struct(*[col(c) for c in df.columns]).alias("row"),
@@ -114,16 +153,11 @@ def mix(
         F.xxhash64(col(id_col), F.lit(1)).alias("draw"),
         col(id_col).alias("id"),
     )
-    numbered = ranked(rows, "source", "cell", [F.col("draw"), F.col("id")], "rank").join(plan, F.col("source") == F.col("s"))
-    held = numbered.select(
-        "row",
-        F.floor(F.col("rank") / block_rows).alias("block"),
-        (F.col("rank") % block_rows).alias("place"),
-        "b", "a", "due", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1)).alias("epoch"),
-    )
-    turn = F.col("epoch") * F.col("b") + F.col("block")
-    at = F.floor(turn / F.col("a")) * period + F.get("slots", (turn % F.col("a")).cast("int"))
-    return held.where(turn < F.col("due")).select(
+    numbered = ranked(rows, "source", "cell", [F.col("draw"), F.col("id")], "rank").select(
+        "row", "source", F.floor(F.col("rank") / block_rows).alias("own"), (F.col("rank") % block_rows).alias("place")
+    )
+    held = numbered.join(dealt, (F.col("source") == F.col("s")) & (F.col("own") == F.col("block")))
+    return held.select(
         *[F.col("row").getField(c).alias(c) for c in df.columns],
-        F.col("epoch").alias(epoch), F.col("block").alias(block), at.alias(slot), F.col("place").alias(place),
+        F.col("epoch").alias(epoch), F.col("block").alias(block), F.col("slot").alias(slot), F.col("place").alias(place),
     )
