@@ -199,3 +199,13 @@ def test_slots_come_in_ranges(spark):
     for slots in (1, 4, 1_000):
         got = slot_table(spark, parts, blocks, slots).collect()
         assert sorted(map(tuple, got), key=lambda r: r[3]) == want
+
+
+def test_mix_of_many_sources(make):
+    """More sources than the 1,000 slots of a former period."""
+    rows = [(i, "t", None, f"site{i % 1_001}", 1) for i in range(1_201)]
+    got = mix(make(rows)).collect()
+    assert {(r.doc_id, r.source) for r in got} == {(r[0], r[3]) for r in rows}
+    assert {r["mix_slot_"] for r in got} == set(range(len({r["mix_slot_"] for r in got})))
+    whole = Counter(r.doc_id for r in got if r.mix_epoch == 0)
+    assert whole == Counter(range(1_201))
