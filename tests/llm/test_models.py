@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillgrid.llm.chat_tree import END, START, format_conversations, read_back, read_nodes
-from tillgrid.llm.class_lm import exchange, score_texts
+from tillgrid.llm.class_lm import best_classes, exchange, grown, score_texts
 from tillgrid.llm.language_id import fit, ftrl, identify, temperature
 from tillgrid.llm.top_k import top_inner_products
 
@@ -107,6 +107,46 @@ def test_exchange_finds_classes():
     assert len(set(of[0:20:2])) == 1 and len(set(of[1:20:2])) == 1 and of[0] != of[1] and of[20] == 2
 
 
+def test_rare_words_join_the_learned_classes():
+    """Words outside the core go where their neighbours say, and leave their own class out of the account."""
+    grid = np.array([[0.0, 500, 5], [500, 0, 5], [5, 5, 0]])  # classes that take turns, and the end
+    contexts, counts = np.array([2, 3, 0, 1, 2, 3]), np.array([3, 3, 3, 3, 3, 3])
+    for of in ([-1, -1, -1], [1, -1, 0]):
+        got = best_classes(grid, 2, np.array(of), np.array([0, 2, 4]), contexts, counts)
+        assert got.tolist() == [0, 1, 0]
+
+
+def test_classes_grow_with_the_vocabulary():
+    assert grown(100) == (1024, 48) and grown(10**6) == (1024, 100) and grown(10**8)[0] > 3_000
+
+
+def turn_taking():
+    """Two kinds of words take turns; words of both kinds and of equal counts stand outside the core."""
+    rng = np.random.default_rng(11)
+    kinds = [[f"{k}{i}" for i in range(40)] for k in "xy"]
+    rows = []
+    for d in range(400):
+        at = [rng.choice(kinds[(d + j) % 2], p=np.r_[np.full(4, 0.2), np.full(36, 0.2 / 36)]) for j in range(24)]
+        rows.append((d, " ".join(at)))
+    return rows
+
+
+@pytest.mark.parametrize("head", [1 << 17, 30, 8])
+def test_class_model_knows_words_outside_the_core(make, head):
+    """Every step of a text but its words is known: about 0.3 for a change of kind lost in bands by count."""
+    rows = turn_taking()
+    got = score_texts(make(rows), F.col("doc_id") >= 360, head=head, class_words=8, classes=2).collect()
+    count = Counter(w for i, t in rows if i < 360 for w in t.split())
+    size = Counter()
+    for w, n in count.items():
+        size[w[0]] += n
+    texts = dict(rows)
+    for r in got:
+        if r.held_out and all(count[w] >= 4 for w in texts[r.doc_id].split()):
+            known = sum(math.log10(count[w] / size[w[0]]) for w in texts[r.doc_id].split())
+            assert abs(r.score - known) < 3.2  # two ends of a text, and the smoothing of 24 steps
+
+
 def brute_top(rows, k, every=3):
     fine = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = Counter()

@@ -1,15 +1,19 @@
 """Scoring by a Brown class model: P(word | previous word) = P(class | previous class) P(word | class).
 
-Counts of all words of all training rows come from one grouping. The ``class_words`` most frequent words are
-given to ``classes`` classes by exchange: each word in turn moves to the class that raises the likelihood of
-the corpus most, judged by the counts of all neighbouring words in all training rows. The other words of
-the ``head`` most frequent ones form classes by the magnitude of their count, and all rarer and unseen
-words form one more class. Transitions are smoothed towards the classes' own frequency. In the rare class an
+Counts of all words of all training rows come from one grouping. The most frequent words are given to the
+classes by exchange on the driver: each word in turn moves to the class that raises the likelihood of
+the corpus most, judged by the counts of all neighbouring words in all training rows. Then every other word
+with at least ``HEAD_COUNT`` tokens moves in Spark to the class of most gain, all words of a round at once,
+judged by its counts next to each class in all training rows; in the first round words without a class stand
+for the magnitude of their count, in later ones for the class they got. How many words the driver exchanges
+and how many classes there are grows with the vocabulary. Rarer and unseen words form one more class.
+Transitions are smoothed towards the classes' own frequency. In the rare class an
 absolute discount, estimated from the words met once and twice, leaves room for unseen words, which count
 as one more type; so the probabilities of all types sum to one and every text has one.
 
-What is sent to all tasks are ``head`` words and the square of the number of classes; both are parameters.
-The counts of rarer words meet the texts in a join.
+What is sent to all tasks are ``head`` words with their classes and the square of the number of classes. The
+classes and counts of all other words meet the training pairs and the texts in joins; only as neighbours in
+the rounds of exchange do they stand together for one class.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,13 +31,23 @@ from tillgrid.llm.support import col, settle
 from tillgrid.llm.textblocks import Lookup, rows_of, run_hashes, text_blocks
 
 HEAD = 1 << 17
-CLASS_WORDS = 1_024
-CLASSES = 48
+CLASS_WORDS = 1_024  # at least, see ``grown``
+CLASSES = 48  # at least
 ROUNDS = 6
+SPREADS = 2  # rounds over the words that the driver does not exchange
 END = -1  # the key of the end token; no word's fingerprint but by a chance of 2**-64
 BASE_ADD = 0.1
 PULL = 5.0
-HEAD_COUNT = 4  # rarer words are in the rare class whatever the head's size
+HEAD_COUNT = 4  # rarer words are in the rare class
+_CELLS = 1 << 19
+_DENSE = 1 << 23  # cells that a task adds up in place
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def grown(words: int) -> tuple[int, int]:
+    """How many words the driver exchanges, and among how many classes, for a vocabulary of ``words``."""
+    classes = max(CLASSES, round(words ** (1 / 3)))
+    return max(CLASS_WORDS, 8 * classes), classes
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -94,14 +109,48 @@ def exchange(pairs: np.ndarray, movable: int, classes: int, rounds: int = ROUNDS
     return of
 
 
+def best_classes(
+    grid: np.ndarray, classes: int, of: np.ndarray, starts: np.ndarray, context: np.ndarray, n: np.ndarray
+) -> np.ndarray:
+    """The class of most gain in likelihood for each word, all judged by the same grid.
+
+    The word's counts begin at ``starts``; a context is twice a class, and one more where that class comes
+    before the word. ``of`` is the class that the word's counts are part of in the grid, or -1.
+    """
+    words, side, other = np.repeat(np.arange(len(of)), np.diff(np.append(starts, len(n)))), context & 1, context >> 1
+    n, inside, at = n.astype(float), np.flatnonzero(of >= 0), np.arange(classes)
+    now = np.stack((grid[:classes].T, grid[:, :classes]))[side, other]
+    own = np.flatnonzero(of[words] >= 0)
+    now[own, of[words[own]]] -= n[own]
+    now = np.maximum(now, 0)
+    gain = np.add.reduceat(_xlogx(now + n[:, None]) - _xlogx(now), starts)
+    met = np.zeros((2, len(of), classes))
+    near = other < classes
+    met[side[near], words[near], other[near]] = n[near]
+    twice = np.tile(grid[at, at], (len(of), 1))
+    twice[inside, of[inside]] -= met[:, inside, of[inside]].sum(axis=0)
+    twice = np.maximum(twice, 0)
+    gain += _xlogx(twice + met.sum(axis=0)) + _xlogx(twice) - _xlogx(twice + met[0]) - _xlogx(twice + met[1])
+    for k in (0, 1):
+        ahead = np.tile(grid.sum(axis=1 - k)[:classes], (len(of), 1))
+        weight = np.bincount(words, np.where(side == k, n, 0), len(of))
+        ahead[inside, of[inside]] -= weight[inside]
+        ahead = np.maximum(ahead, 0)
+        gain -= _xlogx(ahead + weight[:, None]) - _xlogx(ahead)
+    best = gain.argmax(axis=1)
+    stay = inside[gain[inside, best[inside]] <= gain[inside, of[inside]] + 1e-9]
+    best[stay] = of[stay]
+    return best
+
+
 def score_texts(
     df: DataFrame,
     held_out: Column,
     id_col: str = "doc_id",
     text_col: str = "text",
     head: int = HEAD,
-    class_words: int = CLASS_WORDS,
-    classes: int = CLASSES,
+    class_words: int | None = None,
+    classes: int | None = None,
 ) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` per row.
 
@@ -110,7 +159,8 @@ def score_texts(
     to each count; ``score`` is the model's; both are base-10 logarithms of the whole text's probability.
     ``score / -n_tokens`` to the power of ten is the perplexity. A null or empty text is an end token. Rows
     that repeat an id or have none are scored each. Without training rows every word is unseen. An empty
-    table gives no rows; other columns are ignored.
+    table gives no rows; other columns are ignored. ``class_words`` and ``classes`` follow the vocabulary
+    (``grown``) where they are not given.
     """
     docs = df.select(
         col(id_col).cast("long").alias("doc"), held_out.alias("held_out"), col(text_col).cast("string").alias("text")
@@ -134,6 +184,9 @@ def score_texts(
     head_keys = top.column("key").to_numpy().view(np.uint64)
     head_counts = top.column("n").to_numpy().astype(np.int64)
     ends = int(vocabulary.where(F.col("key") == END).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    common = words.where(F.col("n") >= HEAD_COUNT)
+    common_words, common_tokens = common.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    class_words, classes = (given or own for given, own in zip((class_words, classes), grown(common_words)))
     movable = min(class_words, len(head_keys))
     magnitude = np.log2(np.maximum(head_counts[movable:], 1)).astype(np.int64)
     bands, band = np.unique(magnitude, return_inverse=True)
@@ -166,18 +219,150 @@ def score_texts(
     pairs = np.zeros(units * units)  # at most one row per pair of units came back
     pairs[table.column("pair").to_numpy()] = table.column("n").to_numpy()
     pairs = pairs.reshape(units, units)
-    class_of = exchange(pairs, movable, min(classes, max(1, movable)))
+    classes = min(classes, max(1, movable))
+    class_of = exchange(pairs, movable, classes)
     total = int(class_of.max()) + 1
     grid = np.zeros((total, total))
     np.add.at(grid, (class_of[:, None], class_of[None, :]), pairs)
+    kind_of, end = class_of[unit_of], int(class_of[end_unit])  # by head index; the last is for index -1
+
+    def contexts(kind_of: np.ndarray, end: int, total: int):
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Counts of a word next to a class, and, with a context of -1, of a class before a class.
+
+            Frequent words are counted in a table of bounded size, once for the task.
+            """
+            known, seen = known_words(), np.zeros(total * total, np.int64)
+            dense = min(len(head_keys), max(movable, _DENSE // (2 * total)))
+            held = np.zeros((dense - movable) * 2 * total, np.int32)
+            for batch in batches:
+                for block in text_blocks(batch.column("text")):
+                    keys, index, _, bounds, _ = sequences(block, known)
+                    line = np.insert(kind_of[index], bounds[1:], end)
+                    last = np.concatenate(([end], line[:-1]))
+                    seen += np.bincount(last * total + line, minlength=total * total)
+                    free = np.flatnonzero((index < 0) | (index >= movable))
+                    at, own = free + rows_of(bounds)[free], keys[free]
+                    for side, beside in ((0, line[at + 1]), (1, last[at])):
+                        often = (index[free] >= 0) & (index[free] < dense)
+                        np.add.at(held, (index[free[often]] - movable) * (2 * total) + beside[often] * 2 + side, 1)
+                    free = free[(index[free] < 0) | (index[free] >= dense)]
+                    at, own = free + rows_of(bounds)[free], keys[free]
+                    own, context = np.tile(own, 2), np.concatenate((line[at + 1] * 2, last[at] * 2 + 1))
+                    _, first, n = np.unique(own + context.astype(np.uint64) * _ODD, return_index=True, return_counts=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(own[first].view(np.int64)), pa.array(context[first], pa.int64()), pa.array(n)],
+                        names=["key", "context", "n"],
+                    )
+            at = np.flatnonzero(held)
+            for i in range(0, len(at), _CELLS):
+                some = at[i : i + _CELLS]
+                own = head_keys[movable + some // (2 * total)].view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own), pa.array(some % (2 * total)), pa.array(held[some].astype(np.int64))], names=["key", "context", "n"]
+                )
+            at = np.flatnonzero(seen)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(at), pa.array(np.full(len(at), -1)), pa.array(seen[at])], names=["key", "context", "n"]
+            )
+
+        # Tasks have added up what they can, so rows are dealt by word once; a word has at most two contexts a class.
+        rows = train.mapInArrow(count, "key long, context long, n long").repartition("key")
+        rows = rows.groupBy("key", "context").agg(F.sum("n").alias("n"))
+        rows = rows.groupBy("key", (F.col("context") < 0).alias("cell")).agg(F.collect_list(F.struct("context", "n")).alias("c"))
+        return settle(rows.select("key", "cell", F.col("c.context").alias("contexts"), F.col("c.n").alias("counts")))
+
+    def moves(kind_of: np.ndarray, grid: np.ndarray):
+        def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = known_words()
+            for batch in batches:
+                index = known.get(batch.column("key").to_numpy().view(np.uint64))
+                of = np.where((index >= 0) & (kind_of[index] < classes), kind_of[index], -1)
+                context, n = (batch.column(c).flatten().to_numpy() for c in ("contexts", "counts"))
+                bounds = np.concatenate(([0], np.cumsum(pc.list_value_length(batch.column("counts")).to_numpy())))
+                best, i = np.zeros(len(of), np.int64), 0
+                while i < len(of):
+                    j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + _CELLS // classes, "right")) - 1)
+                    inner = slice(bounds[i], bounds[j])
+                    best[i:j] = best_classes(grid, classes, of[i:j], bounds[i:j] - bounds[i], context[inner], n[inner])
+                    i = j
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("key"), pa.array(index), batch.column("total"), pa.array(best)], names=["key", "at", "n", "class"]
+                )
+
+        return move
+
+    moved = None
+    for turn in range(SPREADS if common_words > movable else 0):
+        near = contexts(kind_of, end, total)
+        if turn:
+            cells = near.where("cell").select("key", F.col("counts")[0].alias("n")).toArrow()  # at most the square of the number of classes
+            grid = np.zeros(total * total)
+            grid[cells.column("key").to_numpy()] = cells.column("n").to_numpy()
+            grid = grid.reshape(total, total)
+        lists = near.where(~F.col("cell")).join(common.select("key", F.col("n").alias("total")), "key")
+        moved = settle(lists.mapInArrow(moves(kind_of, grid), "key long, at long, n long, class long"))
+        got = moved.where(F.col("at") >= 0).select("at", "class").toArrow()  # ``head`` rows at most
+        kind_of = kind_of.copy()
+        kind_of[got.column("at").to_numpy()] = got.column("class").to_numpy()
+        end, total = classes, classes + 2
+        kind_of[-1] = rare = classes + 1
+    if moved is None:  # all words with enough counts are exchanged, and no magnitude is left
+        end, rare, total = classes, classes + 1, classes + 2
+        kind_of = np.append(kind_of[:-1], rare)
+        others = common.select("key", "n", F.lit(0).cast("long").alias("class")).where(F.lit(False))
+    else:
+        others = moved.where(F.col("at") < 0).select("key", "n", "class")
+
+    def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of classes (kind 0), of a word outside the head before (1) or after (2) a class, and of two such words (3)."""
+        known, seen = known_words(), np.zeros(total * total, np.int64)
+
+        def rows(kind, a, b, n):
+            columns = [pa.array(np.full(len(n), kind), pa.int64()), *(pa.array(x.astype(np.int64)) for x in (a, b, n))]
+            return pa.RecordBatch.from_arrays(columns, names=["kind", "a", "b", "n"])
+
+        for batch in batches:
+            for block in text_blocks(batch.column("text")):
+                keys, index, _, bounds, _ = sequences(block, known)
+                line = np.insert(np.where(index < 0, -1, kind_of[index]), bounds[1:], end)
+                names = np.insert(keys.view(np.int64), bounds[1:], END)
+                last, named = np.concatenate(([end], line[:-1])), np.concatenate(([END], names[:-1]))
+                kind = (last < 0) + 2 * (line < 0)
+                both = kind == 0
+                seen += np.bincount(last[both] * total + line[both], minlength=total * total)
+                for k, a, b in ((1, named, line), (2, names, last), (3, named, names)):
+                    a, b = a[kind == k], b[kind == k]
+                    yield rows(k, a, b, np.ones(len(a)))
+        at = np.flatnonzero(seen)
+        yield rows(0, at // total, at % total, seen[at])
+
+    last = train.mapInArrow(final, "kind long, a long, b long, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+    last = settle(last)
+
+    def classed(df: DataFrame, name: str) -> DataFrame:
+        """The fingerprint in this column gives way to its class."""
+        of = others.select(F.col("key").alias(name), "class")
+        kept = [c for c in df.columns if c != name]
+        return df.join(of, name, "left").select(*kept, F.coalesce("class", F.lit(rare)).cast("long").alias(name))
+
+    one = classed(last.where(F.col("kind").isin(1, 2)), "a")
+    one = one.select(*(F.when(F.col("kind") == 1, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("b", "a"))), "n")
+    two = classed(classed(last.where(F.col("kind") == 3), "a"), "b").select("a", "b", "n")
+    table = last.where(F.col("kind") == 0).select("a", "b", "n").unionByName(one).unionByName(two)
+    table = table.groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()  # at most the square of the number of classes
+    grid = np.zeros((total, total))
+    grid[table.column("a").to_numpy(), table.column("b").to_numpy()] = table.column("n").to_numpy()
     size = np.zeros(total)
-    np.add.at(size, class_of[unit_of[:-1]], head_counts)
-    rare_tokens = int(tokens) - ends - int(head_counts.sum())
-    rare_words = max(0, int(distinct) - len(head_keys) - (ends > 0))
-    size[class_of[end_unit]], size[class_of[rare_unit]] = ends, rare_tokens
+    np.add.at(size, kind_of[:-1], head_counts)
+    for k, n in others.groupBy("class").agg(F.sum("n")).collect():  # one row per class
+        size[k] += n
+    rare_tokens = int(tokens) - ends - int(common_tokens)
+    rare_words = max(0, int(distinct) - int(common_words) - (ends > 0))
+    size[end], size[rare] = ends, rare_tokens
     alone = (size + 0.5) / (size.sum() + 0.5 * total)
     step = np.log10((grid + PULL * alone) / (grid.sum(axis=1, keepdims=True) + PULL))
-    emit = np.log10(head_counts / size[class_of[unit_of[:-1]]])
+    emit = np.log10(head_counts / size[kind_of[:-1]])
     base_under = float(tokens + BASE_ADD * (distinct + 1))
     base = np.log10((head_counts + BASE_ADD) / base_under)
     base_end = float(np.log10((ends + BASE_ADD) / base_under))
@@ -188,11 +373,12 @@ def score_texts(
         known, made = known_words(), TaskContext.get().partitionId() << 40
         for batch in batches:
             for block in text_blocks(batch.column("text")):
-                keys, index, line, bounds, turns = sequences(block, known)
-                kind = class_of[line]
-                last = np.concatenate((class_of[[end_unit]], kind[:-1]))
+                keys, index, _, bounds, turns = sequences(block, known)
                 row, hit = rows_of(bounds), index >= 0
-                sums = np.add.reduceat(step[last, kind], turns[:-1])
+                kind = np.insert(np.where(hit, kind_of[index], -1), bounds[1:], end)
+                last = np.concatenate(([end], kind[:-1]))
+                open_ = (last < 0) | (kind < 0)
+                sums = np.add.reduceat(np.where(open_, 0, step[last, kind]), turns[:-1])
                 sums += np.bincount(row[hit], emit[index[hit]], block.rows)
                 plain = np.bincount(row[hit], base[index[hit]], block.rows) + base_end
                 found = np.bincount(row[hit], minlength=block.rows) + (ends > 0)
@@ -204,7 +390,14 @@ def score_texts(
                 new[1:] = (at[1:] != at[:-1]) | (own[1:] != own[:-1])
                 heads = np.flatnonzero(new)
                 times = np.diff(np.append(heads, len(at)))
-                lists = pa.array(np.searchsorted(at[heads], np.arange(block.rows + 1)), pa.int32())
+                firsts = np.searchsorted(at[heads], np.arange(block.rows + 1))
+                lists = pa.array(firsts, pa.int32())
+                # Words without a class here stand as -1 less their place in the row's list of keys.
+                named = np.zeros(len(order), np.int64)
+                named[order] = -1 - (np.cumsum(new) - 1 - firsts[at])
+                kind[np.flatnonzero(miss) + row[miss]] = named
+                last = np.concatenate(([end], kind[:-1]))
+                gaps = pa.array(np.concatenate(([0], np.cumsum(np.add.reduceat(open_.astype(np.int64), turns[:-1])))), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.arange(made, made + block.rows)),
@@ -216,8 +409,10 @@ def score_texts(
                         pa.array(sums),
                         pa.ListArray.from_arrays(lists, pa.array(own[heads])),
                         pa.ListArray.from_arrays(lists, pa.array(times, pa.int64())),
+                        pa.ListArray.from_arrays(gaps, pa.array(last[open_], pa.int32())),
+                        pa.ListArray.from_arrays(gaps, pa.array(kind[open_], pa.int32())),
                     ],
-                    names=["at", "doc", "held_out", "n_tokens", "n_known", "base", "score", "keys", "times"],
+                    names=["at", "doc", "held_out", "n_tokens", "n_known", "base", "score", "keys", "times", "froms", "tos"],
                 )
                 made += block.rows
 
@@ -225,23 +420,46 @@ def score_texts(
         docs.mapInArrow(
             score,
             "at long, doc long, held_out boolean, n_tokens long, n_known long, base double, score double, "
-            "keys array<long>, times array<long>",
+            "keys array<long>, times array<long>, froms array<int>, tos array<int>",
         )
     )
-    rare = scored.where(F.size("keys") > 0).select("at", F.explode(F.arrays_zip("keys", "times")).alias("word"))
-    rare = rare.select("at", F.col("word.keys").alias("key"), F.col("word.times").alias("times"))
-    seen = F.coalesce("n", F.lit(0))
+    asked = scored.where(F.size("keys") > 0).select("at", F.posexplode(F.arrays_zip("keys", "times")).alias("place", "word"))
+    asked = asked.select("at", "place", F.col("word.keys").alias("key"), F.col("word.times").alias("times"))
+    known = words.join(others.select("key", "class"), "key", "left")
+    seen, sizes = F.coalesce("n", F.lit(0)), F.get(F.lit(size.tolist()), F.col("class").cast("int"))
     sums = (
-        rare.join(words, "key", "left")
+        asked.join(known, "key", "left")
         .groupBy("at")
         .agg(
             F.sum(F.when(seen > 0, F.col("times")).otherwise(0)).alias("more_known"),
             F.sum(F.col("times") * F.log10((seen + BASE_ADD) / base_under)).alias("more_base"),
             F.sum(
-                F.col("times") * F.when(seen > 0, F.log10((seen - discount) / float(max(1, rare_tokens)))).otherwise(unseen)
+                F.col("times")
+                * F.when(F.col("class").isNotNull(), F.log10(seen / sizes))
+                .when(seen > 0, F.log10((seen - discount) / float(max(1, rare_tokens))))
+                .otherwise(unseen)
             ).alias("more_score"),
+            F.collect_list(F.struct("place", F.coalesce("class", F.lit(rare)).cast("int").alias("class"))).alias("found"),
         )
     )
+
+    def bridge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Adds the transitions from and to the words outside the head."""
+        for batch in batches:
+            rows = batch.num_rows
+            length = {c: pc.fill_null(pc.list_value_length(batch.column(c)), 0).to_numpy() for c in ("places", "froms")}
+            ahead = np.cumsum(length["places"]) - length["places"]
+            kinds = np.zeros(int(length["places"].sum()), np.int64)
+            row = np.repeat(np.arange(rows), length["places"])
+            kinds[ahead[row] + batch.column("places").flatten().to_numpy()] = batch.column("kinds").flatten().to_numpy()
+            row = np.repeat(np.arange(rows), length["froms"])
+            pair = [batch.column(c).flatten().to_numpy().astype(np.int64) for c in ("froms", "tos")]
+            for x in pair:
+                x[x < 0] = kinds[ahead[row[x < 0]] - 1 - x[x < 0]]
+            score = batch.column("score").to_numpy() + np.bincount(row, step[pair[0], pair[1]], rows)
+            names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(score)], names=[*names, "score"])
+
     return scored.join(sums, "at", "left").select(
         F.col("doc").alias("doc_id"),
         "held_out",
@@ -250,4 +468,8 @@ def score_texts(
         F.lit(int(tokens)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
         (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
-    )
+        F.col("found.place").alias("places"), F.col("found.class").alias("kinds"), "froms", "tos",
+    ).mapInArrow(
+        bridge,
+        "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
+    )
