@@ -10,10 +10,12 @@ import corpus_pipeline
 from tillgrid.llm.chat_tree import format_conversations, read_back
 from tillgrid.llm.class_lm import score_texts
 from tillgrid.llm.exact_dedup import exact_groups
+from tillgrid.llm.hard_negatives import hard_negatives
 from tillgrid.llm.language_id import fit, identify
 from tillgrid.llm.mixing import mix
 from tillgrid.llm.near_dedup import near_groups
 from tillgrid.llm.packing import pack
+from tillgrid.llm.periodic_runs import find_runs
 from tillgrid.llm.registry import QUERIES, SQL, query, table
 from tillgrid.llm.sharding import shard_rows
 from tillgrid.llm.substring_dedup import remove_repeats
@@ -170,6 +172,112 @@ def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+_CRC32 = """(xor(list_reduce([4294967295::bigint] || flatten([[ord(c)::bigint, 0, 0, 0, 0, 0, 0, 0] for c in string_split({text}, '')]),
+  lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295))"""
+
+
+@query(rf"""
+    with h as (
+      select doc_id, [x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] as ws,
+        {_CRC32.format(text="coalesce(doc_id::varchar, '')")} as h
+      from documents),
+    g as (
+      select *, len(ws) as n, (h // 10) % greatest(len(ws), 1) as a, (h // 10) % 8 as e from h),
+    w as (
+      select doc_id, case when h % 10 = 0 and n > 0 then [case when i < a then ws[i + 1]
+          else ws[a + (i - a) % (1 + (n - a) // (3 + e)) + 1] end for i in range(n)] else ws end as ws
+      from g),
+    p as (select doc_id, unnest(ws) as word, unnest(range(len(ws))) as i, len(ws) as n from w),
+    s as (
+      select a.doc_id, b.i - a.i as q, a.i from p a join p b on a.doc_id = b.doc_id and a.word = b.word
+      where b.i > a.i and 4 * (b.i - a.i) <= a.n),
+    t as (select *, i - row_number() over (partition by doc_id, q order by i) as island from s),
+    f as (
+      select doc_id, q, min(i) as start, count(*) + q as length from t group by doc_id, q, island
+      having count(*) + q >= greatest(6, 4 * q)),
+    r as (
+      select * from f where not exists (
+        select 1 from f o where o.doc_id = f.doc_id and o.q < f.q and f.q % o.q = 0 and o.start <= f.start
+          and o.start + o.length >= f.start + f.length)),
+    m as (
+      select doc_id, count(*) as n_runs, arg_max({{'start': start, 'length': length, 'period': q}}, [length, -start, -q]) as best,
+        string_agg(start || ',' || length || ',' || q || chr(10), '' order by start, q) as runs from r group by doc_id),
+    d as (select distinct doc_id, unnest(range(start + q, start + length)) as i from r),
+    k as (
+      select p.doc_id, string_agg(word, ' ' order by p.i) as kept from p anti join d on p.doc_id = d.doc_id and p.i = d.i
+      group by p.doc_id)
+    select w.doc_id, coalesce(n_runs, 0) as n_runs, best.start as start, best.length as length, best.period as period,
+      1000 * best.length // best.period as exponent_milli, sha256(coalesce(runs, '')) as runs_sha256,
+      sha256(coalesce(kept, '')) as collapsed_sha256
+    from w left join m on w.doc_id = m.doc_id left join k on w.doc_id = k.doc_id
+""")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's periodic runs, a tenth of the documents made periodic by their id."""
+    found = find_runs(made_periodic(table(spark, sf_dir, "documents")))
+    longest = F.array_max(
+        F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"]))
+    )
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    with_best = found.select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        longest.alias("best"),
+        F.sha2(F.concat_ws("", F.transform(lines, lambda x: F.concat(x, F.lit("\n")))), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+    length, start, period = F.col("best")["length"], -F.col("best")["col2"], -F.col("best")["col3"]
+    return with_best.select(
+        "doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
+def made_periodic(docs: DataFrame) -> DataFrame:
+    """A tenth of the documents, by their id, go on periodically from one of their words."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")
+
+    def periodic(ws: Column) -> Column:
+        n = F.size(ws).cast("long")
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        at = lambda i: F.when(i < a, i.cast("long")).otherwise(a + (i - a) % p)
+        return F.when(n > 0, F.array_join(F.transform(ws, lambda _, i: F.get(ws, at(i).cast("int"))), " "))
+
+    # The words of one text are split once, as the only element of an array.
+    made = F.transform(F.array(words), periodic)[0]
+    return docs.withColumn("text", F.when(h % 10 == 0, made).otherwise(F.col("text")))
+
+
+@query("""
+    with v as (
+      select vec_id, [floor(256 * x::double)::bigint for x in embedding] as v,
+        case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label
+      from embeddings
+      where embedding is not null and vec_id is not null and label is not null
+        and len([x for x in embedding if x is null or isnan(x) or isinf(x)]) = 0),
+    s as (
+      select q.vec_id as anchor_id, c.vec_id, q.label = c.label as same,
+        list_sum([x[1] * x[2] for x in list_zip(q.v, c.v)])::bigint as score
+      from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+    p as (
+      select anchor_id, vec_id as positive_id, score as positive_score from s where same
+      qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+    n as (
+      select anchor_id, positive_id, positive_score, s.vec_id as negative_id, s.score as negative_score,
+        row_number() over (partition by anchor_id, positive_id order by s.score desc, s.vec_id)::int as rank
+      from p join s using (anchor_id)
+      where not s.same and 50 * positive_score <= 100 * s.score and 100 * s.score <= 95 * positive_score)
+    select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 3
+""")
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three negatives from the window below each of the five positives of every fiftieth vector."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
 @query(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces of what the corpus pipeline keeps."""
