@@ -68,5 +68,5 @@ def test_stages_without_labels(spark, make):
 
 def test_names():
     numbers = sorted(int(m[1]) for q in QUERIES if (m := re.match(r"op(\d+)_", q)))
-    assert numbers == list(range(1, 11)) and "pipeline" in QUERIES
+    assert numbers == list(range(1, 14)) and "pipeline" in QUERIES
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "mixing", "packing"]

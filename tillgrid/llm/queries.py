@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tillgrid.llm import toxicity
 from tillgrid.llm.chat_tree import format_conversations, read_back
 from tillgrid.llm.class_lm import score_texts
 from tillgrid.llm.exact_dedup import exact_groups
@@ -278,6 +279,18 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
 
 
+@query()
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learned from two thirds of the labelled documents."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc32_of_id(3) == 1
+    # Labels of one document that disagree count as toxic.
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    train = docs.where(~held_out).select("doc_id", "text").join(labels, "doc_id")
+    found = toxicity.score(docs, toxicity.fit(train, F.col("toxic")), keep=[F.col("doc_id"), held_out.alias("held_out")])
+    return found.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 @query(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces of what the corpus pipeline keeps."""

@@ -52,5 +52,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 SCHEMAS = {
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
     "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
     "embeddings": "vec_id bigint, embedding array<float>, label int",
 }
