@@ -27,7 +27,7 @@ from tillgrid.llm.support import col, fresh, settle
 from tillgrid.llm.textblocks import Block, Lookup, mix, text_blocks
 
 ORDER = 4
-DECAY = 0.85
+DECAY = 0.9
 POWER = 2
 LONGEST_UNIT = 24  # longer units are cut into windows of this many letters, each overlapping the last by half
 LONGEST_PART = 9  # signs of the parts of units that may become landmarks
@@ -35,6 +35,7 @@ SENTENCE = 512  # characters; longer sentences end at the next white space
 LANDMARKS = 64
 SENTENCES = 10_000  # sampled for each label
 TEXTS = 10_000  # scored for each label to calibrate
+LABELLED = 100_000  # labelled ids that a model is fitted to
 _CODES = 64
 _HEAD = 27  # stands before the first letter of a unit
 _WIDTH = LONGEST_UNIT + 1
@@ -239,14 +240,19 @@ class Model:
     intercept: float = 0.0
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
-    def margins(self, block: Block) -> np.ndarray:
-        """Margin of each text's highest sentence; a text without units has the bias alone."""
+    def margins(self, block: Block, bent: bool = False) -> np.ndarray:
+        """Margin of each text's highest sentence; a text without units has the bias alone.
+
+        ``bent`` reads every unit with a letter put in.
+        """
         out = np.full(block.rows, self.bias)
         if self.landmarks is None:
             return out
         found = units(block)
         if not len(found.keys):
             return out
+        if bent:
+            found.keys = mix(found.keys)
         table, known = _known.get(self.name) or (Lookup(21), np.zeros(0, np.float32))
         if len(known) > _KNOWN:
             table, known = Lookup(21), np.zeros(0, np.float32)
@@ -256,7 +262,8 @@ class Model:
             distinct, first, back = np.unique(found.keys[new], return_index=True, return_inverse=True)
             table.add(distinct, np.arange(len(known), len(known) + len(distinct)))
             entries[new] = len(known) + back
-            values = self.landmarks.compare(found.codes(new[first])) @ self.weights
+            codes = found.codes(new[first])
+            values = self.landmarks.compare(_with_insertions(codes) if bent else codes) @ self.weights
             known = np.concatenate((known, np.round(values, 4).astype(np.float32)))  # free of the order of sums
         _known.clear()  # a worker keeps the units of one model
         _known[self.name] = table, known
@@ -322,14 +329,17 @@ def _with_insertions(codes: np.ndarray) -> np.ndarray:
     at = lengths // 2
     shift = np.arange(codes.shape[1])
     out = np.where(shift[None, :] <= at[:, None], codes, np.roll(codes, 1, axis=1))
-    drawn = mix((codes.astype(np.uint64) * _CODE_WEIGHTS[: codes.shape[1]]).sum(axis=1))
-    out[np.arange(len(codes)), np.minimum(at, codes.shape[1] - 1)] = 1 + drawn % np.uint64(26)
+    out[np.arange(len(codes)), np.minimum(at, codes.shape[1] - 1)] = 1 + _code_keys(codes) % np.uint64(26)
     return out
 
 
 _CODE_WEIGHTS = mix(np.arange(1, _WIDTH + 1, dtype=np.uint64))
 
 
+def _code_keys(codes: np.ndarray) -> np.ndarray:
+    return mix((codes.astype(np.uint64) * _CODE_WEIGHTS).sum(axis=1))
+
+
 def as_codes(texts: list[str]) -> np.ndarray:
     out = np.zeros((len(texts), _WIDTH), np.uint8)
     for i, text in enumerate(texts):
@@ -341,7 +351,7 @@ def as_codes(texts: list[str]) -> np.ndarray:
 def fragments(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(unit, fragment) pairs without repeats, and the fragments: parts of 4 to 9 signs, the head among them, and whole units."""
     lengths = (codes > 0).sum(axis=1)
-    units_, parts = [np.arange(len(codes))], [codes]
+    units_, parts, keys = [np.arange(len(codes))], [codes], [_code_keys(codes)]
     for size in range(ORDER, LONGEST_PART + 1):
         for at in range(_WIDTH - size + 1):
             of = np.flatnonzero(lengths >= at + size)
@@ -349,9 +359,9 @@ def fragments(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             part[:, :size] = codes[of, at : at + size]
             units_.append(of)
             parts.append(part)
+            keys.append(_code_keys(part))
     units_, parts = np.concatenate(units_), np.concatenate(parts)
-    keys = mix((parts.astype(np.uint64) * _CODE_WEIGHTS).sum(axis=1))
-    _, first, back = np.unique(keys, return_index=True, return_inverse=True)
+    _, first, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
     return np.unique(np.stack((units_, back), axis=1), axis=0), parts[first]
 
 
@@ -394,6 +404,16 @@ def choose_landmarks(said: np.ndarray, labels: np.ndarray, codes: np.ndarray, co
     return np.unique(np.concatenate((parts[chosen], more)), axis=0)
 
 
+def labelled(labels: DataFrame, id_col: str, label_col: str, most: int = LABELLED) -> DataFrame:
+    """``label_id`` and ``label`` of at most ``most`` labelled ids, drawn evenly by a hash of the id.
+
+    Ids whose labels disagree count as 1. So few rows may be broadcast: texts then stay where they lie.
+    """
+    known = labels.where(col(id_col).isNotNull() & col(label_col).isin(0, 1))
+    one = known.groupBy(col(id_col).alias("label_id")).agg(F.max(col(label_col)).alias("label"))
+    return one.orderBy(F.xxhash64("label_id", F.lit(29)), "label_id").limit(most)
+
+
 def fit(
     train: DataFrame,
     label: Column,
@@ -404,7 +424,8 @@ def fit(
 ) -> Model:
     """Fit on the rows whose ``label`` is 0 or 1; all others teach nothing.
 
-    A fifth of the texts, by a hash of the text, is kept for calibration. Of the sentences of the rest at most
+    A fifth of the texts, by a hash of the text, is kept for calibration, as they are and with a letter put into
+    every unit. Of the sentences of the rest at most
     ``sentences`` distinct ones of each label, those of smallest hash, are the sample that the machine is fitted
     to on the driver, each at most ``SENTENCE`` characters and a word long; a task sends no more than that. At most ``texts``
     margins of each label set the curve, weighted to the numbers of all rows. Labels of one kind
@@ -470,10 +491,14 @@ def fit(
     marks = Landmarks(choose_landmarks(np.unique(pairs, axis=0), labels, codes, landmarks))
     whiten = marks.whitening()
     # The sample as it is, and with a letter put into every unit.
+    begins = np.flatnonzero(np.append(True, np.diff(pairs[:, 0]) > 0))
     vectors = []
     for form in (codes, _with_insertions(codes)):
-        per_unit = marks.compare(form) @ whiten
-        vectors.append(np.add.reduceat(per_unit[pairs[:, 1]], np.flatnonzero(np.append(True, np.diff(pairs[:, 0]) > 0))))
+        per_unit = marks.compare(form) @ whiten.astype(np.float32)
+        for i in range(0, len(begins), 1_000):  # not all units' vectors at once
+            own = begins[i : i + 1_000]
+            stop = begins[i + 1_000] if i + 1_000 < len(begins) else len(pairs)
+            vectors.append(np.add.reduceat(per_unit[pairs[own[0] : stop, 1]], own - own[0], dtype=np.float64))
     x, y = np.concatenate(vectors), np.tile(labels, 2)
     # Each label weighs what it does among all rows, not in the sample.
     cost = np.where(y == 1, n[1] / (y == 1).sum(), n[0] / (y == 0).sum()) * len(y) / sum(n)
@@ -482,14 +507,15 @@ def fit(
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            margins = [model.margins(b) for b in text_blocks(batch.column("text"))]
-            cells = [batch.column("label"), batch.column("place"), pa.array(np.concatenate([np.zeros(0), *margins]))]
-            yield pa.RecordBatch.from_arrays(cells, names=["label", "place", "margin"])
+            for bent in (False, True):
+                margins = [model.margins(b, bent) for b in text_blocks(batch.column("text"))]
+                cells = [batch.column("label"), batch.column("place"), pa.array(np.concatenate([np.zeros(0), *margins]))]
+                yield pa.RecordBatch.from_arrays(cells, names=["label", "place", "margin"])
 
     place = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.lit(17)).alias("place")
     tested = rows.where(apart).select("label", place, "text").mapInArrow(judge, "label int, place long, margin double")
     tested = settle(tested)
-    held = [r for y in (0, 1) for r in tested.where(F.col("label") == y).orderBy("place", "margin").limit(texts).collect()]
+    held = [r for y in (0, 1) for r in tested.where(F.col("label") == y).orderBy("place", "margin").limit(2 * texts).collect()]
     if len({r["label"] for r in held}) < 2:  # too few to set a curve: margins of one half are even
         model.slope, model.intercept = 2.0, 0.0
         return model
