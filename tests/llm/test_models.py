@@ -47,6 +47,16 @@ def test_language_id_without_labels(make):
     assert identify(make([(1, "other")]), one).first()["lang_pred"] == "en"
 
 
+def test_rows_that_share_an_id_are_drawn_by_text(make):
+    rng = np.random.default_rng(7)
+    rows = [(None, speech(rng, "one", 12), "en", "s", 1) for _ in range(400)]
+    rows += [(i, speech(rng, "two", 12), "de", "s", 1) for i in range(40)] + [(7, "ção ões lhe", "pt", "s", 1)] * 300
+    df = make(rows, clash=False)
+    model = fit(df, "text", "lang", "doc_id", per_language=30)
+    got = identify(df, model, keep=[F.col("lang")]).collect()
+    assert model.languages == ["de", "en", "pt"] and np.mean([r.lang == r.lang_pred for r in got]) > 0.98
+
+
 def test_penalties_and_temperature():
     rng = np.random.default_rng(1)
     labels = rng.integers(0, 2, 200)
@@ -153,14 +163,15 @@ def brute_top(rows, k, every=3):
     for q, v in fine:
         if q % every == 0:
             scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in fine if i != q)
-            out.update((q, r, i, -s) for r, (s, i) in enumerate(scores[:k], 1))
+            out.update((q, r, i, max(-(1 << 63), min((1 << 63) - 1, -s))) for r, (s, i) in enumerate(scores[:k], 1))
     return out
 
 
 @pytest.mark.parametrize("blocks", [(2048, 512), (7, 4)])
-def test_top_k(spark, blocks):
+@pytest.mark.parametrize("most", [1.0, 2e6, 1e30])
+def test_top_k(spark, blocks, most):
     rng = np.random.default_rng(6)
-    rows = [(i, (rng.normal(size=6) * rng.choice([0.1, 1, 9])).astype(np.float32).tolist()) for i in range(80)]
+    rows = [(i, (rng.normal(size=6) * rng.choice([0.1, 1, 9]) * most).astype(np.float32).tolist()) for i in range(80)]
     rows += [(80 + i, rows[3][1]) for i in range(12)]  # ties
     rows += [(200, None), (201, [1.0, None, 2.0]), (202, [float("nan")] * 6), (203, [float("inf")] * 6), (None, [9.0] * 6)]
     rows += [(204, [0.5, 0.5]), (207, []), (210, [0.0] * 6), (213, [2.0**19] * 6), (214, [-(2.0**19)] * 6)]

@@ -19,12 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tillgrid.llm.hard_negatives import longs, sortable
 from tillgrid.llm.support import col, settle
 
 GRID = 256
 BLOCK_ROWS = 2_048
 QUERY_ROWS = 512
-LARGEST = float(1 << 20)
+LARGEST = 1e150  # squares of anything smaller are finite
 _PART = 0.25  # share of the rotated coordinates in the partial sum
 
 
@@ -33,8 +34,8 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     sizes = np.diff(column.offsets.to_numpy())
-    out = np.zeros((len(column), width), np.int64)
-    out[np.arange(width) < sizes[:, None]] = column.flatten().to_numpy()
+    out = np.zeros((len(column), width))
+    out[np.arange(width) < sizes[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
     return out
 
 
@@ -52,13 +53,13 @@ def _blocks(rows: DataFrame, width: int, size: int) -> DataFrame:
                 [
                     pa.array([made - 1]),
                     pa.array([ids.astype(np.int64).tobytes()], pa.binary()),
-                    pa.array([vectors.astype(np.int32).tobytes()], pa.binary()),
+                    pa.array([vectors.tobytes()], pa.binary()),
                     pa.array([longest]),
                 ],
                 names=["block", "ids", "vectors", "longest"],
             )
 
-        ids, vectors = np.zeros(0, np.int64), np.zeros((0, width), np.int64)
+        ids, vectors = np.zeros(0, np.int64), np.zeros((0, width))
         for batch in batches:
             ids = np.concatenate((ids, batch.column("id").to_numpy()))
             vectors = np.concatenate((vectors, _matrix(batch.column("v"), width)))
@@ -84,7 +85,11 @@ def _best(ids, scores, own, k):
     return row[first], at[first]
 
 
-def _search(pairs: DataFrame, width: int, rotation: np.ndarray, k: int) -> DataFrame:
+def _whole(x: np.ndarray, kind: type) -> np.ndarray:
+    return np.array([[int(v) for v in row] for row in x], object).reshape(x.shape) if kind is object else x.astype(kind)
+
+
+def _search(pairs: DataFrame, width: int, rotation: np.ndarray, k: int, bound: int) -> DataFrame:
     part = max(1, int(width * _PART))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,8 +97,8 @@ def _search(pairs: DataFrame, width: int, rotation: np.ndarray, k: int) -> DataF
             for r in batch.to_pylist():
                 ids = np.frombuffer(r["ids"], np.int64)
                 own = np.frombuffer(r["q_ids"], np.int64)
-                x = np.frombuffer(r["vectors"], np.int32).reshape(-1, width).astype(np.float64)
-                q = np.frombuffer(r["q_vectors"], np.int32).reshape(-1, width).astype(np.float64)
+                x = np.frombuffer(r["vectors"], np.float64).reshape(-1, width)
+                q = np.frombuffer(r["q_vectors"], np.float64).reshape(-1, width)
                 least = np.frombuffer(r["least"], np.float64) if r["least"] else np.full(len(q), -np.inf)
                 rx, rq = x @ rotation, q @ rotation
                 reach = rq[:, :part] @ rx[:, :part].T
@@ -109,8 +114,10 @@ def _search(pairs: DataFrame, width: int, rotation: np.ndarray, k: int) -> DataF
                     scores = q[live] @ x[used].T
                     values = scores.astype(np.int64)
                 else:
-                    values = q[live].astype(np.int64) @ x[used].astype(np.int64).T
-                    _, scores = np.unique(values, return_inverse=True)  # ranks keep the order exactly
+                    # Whole numbers of any size; ranks keep their order exactly.
+                    kind = np.int64 if top < 2**62 else object
+                    values = _whole(q[live], kind) @ _whole(x[used], kind).T
+                    _, scores = np.unique(values, return_inverse=True)
                     scores = scores.reshape(values.shape).astype(np.float64)
                 row, at = _best(ids[used], np.where(able, scores, -np.inf), own[live], k)
                 yield pa.RecordBatch.from_arrays(
@@ -119,12 +126,14 @@ def _search(pairs: DataFrame, width: int, rotation: np.ndarray, k: int) -> DataF
                         pa.array(live[row]),
                         pa.array(own[live[row]]),
                         pa.array(ids[used[at]]),
-                        pa.array(values[row, at]),
+                        pa.array(longs(values[row, at]), pa.int64()),
+                        pa.array(values[row, at].astype(np.float64)),
+                        pa.array(sortable(values[row, at].astype(object), bound) if bound >= 1 << 62 else [None] * len(row), pa.string()),
                     ],
-                    names=["q_block", "q_row", "query_id", "vec_id", "score"],
+                    names=["q_block", "q_row", "query_id", "vec_id", "score", "near", "wide"],
                 )
 
-    return pairs.mapInArrow(search, "q_block long, q_row long, query_id long, vec_id long, score long")
+    return pairs.mapInArrow(search, "q_block long, q_row long, query_id long, vec_id long, score long, near double, wide string")
 
 
 def top_inner_products(
@@ -139,8 +148,9 @@ def top_inner_products(
     """``query_id, rank, vec_id, score``: for each query row the k rows of highest score, ties to the smaller id.
 
     Components become ``floor(256 * x)``; the score is their whole inner product. Rows that share the
-    query's id are not its candidates. Vectors that are null or hold null or non-finite components, or
-    one beyond 2**20, whose scores need not fit a long, and rows without an id take no part. Shorter
+    query's id are not its candidates. Vectors that are null or hold null or non-finite components, and rows
+    without an id take no part; nor do components beyond 1e150, which only doubles can be, as their squares
+    are not finite. Scores beyond a long are compared exactly and given as the nearest long. Shorter
     vectors count as filled up with zeros. A query that stands in several rows has as many answers; with
     fewer candidates than k all are given. Tables that are empty or without queries give no rows.
     """
@@ -148,12 +158,15 @@ def top_inner_products(
     fine = F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= LARGEST))
     rows = df.where(col(id_col).isNotNull() & F.coalesce(fine, F.lit(False))).select(
         col(id_col).cast("long").alias("id"),
-        F.transform(wide, lambda x: F.floor(x * GRID)).alias("v"),
+        # Beyond 2**43 a double's 256-fold is whole.
+        F.transform(wide, lambda x: F.when(F.abs(x) < float(1 << 43), F.floor(x * GRID).cast("double")).otherwise(x * GRID)).alias("v"),
         F.coalesce(is_query, F.lit(False)).alias("asks"),
     )
-    rows = rows.withColumn("length2", F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    width, count = rows.agg(F.coalesce(F.max(F.size("v")), F.lit(0)), F.count(F.lit(1))).first()
+    rows = rows.withColumn("length2", F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    largest = F.greatest(F.abs(F.array_max("v")), F.abs(F.array_min("v")))
+    width, most, count = rows.agg(F.coalesce(F.max(F.size("v")), F.lit(0)), F.max(largest), F.count(F.lit(1))).first()
     width = max(1, width)
+    bound = width * int(most or 0) ** 2 + 1
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((width, width))
@@ -178,10 +191,10 @@ def top_inner_products(
     # Thresholds from the block of the longest vectors.
     longest = data.orderBy(F.desc("longest"), "block").limit(1).select("ids", "vectors")
     none = F.lit(None).cast("binary")
-    seeds = _search(queries.withColumn("least", none).join(F.broadcast(longest)), width, rotation, k)  # one block of bounded size
-    place = Window.partitionBy("q_block", "q_row").orderBy(F.desc("score"), "vec_id")
+    seeds = _search(queries.withColumn("least", none).join(F.broadcast(longest)), width, rotation, k, bound)  # one block of bounded size
+    place = Window.partitionBy("q_block", "q_row").orderBy(F.desc("wide"), F.desc("score"), "vec_id")
     kth = seeds.withColumn("n", F.row_number().over(place)).where(F.col("n") == k)
-    kth = kth.groupBy("q_block").agg(F.collect_list(F.struct("q_row", "score")).alias("kth"))  # at most query_rows
+    kth = kth.groupBy("q_block").agg(F.collect_list(F.struct("q_row", "near")).alias("kth"))  # at most query_rows
 
     def thresholds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,7 +202,7 @@ def top_inner_products(
             for ids, found in zip(batch.column("q_ids"), batch.column("kth")):
                 values = np.full(len(ids.as_py()) // 8, -np.inf)
                 for one in found.as_py() or ():
-                    values[one["q_row"]] = one["score"]
+                    values[one["q_row"]] = one["near"]
                 least.append(values.tobytes())
             low = [float(np.frombuffer(x, np.float64).min()) for x in least]
             kept = [batch.column(c) for c in ("q_block", "q_ids", "q_vectors", "q_longest")]
@@ -208,7 +221,7 @@ def top_inner_products(
     met = F.col("longest") * F.col("q_longest") * (1 + 1e-9) + 1e-6 >= F.col("lowest")
     meets = data.select("block", "longest").join(names, met).select("block", "q_block")
     tasks = meets.join(data.select("block", "ids", "vectors"), "block").join(ready, "q_block")
-    found = _search(tasks, width, rotation, k)
+    found = _search(tasks, width, rotation, k, bound)
     return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score"
     )
