@@ -143,17 +143,22 @@ def test_mix(make, power, weights):
     sizes = Counter(s for *_, s, _ in rows)
     shares = weights or {s: n**power for s, n in sizes.items()}
     parts = parts_of({str(s): shares[s] for s in sizes}, 50)
-    blocks = {}
+    slots = {}
     for r in got:
-        blocks.setdefault(r["mix_slot_"], (r.source, r.mix_epoch, r.mix_block))
-        assert blocks[r["mix_slot_"]] == (r.source, r.mix_epoch, r.mix_block)
-    assert sorted(blocks) == list(range(len(blocks)))
+        slots.setdefault(r["mix_slot_"], []).append(r)
+    assert sorted(slots) == list(range(len(slots)))
     done = Counter()
-    for t in range(len(blocks)):
-        source, epoch, block = blocks[t]
-        assert divmod(done[source], -(-sizes[source] // 4)) == (epoch, block)
+    for t in range(len(slots)):
+        (source,) = {r.source for r in slots[t]}
+        assert {r.mix_block for r in slots[t]} == {done[source]}
+        assert sorted(r.mix_place for r in slots[t]) == list(range(4))
         done[source] += 1
-        assert all(abs(done[s] - (t + 1) * parts[str(s)] / 50) < 1 for s in sizes)
+        # Less than a block from the weights, in rows.
+        assert all(abs(4 * done[s] - 4 * (t + 1) * parts[str(s)] / 50) < 4 for s in sizes)
+    for s in sizes:  # the endless sequence of a source
+        order = [r for t in range(len(slots)) for r in sorted(slots[t], key=lambda r: r.mix_place) if r.source == s]
+        assert [r.mix_epoch for r in order] == [i // sizes[s] for i in range(len(order))]
+        assert [r.doc_id for r in order[sizes[s] :]] == [r.doc_id for r in order[: -sizes[s]]]
     whole = Counter((r.doc_id, r.source) for r in got if r.mix_epoch == 0)
     assert whole == Counter((i, s) for i, _, _, s, _ in rows)
 
@@ -209,3 +214,12 @@ def test_mix_of_many_sources(make):
     assert {r["mix_slot_"] for r in got} == set(range(len({r["mix_slot_"] for r in got})))
     whole = Counter(r.doc_id for r in got if r.mix_epoch == 0)
     assert whole == Counter(range(1_201))
+
+
+def test_mix_holds_weights_in_rows(make):
+    """Sources below a block, of 3,200, 33 and 1 rows."""
+    rows = [(i, "t", None, "a" if i < 3_200 else "b" if i < 3_233 else "c", 1) for i in range(3_234)]
+    got = mix(make(rows), weights={"a": 0.5, "b": 0.3, "c": 0.2}).collect()
+    counts = Counter(r.source for r in got)
+    assert all(abs(counts[s] - w * len(got)) < 32 for s, w in (("a", 0.5), ("b", 0.3), ("c", 0.2)))
+    assert {r.doc_id for r in got} == set(range(3_234))

@@ -1,8 +1,9 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source is cut into blocks of rows. Block i of a source with weight w may start at slot floor(i / w) and
+The rows of each source, over and over, are cut into blocks of one size. Block i of a source with weight w may start at slot floor(i / w) and
 must end by slot ceil((i + 1) / w); of the blocks that may start, the one due first takes the slot. After
-any number of slots a source is then less than one block away from its share. The weights are taken as they
+any number of slots a source is then less than one block away from its share, in rows as in slots: the last rows
+of a source share a block with its first. The weights are taken as they
 are, as whole parts of their exact sum, over all slots of the mix. The driver deals the slots, some
 microseconds each, in ranges of bounded size; each range is written out, and blocks meet their slots in a join.
 """
@@ -25,6 +26,7 @@ from tillgrid.llm.support import col, fresh, ranked, settle
 BLOCK_ROWS = 32
 CELL_ROWS = 1_000
 RANGE = 1 << 19  # slots that the driver holds at once
+BROADCAST_SOURCES = 100_000  # a row each; more are joined by shuffle
 SLOTS = "s string, block long, epoch long, slot long"
 
 
@@ -128,9 +130,11 @@ def mix(
     There may be any number of sources, and a weight may be as small as it likes: the mix is then as long
     as that source's share of its first pass asks for. With a ``period`` the weights are first rounded to
     whole parts of so many slots, at least one each, and there may be no more sources than that.
-    Rows of one source are taken in the order of a hash of their id; equal ids follow one another. The
-    last block of a source may be short. Existing columns with these names are renamed by a trailing
-    underscore on the new ones. An empty table stays empty.
+    Rows of one source are taken in the order of a hash of their id; equal ids follow one another. Every slot
+    holds ``block_rows`` rows: ``mix_block`` counts the blocks of a source, ``mix_epoch`` how often a row
+    came before, and a block may end one epoch and begin the next, so a source of a few rows stands several
+    times in one block. Existing columns with these names are renamed by a trailing underscore on the new ones.
+    An empty table stays empty; texts are never read.
     """
     spark = df.sparkSession
     epoch, block, slot, place = fresh(df, "mix_epoch", "mix_block", "mix_slot", "mix_place")
@@ -144,7 +148,15 @@ def mix(
             raise ValueError(f"no weight for {missing}")
         shares = {s: w for s, w in shares.items() if s in sizes}
     parts = exact_parts(shares) if period is None else parts_of(shares, period)
-    dealt = slot_table(spark, parts, {s: -(-n // block_rows) for s, n in sizes.items()})
+    per = {s: -(-n // block_rows) for s, n in sizes.items()}
+    sized = spark.createDataFrame([(s, n, per[s]) for s, n in sizes.items()], "s string, rows long, blocks long")
+    if len(sizes) <= BROADCAST_SOURCES:
+        sized = F.broadcast(sized)
+    turn = (F.col("epoch") * F.col("blocks") + F.col("block")).alias("turn")
+    dealt = slot_table(spark, parts, per).join(sized, "s").select("s", "rows", turn, "slot")
+    # How often the rows of a source may come: one row for each source.
+    last = dealt.groupBy("s").agg(F.max("rows").alias("rows"), F.ceil((F.max("turn") + 1) * block_rows / F.max("rows")).alias("epochs"))
+    last = last.withColumnRenamed("s", "of")
     cells = max(1, -(-sum(sizes.values()) // cell_rows))
     rows = df.select(
         F.struct(*[col(c) for c in df.columns]).alias("row"),
@@ -153,11 +165,16 @@ def mix(
         F.xxhash64(col(id_col), F.lit(1)).alias("draw"),
         col(id_col).alias("id"),
     )
-    numbered = ranked(rows, "source", "cell", [F.col("draw"), F.col("id")], "rank").select(
-        "row", "source", F.floor(F.col("rank") / block_rows).alias("own"), (F.col("rank") % block_rows).alias("place")
+    numbered = ranked(rows, "source", "cell", [F.col("draw"), F.col("id")], "rank").select("row", "source", "rank")
+    if len(sizes) <= BROADCAST_SOURCES:
+        last = F.broadcast(last)
+    again = numbered.join(last, F.col("source") == F.col("of")).select(
+        "row", "source", "rank", "rows", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1)).alias("epoch")
     )
-    held = numbered.join(dealt, (F.col("source") == F.col("s")) & (F.col("own") == F.col("block")))
+    at = F.col("rank") + F.col("epoch") * F.col("rows")
+    placed = again.select("row", "source", "epoch", F.floor(at / block_rows).alias("own"), (at % block_rows).alias("place"))
+    held = placed.join(dealt.drop("rows"), (F.col("source") == F.col("s")) & (F.col("own") == F.col("turn")))
     return held.select(
         *[F.col("row").getField(c).alias(c) for c in df.columns],
-        F.col("epoch").alias(epoch), F.col("block").alias(block), F.col("slot").alias(slot), F.col("place").alias(place),
+        F.col("epoch").alias(epoch), F.col("own").alias(block), F.col("slot").alias(slot), F.col("place").alias(place),
     )
