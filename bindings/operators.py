@@ -564,6 +564,22 @@ def kde_balance(spark, sf):
     return density.select("point", r("x"), r("density", 12)).toDF("point", "x", "density")
 
 
+@query("""
+with v as (select c_acctbal as v from customer),
+s as (select count(*) as n, min(v) as lo, (max(v) - min(v)) / 199 as step, stddev_samp(v) * pow(count(*), -0.2) as h from v),
+a as (select (v - lo) / (h * sqrt(0.0008)) as place from v, s),
+c as (select cell, sum(w) as w from (select floor(place) as cell, 1 - (place - floor(place)) as w from a
+  union all select floor(place) + 1, place - floor(place) from a) group by cell),
+g as (select lo + cell * (h * sqrt(0.0008)) as v, w from c, s)
+select r.range::bigint as point, round(any_value(lo + r.range * step), 6) as x,
+  round(sum(w * exp(-0.5 * pow((lo + r.range * step - v) / h, 2))) / any_value(n * h * sqrt(2 * pi())), 12) as density
+from g, s, range(200) r group by 1
+""")
+def kde_binned(spark, sf):
+    density = op.kde(table(spark, sf, "customer"), "c_acctbal", 200, method="binned", error=1e-4)
+    return density.select("point", F.round("x", 6).alias("x"), F.round("density", 12).alias("density"))
+
+
 @query("""
 with o as (select o_orderpriority, o_totalprice as v from orders),
 q as (select o_orderpriority, quantile_cont(v, 0.25) as q1, quantile_cont(v, 0.5) as median,
@@ -779,7 +795,7 @@ def shared_folder(spark, name: str) -> str:
     if base is None:
         base = spark.sparkContext.getCheckpointDir()
     if base is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.partition("[")[0] == "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="tillgrid-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -811,3 +827,125 @@ def staged_year_filter(spark, sf):
     orders = order_year(table(spark, sf, "orders")).select("o_orderkey", "o_totalprice", "order_year")
     staged = src.stage(orders, shared_folder(spark, "stage"), "order_year")
     return op.filter_in(staged, {"order_year": [1996, 1999]})
+
+
+# --- any set of periods from staged sketches and bitmaps
+
+
+@query("""
+select o_orderpriority, count(*) as n, round(quantile_cont(o_totalprice, 0.25), 6) as q1,
+  round(quantile_cont(o_totalprice, 0.5), 6) as median, round(quantile_cont(o_totalprice, 0.75), 6) as q3
+from orders where year(o_orderdate) in (1994, 1995, 1997) group by 1
+""")
+def quartiles_of_years(spark, sf):
+    """Sketches are staged once for all years; three of them are merged."""
+    years = [1994, 1995, 1997]
+    orders = order_year(table(spark, sf, "orders"))
+    made = op.quantile_sketches(orders, "order_year", "o_orderpriority", "o_totalprice")
+    sketches = src.stage(made, shared_folder(spark, "sketches"), "order_year")
+    of = op.filter_in(sketches, {"order_year": years})
+    found = op.quantiles_from_sketches(of, op.filter_in(orders, {"order_year": years}), "o_orderpriority", "o_totalprice")
+    quartiles = [F.round(F.col("q")[i], 6).alias(name) for i, name in enumerate(("q1", "median", "q3"))]
+    return found.select("o_orderpriority", "n", *quartiles)
+
+
+@query("""
+with f as (select o_custkey, year(o_orderdate) as order_year, min(year(o_orderdate)) over (partition by o_custkey) as first
+  from orders)
+select order_year, count(distinct o_custkey) as n, count(distinct o_custkey) filter (first = order_year) as n_new,
+  (select count(distinct o_custkey) from f g where g.order_year <= f.order_year) as n_so_far
+from f group by 1
+""")
+def customers_by_year_bitmaps(spark, sf):
+    orders = order_year(table(spark, sf, "orders"))
+    bitmaps = src.stage(op.id_bitmaps(orders, "order_year", "o_custkey"), shared_folder(spark, "bitmaps"), "order_year")
+    return op.new_by_period(bitmaps, "order_year")
+
+
+@query("""
+select count(distinct o_custkey) as n from orders where year(o_orderdate) between 1993 and 1995
+""")
+def customers_of_years_bitmaps(spark, sf):
+    orders = order_year(table(spark, sf, "orders"))
+    bitmaps = src.stage(op.id_bitmaps(orders, "order_year", "o_custkey"), shared_folder(spark, "bitmaps"), "order_year")
+    return op.distinct_of_bitmaps(op.filter_in(bitmaps, {"order_year": [1993, 1994, 1995]}))
+
+
+# --- quarantine and incremental staging
+
+
+def _messy_orders(spark, sf) -> str:
+    """Orders as CSV; some prices are no number, some have a third decimal, some are missing."""
+    key, price = F.col("o_orderkey"), F.col("o_totalprice")
+    said = F.format_string("%.2f", price)
+    messy = table(spark, sf, "orders").select(
+        key.cast("string").alias("Order Key"),
+        F.when(key % 50 == 1, F.lit("about 10"))
+        .when(key % 50 == 2, F.concat(said, F.lit("5")))
+        .when(key % 50 == 3, F.lit("n/a"))
+        .otherwise(said)
+        .alias("Total Price"),
+        F.when(key % 60 == 7, F.lit("soon")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("Order Date"),
+    )
+    return src.export_csv(messy, shared_folder(spark, "messy"))
+
+
+_ORDERS = src.Dataset(
+    "orders",
+    (
+        src.Field("Order Key", "order_key", "bigint"),
+        src.Field("Total Price", "total_price", "decimal(18,2)"),
+        src.Field("Order Date", "order_date", "timestamp_ntz"),
+    ),
+)
+_GOOD = "o_orderkey % 50 not in (1, 2) and o_orderkey % 60 <> 7"
+
+
+@query(f"""
+select o_orderkey as order_key, case when o_orderkey % 50 <> 3 then o_totalprice::decimal(18,2) end::double as total_price,
+  year(o_orderdate) as order_year
+from orders where {_GOOD}
+""")
+def quarantine_good(spark, sf):
+    read = src.read_quarantined(spark, _messy_orders(spark, sf), _ORDERS, date_format="yyyy-MM-dd")
+    return read.good.select(
+        "order_key", F.col("total_price").cast("double").alias("total_price"), F.year("order_date").cast("bigint").alias("order_year")
+    )
+
+
+@query("""
+select 'total_price' as field, 'not decimal(18,2)' as reason, count(*) as n, count(*) filter (o_orderkey % 50 = 1) as n_words
+from orders where o_orderkey % 50 in (1, 2)
+union all select 'order_date', 'not timestamp_ntz', count(*), 0 from orders where o_orderkey % 60 = 7
+""")
+def quarantine_reasons(spark, sf):
+    rejects = src.read_quarantined(spark, _messy_orders(spark, sf), _ORDERS, date_format="yyyy-MM-dd").rejects
+    return rejects.groupBy("field", "reason").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if((F.col("field") == "total_price") & F.col("line").contains("about 10")).alias("n_words")
+    )
+
+
+@query("""
+select o_orderkey, case when o_orderpriority = '1-URGENT' then o_totalprice + 1 else o_totalprice end as o_totalprice,
+  year(o_orderdate) as order_year
+from orders where o_orderpriority <> '5-LOW'
+""")
+def incremental_stage(spark, sf):
+    """Staged from one file per priority; then one file changes, one goes and one comes."""
+    orders = order_year(table(spark, sf, "orders")).select("o_orderkey", "o_totalprice", "order_year", "o_orderpriority")
+    folder, staged = shared_folder(spark, "landing"), shared_folder(spark, "staged")
+    schema = orders.drop("o_orderpriority").schema
+
+    def land(name: str, rows, mode: str = "overwrite") -> None:
+        rows.drop("o_orderpriority").write.mode(mode).parquet(f"{folder}/{name}")
+
+    def read(paths: list[str]):
+        return spark.read.schema(schema).parquet(*paths)
+
+    for name in ("1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW"):
+        land(name, orders.where(F.col("o_orderpriority") == name))
+    src.stage_changes(spark, f"{folder}/*", read, staged, "order_year")
+    land("1-URGENT", orders.where(F.col("o_orderpriority") == "1-URGENT").withColumn("o_totalprice", F.col("o_totalprice") + 1))
+    land("5-LOW", orders.limit(0))
+    land("4-NOT SPECIFIED", orders.where(F.col("o_orderpriority").startswith("4")))
+    return src.stage_changes(spark, f"{folder}/*", read, staged, "order_year").select("o_orderkey", "o_totalprice", "order_year")

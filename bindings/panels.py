@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -75,6 +76,13 @@ join (select {group}, quantile_cont({value}, 0.25) as q1, quantile_cont({value},
   using ({group}) group by {group}"""
 
 
+def outliers(frame: str, group: str, value: str) -> str:
+    return f"""select {group}, round({value}, 6) as value from {frame} join (
+  select {group}, quantile_cont({value}, 0.25) as q1, quantile_cont({value}, 0.75) as q3 from {frame}
+  where {group} is not null and {value} is not null group by 1) q using ({group})
+where {value} < q1 - 1.5 * (q3 - q1) or {value} > q3 + 1.5 * (q3 - q1)"""
+
+
 def mean_ci(frame: str, keys: str, value: str) -> str:
     known = " and ".join(f"{k} is not null" for k in keys.split(", "))
     half = f"1.96 * stddev_samp({value}) / sqrt(count({value}))"
@@ -138,6 +146,17 @@ c as (select bin, count(*) as n from x group by 1)
 select r.range::bigint as bin, round(lo + r.range * ((hi - lo) / 30), 6) as lo,
   round(lo + (r.range + 1) * ((hi - lo) / 30), 6) as hi, coalesce(n, 0)::bigint as n
 from range(30) r cross join s left join c on c.bin = r.range""",
+        "balance_chart": """, v as (select current_balance::double as v from chosen),
+s as (select count(*) as n, min(v) as lo, max(v) as hi, (max(v) - min(v)) / 199 as step, (max(v) - min(v)) / 30 as w,
+  stddev_samp(v) * pow(count(*), -0.2) as h from v),
+g as (select v, lo, hi, w, least(floor((v - lo) * 30.0::double / (hi - lo))::bigint, 29) as b from v, s),
+x as (select case when v < lo + b * w then b - 1 when b < 29 and v >= lo + (b + 1) * w then b + 1 else b end as bin from g),
+c as (select bin, count(*) as n from x group by 1)
+select 'bin' as kind, r.range::bigint as at, round(lo + r.range * w, 6) as lo, round(lo + (r.range + 1) * w, 6) as hi,
+  coalesce(c.n, 0)::double as value from range(30) r cross join s left join c on c.bin = r.range
+union all select 'curve', r.range::bigint, round(any_value(lo + r.range * step), 6), round(any_value(lo + r.range * step), 6),
+  round(sum(exp(-0.5 * pow((lo + r.range * step - v) / h, 2))) / any_value(n * h * sqrt(2 * pi())) * any_value(n * w), 6)
+from v, s, range(200) r group by 2""",
         "balance_by_year": "select year_opened, round(avg(current_balance), 6) as mean_balance from chosen group by 1",
         "balance_growth": """select year_opened, round(m, 6) as mean_balance,
   round((m / lag(m) over (order by year_opened) - 1) * 100, 6) as growth_pct
@@ -235,7 +254,8 @@ union all select 'peak_year_change', year_joined::varchar, round(change, 6) from
 )
 
 _FIT = """, f as (select regr_count(y, x)::bigint as n, regr_slope(y, x) as slope, regr_intercept(y, x) as intercept,
-  regr_r2(y, x) as r2, avg(x) as mean_x, regr_sxx(y, x) as sxx, min(x) as min_x, max(x) as max_x,
+  regr_r2(y, x) as r2, avg(x) as mean_x, regr_sxx(y, x) as sxx,
+  regr_sxy(y, x) as sxy, regr_syy(y, x) as syy, min(x) as min_x, max(x) as max_x,
   sqrt((regr_syy(y, x) - pow(regr_sxy(y, x), 2) / regr_sxx(y, x)) / (count(*) - 2)) as residual_sd
   from (select tenure_years as x, income as y from customers where tenure_years is not null and income is not null))"""
 
@@ -255,11 +275,11 @@ select point, round(x, 4) as x, round(intercept + slope * x, 4) as y_hat,
 
 
 @query(f"""with {st.CUSTOMERS_SQL}{_FIT}
-select n, round(slope, 6) as slope, round(intercept, 6) as intercept, round(r2, 6) as r2,
-  round(residual_sd, 6) as residual_sd from f""")
+select n, round(slope, 6) as slope, round(intercept, 6) as intercept, round(r2, 6) as r2, round(mean_x, 6) as mean_x,
+  round(sxx, 4) as sxx, round(min_x, 6) as min_x, round(max_x, 6) as max_x, round(sxy, 4) as sxy, round(syy, 2) as syy, round(residual_sd, 6) as residual_sd from f""")
 def customers_income_fit(spark, sf):
     fit = build_customers(spark, sf)["income_fit"]
-    return comparable(fit.select("n", "slope", "intercept", "r2", "residual_sd"), 6)
+    return comparable(fit.withColumns({"sxx": F.round("sxx", 4), "sxy": F.round("sxy", 4), "syy": F.round("syy", 2)}), 6)
 
 
 # --- employees
@@ -427,6 +447,7 @@ from branches order by profitability_index desc, branch_name, region limit 5""",
   case when atm_available = 'Yes' then 'blue' else 'gray' end as color from branches""",
         "accessibility": counts("branches", "disability_access"),
         "access_customers": box("branches", "disability_access", "active_customers"),
+        "access_outliers": outliers("branches", "disability_access", "active_customers"),
         "coverage": f"""select branch_name, name as matched_district, active_customers, population,
   round_even(active_customers / population * 100, 2) as coverage_pct
 from branches left join (values {_PLACES}) p(place, name) on branch_name = place
@@ -487,6 +508,7 @@ from agents order by agents.monthly_volume_ghs desc, agent_id limit 10""",
   from scored where engagement_score is not null and performance_tier is not null group by 1, 2)
 order by total_monthly_volume_ghs desc, engagement_score, performance_tier limit 10""",
         "compliance_by_tier": box("agents", "performance_tier", "compliance_score"),
+        "compliance_outliers": outliers("agents", "performance_tier", "compliance_score"),
     },
 )
 
@@ -516,3 +538,107 @@ def _csv_panels() -> None:
 
 
 _csv_panels()
+
+
+# --- the grouped panels of a report from one scan for each scope
+
+
+def shared(report: str, build: Callable, tables: str, spec: dict[str, tuple[tuple[str, ...], tuple[str, ...]]]) -> None:
+    """All grouped panels in long form, by panel, keys and figure, under the SQL of the panels themselves."""
+    parts = []
+    for panel, (keys, figures) in spec.items():
+        own = SQL[f"{report}_{panel}"].removeprefix(f"with {tables}\n")
+        labels = [f"{k}::varchar" for k in keys] + ["null::varchar"] * (2 - len(keys))
+        parts += [
+            f"select '{panel}' as panel, {labels[0]} as key_1, {labels[1]} as key_2, '{figure}' as figure, "
+            f"{figure}::double as value from ({own})"
+            for figure in figures
+        ]
+
+    def run(spark, sf) -> DataFrame:
+        made = build(spark, sf)
+        out = []
+        for panel, (keys, figures) in spec.items():
+            rows = comparable(made[panel], 6)
+            labels = [F.col(k).cast("string") for k in keys] + [F.lit(None).cast("string")] * (2 - len(keys))
+            cells = F.array(
+                *[F.struct(F.lit(f).alias("figure"), F.col(f"`{f}`").cast("double").alias("value")) for f in figures]
+            )
+            named = rows.select(F.lit(panel).alias("panel"), labels[0].alias("key_1"), labels[1].alias("key_2"), F.inline(cells))
+            out.append(named)
+        return reduce(DataFrame.union, out)
+
+    query(f"with {tables}\n" + "\nunion all ".join(parts), f"{report}_shared")(run)
+
+
+_TIERS = ("monthly_transactions", "monthly_volume_ghs", "monthly_commission_ghs")
+
+shared(
+    "accounts",
+    lambda spark, sf: plans.accounts_report(st.accounts(spark, sf), shared=True),
+    st.ACCOUNTS_SQL,
+    {
+        "active_share": (("active_account",), ("n", "share")),
+        "by_type": (("account_type",), ("n",)),
+        "by_year": (("year_opened",), ("n",)),
+        "branch_flows": (("branch",), ("deposits", "withdrawals")),
+        "product_flows": (("product_code",), ("deposits", "withdrawals")),
+        "age_by_status": (("account_age_years", "status"), ("n",)),
+        "product_net_flow": (("product_code",), ("net_flow",)),
+        "product_interest": (("product_code",), ("interest",)),
+        "activity_by_type": (("account_type",), ("mean_activity",)),
+        "balance_by_year": (("year_opened",), ("mean_balance",)),
+    },
+)
+shared(
+    "customers",
+    lambda spark, sf: plans.customers_report(st.customers(spark, sf), shared=True),
+    st.CUSTOMERS_SQL,
+    {
+        "sector_penetration": (("employment_sector",), ("n", "share")),
+        "regions": (("region",), ("n",)),
+        "gender": (("gender",), ("n", "share")),
+        "gender_balance": ((), ("n_left", "n_right", "n_rows", "gap")),
+        "acquisition": (("year_joined",), ("n",)),
+        "peak_year": (("label",), ("value",)),
+        "age_bins": (("age_binned",), ("n",)),
+    },
+)
+shared(
+    "employees",
+    lambda spark, sf: plans.employees_report(st.employees(spark, sf), branch="Brand#7", shared=True),
+    st.EMPLOYEES_SQL,
+    {
+        "department_options": (("option",), ("option_group",)),
+        "hiring": (("joining_year",), ("n",)),
+        "departments": (("department",), ("n", "share")),
+        "tenure_by_department": (("department",), ("mean_tenure",)),
+        "age_by_position": (("position",), ("mean_age",)),
+        "gender": (("gender",), ("n", "share")),
+    },
+)
+shared(
+    "agents",
+    lambda spark, sf: plans.agents_report(st.agents(spark, sf), training_values=["No", "Yes"], shared=True),
+    st.AGENTS_SQL,
+    {
+        "tier_means": (("performance_tier",), _TIERS),
+        "regions": (("region",), ("n",)),
+        "region_totals": (("region",), _TIERS),
+        "region_mean_transactions": (("region",), ("mean_monthly_transactions",)),
+        "map_centre": ((), ("lat", "lon")),
+        "base_by_tier": (("performance_tier",), ("n", "mean", "ci_low", "ci_high")),
+        "base_by_training": (("training_completed",), ("mean_customer_base",)),
+    },
+)
+shared(
+    "branches",
+    lambda spark, sf: plans.branches_report(st.branches(spark, sf), shared=True),
+    st.BRANCHES_SQL,
+    {
+        "categories": (("performance_category",), ("n",)),
+        "regions": (("region",), ("n",)),
+        "map_centre": ((), ("lat", "lon")),
+        "accessibility": (("disability_access",), ("n",)),
+    },
+)

@@ -32,6 +32,18 @@ from tillgrid.operators.ordering import order_asc, order_by_key, order_desc, pre
 from tillgrid.operators.points import category_grid, group_points, map_points, scatter_grid, scatter_points
 from tillgrid.operators.reshape import dense_counts, melt
 from tillgrid.operators.shares import flag_max, pct_change, share_of_total
+from tillgrid.operators.sketches import (
+    distinct_error,
+    distinct_estimate,
+    distinct_of_bitmaps,
+    distinct_sketches,
+    id_bitmaps,
+    kll_rank_error,
+    new_by_period,
+    new_estimate,
+    quantile_sketches,
+    quantiles_from_sketches,
+)
 from tillgrid.operators.statistics import (
     box_outliers,
     box_stats,

@@ -29,7 +29,10 @@ def value_counts(
     """
     keys = name_list(keys)
     kept = with_keys(df, keys, keep_null_key)
-    counts = kept.groupBy(*map(column, keys)).agg(F.count(F.lit(1)).alias(name))
+    return ordered_counts(kept.groupBy(*map(column, keys)).agg(F.count(F.lit(1)).alias(name)), keys, order, name)
+
+
+def ordered_counts(counts: DataFrame, keys: Sequence[str], order: str | None, name: str) -> DataFrame:
     by_key = [column(k).asc_nulls_last() for k in keys]
     if order == "count":
         return counts.orderBy(column(name).desc(), *by_key)
@@ -40,7 +43,10 @@ def value_counts(
 
 def value_shares(df: DataFrame, col: str) -> DataFrame:
     """Counts with their percentage of the non-null rows, largest first."""
-    counts = value_counts(df, col, order=None)
+    return shares_of_counts(value_counts(df, col, order=None), col)
+
+
+def shares_of_counts(counts: DataFrame, col: str) -> DataFrame:
     total = scalar_of(counts, F.sum("n"))
     shares = counts.withColumn("share", ratio(F.col("n") * F.lit(100.0), total))
     return shares.orderBy(F.col("n").desc(), column(col))
@@ -67,13 +73,13 @@ def flag_matrix(df: DataFrame, cols: Sequence[str], values: Sequence[str] | None
     texts = df.select(*[column(c).cast("string").alias(c) for c in cols])
     long = texts.unpivot([], list(cols), "flag", "value")
     if values is None:
-        values = _pivot_values(long, "value")
+        values = pivot_values(long, "value")
     # Null cells are counted under no value but keep the row of an all-null column.
     wide = long.groupBy("flag").pivot("value", list(values))
     return wide.agg(F.count(F.col("value"))).na.fill(0)
 
 
-def _pivot_values(df: DataFrame, col: str) -> list:
+def pivot_values(df: DataFrame, col: str) -> list:
     """Sorted distinct values for a pivot, refused above Spark's own limit."""
     limit = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues", "10000"))
     found = df.select(column(col)).where(column(col).isNotNull()).distinct().limit(limit + 1)
@@ -109,13 +115,17 @@ def sum_by(
     """
     keys = name_list(keys)
     kept = with_keys(df, keys, keep_null_key)
-    totals = []
+    totals = sum_figures(df, sums, rounding, money)
+    return kept.groupBy(*map(column, keys)).agg(*[total.alias(out) for out, total in totals.items()])
+
+
+def sum_figures(df: DataFrame, sums: Mapping[str, str], rounding: int | None, money: bool) -> dict[str, Column]:
+    totals = {}
     for out, name in sums.items():
-        total = _sum_of(df, name, money)
+        totals[out] = _sum_of(df, name, money)
         if rounding is not None and not isinstance(df.schema[name].dataType, T.IntegralType):
-            total = round_even(total, rounding)
-        totals.append(total.alias(out))
-    return kept.groupBy(*map(column, keys)).agg(*totals)
+            totals[out] = round_even(totals[out], rounding)
+    return totals
 
 
 def _mean_of(df: DataFrame, name: str) -> Column:
@@ -135,11 +145,13 @@ def mean_by(
     """Means per key, ``means`` maps output name to column."""
     keys = name_list(keys)
     kept = with_keys(df, keys, keep_null_key)
-    outs = []
-    for out, name in means.items():
-        mean = _mean_of(df, name)
-        outs.append((round_even(mean, rounding) if rounding is not None else mean).alias(out))
-    return kept.groupBy(*map(column, keys)).agg(*outs)
+    outs = mean_figures(df, means, rounding)
+    return kept.groupBy(*map(column, keys)).agg(*[mean.alias(out) for out, mean in outs.items()])
+
+
+def mean_figures(df: DataFrame, means: Mapping[str, str], rounding: int | None) -> dict[str, Column]:
+    found = {out: _mean_of(df, name) for out, name in means.items()}
+    return found if rounding is None else {out: round_even(mean, rounding) for out, mean in found.items()}
 
 
 def count_non_null_by(df: DataFrame, key: str, col: str, name: str = "n") -> DataFrame:
@@ -176,14 +188,18 @@ def imbalance_flag(
     df: DataFrame, col: str, left: str = "Male", right: str = "Female", threshold: float = 0.1
 ) -> DataFrame:
     """Whether two values differ by more than ``threshold`` of all rows, nulls included."""
-    row = kpis(
-        df,
-        {
-            "n_left": F.count_if(column(col) == F.lit(left)),
-            "n_right": F.count_if(column(col) == F.lit(right)),
-            "n_rows": F.count(F.lit(1)),
-        },
-    )
+    return imbalance_of(kpis(df, imbalance_figures(col, left, right)), threshold)
+
+
+def imbalance_figures(col: str, left: str, right: str) -> dict[str, Column]:
+    return {
+        "n_left": F.count_if(column(col) == F.lit(left)),
+        "n_right": F.count_if(column(col) == F.lit(right)),
+        "n_rows": F.count(F.lit(1)),
+    }
+
+
+def imbalance_of(row: DataFrame, threshold: float) -> DataFrame:
     gap = ratio(F.abs(F.col("n_left") - F.col("n_right")), F.col("n_rows"))
     return row.withColumn("gap", gap).withColumn("imbalanced", F.col("gap") > F.lit(threshold))
 

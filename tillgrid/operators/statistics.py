@@ -44,18 +44,9 @@ def mean_ci_by(
     kept = with_keys(df, keys)
     by = [column(k) for k in keys]
     v = column(col).cast("double")
-    base = kept.groupBy(*by).agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd")
-    )
+    base = kept.groupBy(*by).agg(*[figure.alias(name) for name, figure in interval_figures(col).items()])
     if ci == "normal":
-        half = F.lit(z) * F.col("sd") / F.sqrt(F.col("n"))
-        return base.select(
-            *by,
-            "n",
-            "mean",
-            (F.col("mean") - half).alias("ci_low"),
-            (F.col("mean") + half).alias("ci_high"),
-        )
+        return normal_interval(base, keys, z)
     if ci != "bootstrap":
         raise ValueError(f"unknown interval {ci!r}")
     if not row_key:
@@ -63,15 +54,18 @@ def mean_ci_by(
     # One row per key and block of rows; from here on nothing grows with the rows.
     digest = F.md5(F.concat_ws("|", *[column(k).cast("string") for k in row_key]).cast("binary"))
     block = F.pmod(_bits(digest), F.lit(blocks)).alias("block")
-    sums = (
-        kept.where(v.isNotNull())
-        .groupBy(*by, block)
-        .agg(F.sum(v).alias("s"), F.count(F.lit(1)).alias("c"))
-        .select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    sums = kept.where(v.isNotNull()).groupBy(*by, block).agg(F.sum(v).alias("s"), F.count(F.lit(1)).alias("c"))
+    # The weights are the same for all keys: one list per block, drawn once.
+    weight = _poisson_weight(F.md5(F.concat_ws(":", "id", "replicate").cast("binary")))
+    drawn = df.sparkSession.range(0, blocks, 1, 8).select(
+        "id", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")
     )
-    weight = _poisson_weight(F.md5(F.concat_ws(":", "block", "replicate").cast("binary")))
+    drawn = drawn.select(F.col("id").alias("drawn_for"), F.struct("replicate", weight.alias("w")).alias("draw"))
+    weights = settle(drawn.groupBy("drawn_for").agg(F.collect_list("draw").alias("draws")))
     means = (
-        sums.withColumn("w", weight)
+        sums.join(F.broadcast(weights), F.col("block") == F.col("drawn_for"))  # blocks x replicates, both arguments
+        .select(*by, "s", "c", F.inline("draws"))
+        .where(F.col("w") > 0)
         .groupBy(*by, "replicate")
         .agg(ratio(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("c"))).alias("m"))
     )
@@ -87,6 +81,18 @@ def mean_ci_by(
     )
 
 
+def interval_figures(col: str) -> dict[str, Column]:
+    v = column(col).cast("double")
+    return {"n": F.count(v), "mean": F.avg(v), "sd": F.stddev_samp(v)}
+
+
+def normal_interval(base: DataFrame, keys: Sequence[str], z: float) -> DataFrame:
+    """Mean ± z·sd/√n from the figures above."""
+    half = F.lit(z) * F.col("sd") / F.sqrt(F.col("n"))
+    ends = [(F.col("mean") - half).alias("ci_low"), (F.col("mean") + half).alias("ci_high")]
+    return base.select(*map(column, keys), "n", "mean", *ends)
+
+
 def _bits(digest: Column) -> Column:
     """The first 52 bits of a hex digest as a number; any engine can do the same."""
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint")
@@ -215,18 +221,46 @@ def _histogram(rows: DataFrame, shape: Row, bins: int) -> DataFrame:
     )
 
 
-def kde(df: DataFrame, col: str, grid: int = 200, block: int = 20) -> DataFrame:
-    """Gaussian density on an even grid from minimum to maximum, bandwidth sd·n^(-1/5).
+def kde(
+    df: DataFrame, col: str, grid: int = 200, block: int = 20, method: str = "exact", error: float = 1e-4
+) -> DataFrame:
+    """Gaussian density on an even grid from minimum to maximum, bandwidth h = sd·n^(-1/5).
 
-    Each row meets the blocks of grid points its kernel reaches and adds to all points of a
+    ``exact``: each row meets the blocks of grid points its kernel reaches and adds to all points of a
     block at once; tasks cut the sums to one row per block. The bandwidth shrinks as rows
     grow, and with it the reach, which leaves out only terms that are zero.
+
+    ``binned``: each row splits its weight on the two nearest points of a finer grid, and that grid, not the
+    rows, meets the kernel. A value's kernel is then its chord between points a step d apart, so no density is off by
+    more than d²/8 times the largest curvature of the kernel, 1/(sqrt(2π)·h³). The step is chosen so that this is
+    ``error`` times the kernel's peak 1/(sqrt(2π)·h): d = h·sqrt(8·error). Its cost is one scan with one
+    row per point and task, whatever the grid.
     """
+    if method not in ("exact", "binned"):
+        raise ValueError(f"unknown method {method!r}")
     rows = _known(df, col)
-    return _kde(rows, _shape(rows), grid, block)
+    shape = _shape(rows)
+    return _kde(rows if method == "exact" else _binned(rows, shape, error), shape, grid, block)
+
+
+def _binned(rows: DataFrame, shape: Row, error: float) -> DataFrame:
+    """(v, w): the points of a fine grid that rows lie beside, with the rows' weights."""
+    spread = shape["n"] > 1 and shape["sd"] > 0
+    step = F.lit(shape["sd"] * shape["n"] ** -0.2 * math.sqrt(8 * error) if spread else 1.0)
+    lo = F.lit(shape["lo"]).cast("double")
+    at = (F.col("v") - lo) / step
+    cell = F.floor(at)
+    over = at - cell
+    parts = F.array(
+        F.struct(cell.alias("cell"), (F.lit(1.0) - over).alias("w")), F.struct((cell + 1).alias("cell"), over.alias("w"))
+    )
+    cells = rows.select(F.inline(parts)).groupBy("cell").agg(F.sum("w").alias("w"))
+    return cells.select((lo + F.col("cell") * step).alias("v"), "w")
 
 
 def _kde(rows: DataFrame, shape: Row, grid: int, block: int = 20) -> DataFrame:
+    """The density of rows (v), or of points (v, w) that stand for them."""
+    weighted = "w" in rows.columns
     known = shape["n"] > 1 and shape["sd"] > 0
     lo = F.lit(shape["lo"]).cast("double")
     step = F.lit((shape["hi"] - shape["lo"]) / (grid - 1) if shape["n"] else None).cast("double")
@@ -237,15 +271,16 @@ def _kde(rows: DataFrame, shape: Row, grid: int, block: int = 20) -> DataFrame:
     width = step * F.lit(float(block))
     first = F.greatest(F.floor(F.try_divide(F.col("v") - reach - lo, width)), F.lit(0))
     last = F.least(F.floor(F.try_divide(F.col("v") + reach - lo, width)), F.lit(blocks - 1))
-    reached = rows.select("v", first.alias("first"), last.alias("last")).where(F.col("first") <= F.col("last"))
-    met = reached.select("v", F.explode(F.sequence("first", "last")).alias("block"))
+    reached = rows.select(*rows.columns, first.alias("first"), last.alias("last")).where(F.col("first") <= F.col("last"))
+    met = reached.select(*rows.columns, F.explode(F.sequence("first", "last")).alias("block"))
     # Distances in bandwidths: of the block's first point, and from one point to the next.
     z = (lo + F.col("block") * width - F.col("v")) / h
-    met = met.select("block", z.alias("z"), (step / h).alias("d"))
+    met = met.select(*rows.columns[1:], "block", z.alias("z"), (step / h).alias("d"))
     masses = []
     for j in range(block):
         zj = F.col("z") + F.col("d") * F.lit(float(j))
-        masses.append(F.sum(F.exp(zj * zj * F.lit(-0.5))).alias(f"mass_{j}"))
+        term = F.exp(zj * zj * F.lit(-0.5))
+        masses.append(F.sum(F.col("w") * term if weighted else term).alias(f"mass_{j}"))
     # One row per block at most.
     sums = met.groupBy("block").agg(*masses)
     dense = rows.sparkSession.range(0, blocks, 1, 1).withColumnRenamed("id", "block").join(F.broadcast(sums), "block", "left")
@@ -274,7 +309,7 @@ def quantiles_by(
     """Linear-interpolated quantiles per group: (group, n, q), q an array in ``probs`` order.
 
     Groups of up to ``gather`` rows are small enough for one task's ``percentile``. A larger
-    group is never gathered: see ``_bracketed_quantiles``; its answer is the same to the last bit. ``exact=False`` returns the
+    group is never gathered: see ``bracketed_quantiles``; its answer is the same to the last bit. ``exact=False`` returns the
     quantiles of a sketch with an error of one in ``accuracy``.
     """
     rows = df.select(column(group).alias(group), nan_to_null(column(col).cast("double")).alias("v"))
@@ -291,7 +326,7 @@ def quantiles_by(
     has_large, has_small = not large.isEmpty(), not sizes.where(F.col("n") <= gather).isEmpty()
     parts = []
     if has_large:
-        parts.append(_bracketed_quantiles(rows, large, group, probs, gather, broadcast_rows))
+        parts.append(bracketed_quantiles(rows, large, group, probs, gather, broadcast_rows))
     if has_small or not has_large:
         if has_large:
             rows = rows.join(broadcast_if_small(large.select(column(group)), broadcast_rows), group, "left_anti")
@@ -308,8 +343,15 @@ _CELLS = 1_000
 _SKETCH = 10_000
 
 
-def _bracketed_quantiles(
-    rows: DataFrame, large: DataFrame, group: str, probs: Sequence[float], gather: int, broadcast_rows: int
+def bracketed_quantiles(
+    rows: DataFrame,
+    large: DataFrame,
+    group: str,
+    probs: Sequence[float],
+    gather: int,
+    broadcast_rows: int,
+    start: DataFrame | None = None,
+    list_at_once: bool = False,
 ) -> DataFrame:
     """Exact quantiles of large groups by brackets of a rank sketch; no group is sorted or gathered.
 
@@ -319,6 +361,9 @@ def _bracketed_quantiles(
     lists them. The sketch bounds ranks, not values, so the spread of the values does not matter: the
     first pass leaves six in 10,000 rows, a further one three in 1,000 of those, and ends that hold
     many equal rows are never inside.
+
+    ``start`` gives first brackets (lo0, hi0, lo1, ...) from elsewhere and spares the first sketch; where one misses its
+    rank it is opened again. ``list_at_once`` says that they hold few enough rows to be listed as they are counted.
     """
     g, ids = column(group), range(len(probs))
     at = [F.lit(p) * (F.col("n") - 1) for p in probs]
@@ -335,6 +380,13 @@ def _bracketed_quantiles(
     wide = max(3.0 / _SKETCH, 2.0 / gather)  # every group has more rows than ``gather``
     first = True
     while True:
+        if first and start is not None:
+            state = settle(state.drop(*[f"{end}{i}" for i in ids for end in ("lo", "hi")]).join(start, group))
+            state = _counted(rows, state, group, ids, broadcast_rows, given=True, list_now=list_at_once)
+            first = False
+            if state.where(~_all([_settled(i, gather) for i in ids])).isEmpty():
+                break
+            continue
         met = rows.join(broadcast_if_small(state, broadcast_rows), group)
         if first:
             grids = [[max(0.0, p - wide), min(1.0, p + wide)] for p in probs]
@@ -358,34 +410,7 @@ def _bracketed_quantiles(
             ends[f"lo{i}"] = F.when(done, F.col(f"lo{i}")).otherwise(low)
             ends[f"hi{i}"] = F.when(done, F.col(f"hi{i}")).otherwise(high)
         state = settle(state.join(sketched, group).withColumns(ends).drop(*[f"grid{i}" for i in ids]))
-        met = rows.join(broadcast_if_small(state, broadcast_rows), group)
-        v = F.col("v")
-        counted = met.groupBy(g).agg(
-            *[F.count_if(v < F.col(f"lo{i}")).alias(f"under{i}") for i in ids],
-            *[F.count_if(v == F.col(f"lo{i}")).alias(f"on_lo{i}") for i in ids],
-            *[F.count_if((v > F.col(f"lo{i}")) & (v < F.col(f"hi{i}"))).alias(f"inside{i}") for i in ids],
-            *[F.count_if(v == F.col(f"hi{i}")).alias(f"on_hi{i}") for i in ids],
-        )
-        placed = state.join(counted, group)
-        found = {}
-        for i in ids:
-            up_to_lo = F.col(f"under{i}") + F.col(f"on_lo{i}")
-            up_to_inside = up_to_lo + F.col(f"inside{i}")
-            one = F.col(f"lo{i}") == F.col(f"hi{i}")
-            last = F.when(one, up_to_lo).otherwise(up_to_inside + F.col(f"on_hi{i}"))
-            for name, r in (("low", f"k{i}"), ("high", f"m{i}")):
-                rank = F.col(r)
-                lost = (rank < F.col(f"under{i}")) | (rank >= last)
-                found[f"{name}{i}"] = (
-                    F.when(F.col(f"{name}{i}").isNotNull(), F.col(f"{name}{i}"))
-                    .when(lost, F.raise_error(F.lit("a quantile lies outside the bracket of its sketch")).cast("double"))
-                    .when(rank < up_to_lo, F.col(f"lo{i}"))
-                    .when(rank >= up_to_inside, F.col(f"hi{i}"))
-                )
-            found[f"below{i}"] = up_to_lo
-            found[f"held{i}"] = F.col(f"inside{i}")
-        extra = [f"{name}{i}" for i in ids for name in ("under", "on_lo", "inside", "on_hi")]
-        state = settle(placed.withColumns(found).drop(*extra))
+        state = _counted(rows, state, group, ids, broadcast_rows)
         first = False
         if state.where(~_all([_settled(i, gather) for i in ids])).isEmpty():
             break
@@ -413,6 +438,56 @@ def _bracketed_quantiles(
     return state.select(g, "n", F.array(*quantiles).alias("q"))
 
 
+def _counted(
+    rows: DataFrame, state: DataFrame, group: str, ids: range, broadcast_rows: int, given: bool = False, list_now: bool = False
+) -> DataFrame:
+    """The state after one scan that counts the rows below, on and between the ends of every bracket.
+
+    Of ``given`` brackets one that does not hold its ranks is opened to all rows; of others that is an error.
+    ``list_now`` lists the rows between the ends in the same scan.
+    """
+    v = F.col("v")
+    met = rows.join(broadcast_if_small(state, broadcast_rows), group)
+    figures = []
+    for i in ids:
+        figures.append(F.count_if(v < F.col(f"lo{i}")).alias(f"under{i}"))
+        figures.append(F.count_if(v == F.col(f"lo{i}")).alias(f"on_lo{i}"))
+        figures.append(F.count_if((v > F.col(f"lo{i}")) & (v < F.col(f"hi{i}"))).alias(f"inside{i}"))
+        figures.append(F.count_if(v == F.col(f"hi{i}")).alias(f"on_hi{i}"))
+        if list_now:
+            figures.append(F.sort_array(F.collect_list(F.when(_within(i), v))).alias(f"list{i}"))
+    placed = state.join(met.groupBy(column(group)).agg(*figures), group)
+    found = {}
+    for i in ids:
+        up_to_lo = F.col(f"under{i}") + F.col(f"on_lo{i}")
+        up_to_inside = up_to_lo + F.col(f"inside{i}")
+        one = F.col(f"lo{i}") == F.col(f"hi{i}")
+        last = F.when(one, up_to_lo).otherwise(up_to_inside + F.col(f"on_hi{i}"))
+        missed = (F.col(f"k{i}") < F.col(f"under{i}")) | (F.col(f"m{i}") >= last)
+        for name, r in (("low", f"k{i}"), ("high", f"m{i}")):
+            rank = F.col(r)
+            lost = F.lit(None).cast("double")
+            if not given:
+                lost = F.raise_error(F.lit("a quantile lies outside the bracket of its sketch")).cast("double")
+            held = F.get(f"list{i}", (rank - up_to_lo).cast("int")) if list_now else F.lit(None).cast("double")
+            outside = missed if given else (rank < F.col(f"under{i}")) | (rank >= last)
+            found[f"{name}{i}"] = (
+                F.when(F.col(f"{name}{i}").isNotNull(), F.col(f"{name}{i}"))
+                .when(outside, lost)
+                .when(rank < up_to_lo, F.col(f"lo{i}"))
+                .when(rank >= up_to_inside, F.col(f"hi{i}"))
+                .otherwise(held)
+            )
+        found[f"below{i}"], found[f"held{i}"] = up_to_lo, F.col(f"inside{i}")
+        if given:
+            found[f"below{i}"] = F.when(missed, F.lit(0).cast("bigint")).otherwise(up_to_lo)
+            found[f"held{i}"] = F.when(missed, F.col("n")).otherwise(F.col(f"inside{i}"))
+            for end in ("lo", "hi"):
+                found[f"{end}{i}"] = F.when(~missed, F.col(f"{end}{i}"))
+    extra = [f"{name}{i}" for i in ids for name in ("under", "on_lo", "inside", "on_hi", *(["list"] if list_now else []))]
+    return settle(placed.withColumns(found).drop(*extra))
+
+
 def _within(i: int) -> Column:
     """Whether v lies strictly inside bracket i; a bracket without ends holds everything."""
     v, lo, hi = F.col("v"), F.col(f"lo{i}"), F.col(f"hi{i}")

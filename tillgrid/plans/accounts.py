@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tillgrid import operators as op
 from tillgrid.functions import year_of
 from tillgrid.plans.panels import Panels
+from tillgrid.plans.shared import scope, then
 
 ALERTS = ("mobile_banking", "sms_alerts", "email_alerts")
 
@@ -40,44 +41,48 @@ def accounts_report(
     balance_cell: float = 10_000,
     interest_cell: float = 10_000,
     top: int = 10,
+    shared: bool = False,
 ) -> Panels:
-    """Panels of a ``prepare_accounts`` frame; which take the filter and which do not is fixed."""
-    every = accounts
-    chosen = chosen_accounts(accounts, years, types)
-    flows = {"deposits": "total_deposits", "withdrawals": "total_withdrawals"}
+    """Panels of a ``prepare_accounts`` frame; which take the filter and which do not is fixed.
 
-    def interest_by(key: str) -> DataFrame:
-        return op.sum_by(every, key, {"interest": "interest_earned"})
+    With ``shared`` the grouped panels come from one scan of all accounts and one of the chosen ones.
+    """
+    every = scope(accounts, shared)
+    chosen = scope(chosen_accounts(accounts, years, types), shared)
+    flows = {"deposits": "total_deposits", "withdrawals": "total_withdrawals"}
 
-    def yearly() -> DataFrame:
-        return op.mean_by(chosen, "year_opened", {"mean_balance": "current_balance"})
+    interest = {"interest": "interest_earned"}
+    yearly = chosen.ask(op.mean_by, "year_opened", {"mean_balance": "current_balance"})
+    net_flow = every.ask(op.sum_by, "product_code", {"net_flow": "net_flow"})
+    activity = chosen.ask(op.mean_by, "account_type", {"mean_activity": "activity_score"})
 
     return Panels(
         {
-            "year_options": lambda: op.domain(every, "year_opened"),
-            "type_options": lambda: op.domain(every, "account_type", sort=False, drop_null=False),
-            "active_share": lambda: op.value_shares(chosen, "active_account"),
-            "by_type": lambda: op.value_counts(chosen, "account_type"),
-            "by_year": lambda: op.value_counts(chosen, "year_opened", order="key"),
-            "alerts": lambda: op.flag_matrix(chosen, ALERTS, alert_values),
-            "branch_flows": lambda: op.order_by_key(op.sum_by(every, "branch", flows), "branch"),
-            "product_flows": lambda: op.order_by_key(op.sum_by(every, "product_code", flows), "product_code"),
-            "age_by_status": lambda: op.value_counts(chosen, ["account_age_years", "status"], order="key"),
-            "product_net_flow": lambda: op.order_desc(
-                op.sum_by(every, "product_code", {"net_flow": "net_flow"}), "net_flow", "product_code"
-            ),
-            "product_interest": lambda: op.order_desc(interest_by("product_code"), "interest", "product_code"),
-            "top_customers": lambda: op.top_k(interest_by("customer_id"), "interest", top, "customer_id"),
-            "activity_by_type": lambda: op.order_asc(
-                op.mean_by(chosen, "account_type", {"mean_activity": "activity_score"}), "mean_activity", "account_type"
+            "year_options": every.ask(op.domain, "year_opened"),
+            "type_options": every.ask(op.domain, "account_type", sort=False, drop_null=False),
+            "active_share": chosen.ask(op.value_shares, "active_account"),
+            "by_type": chosen.ask(op.value_counts, "account_type"),
+            "by_year": chosen.ask(op.value_counts, "year_opened", order="key"),
+            "alerts": chosen.ask(op.flag_matrix, ALERTS, alert_values),
+            "branch_flows": then(every.ask(op.sum_by, "branch", flows), op.order_by_key, "branch"),
+            "product_flows": then(every.ask(op.sum_by, "product_code", flows), op.order_by_key, "product_code"),
+            "age_by_status": chosen.ask(op.value_counts, ["account_age_years", "status"], order="key"),
+            "product_net_flow": then(net_flow, op.order_desc, "net_flow", "product_code"),
+            "product_interest": then(
+                every.ask(op.sum_by, "product_code", interest), op.order_desc, "interest", "product_code"
             ),
-            "balance_histogram": lambda: op.histogram(chosen, "current_balance", 30),
-            "balance_density": lambda: op.kde(chosen, "current_balance", 200),
-            "balance_by_year": lambda: op.order_by_key(yearly(), "year_opened"),
-            "balance_growth": lambda: op.pct_change(yearly(), "year_opened", "mean_balance", "growth_pct"),
-            "balance_interest_points": lambda: op.scatter_points(every, "current_balance", "interest_earned"),
-            "balance_interest_grid": lambda: op.scatter_grid(
-                every, "current_balance", "interest_earned", balance_cell, interest_cell
+            # As many groups as customers: not for the shared scan.
+            "top_customers": lambda: op.top_k(op.sum_by(accounts, "customer_id", interest), "interest", top, "customer_id"),
+            "activity_by_type": then(activity, op.order_asc, "mean_activity", "account_type"),
+            "balance_histogram": chosen.ask(op.histogram, "current_balance", 30),
+            "balance_density": chosen.ask(op.kde, "current_balance", 200),
+            # Bars and curve as one chart, from one first scan.
+            "balance_chart": chosen.ask(op.histogram_with_density, "current_balance", 30, 200),
+            "balance_by_year": then(yearly, op.order_by_key, "year_opened"),
+            "balance_growth": then(yearly, op.pct_change, "year_opened", "mean_balance", "growth_pct"),
+            "balance_interest_points": every.ask(op.scatter_points, "current_balance", "interest_earned"),
+            "balance_interest_grid": every.ask(
+                op.scatter_grid, "current_balance", "interest_earned", balance_cell, interest_cell
             ),
         }
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tillgrid import operators as op
 from tillgrid.functions import describe_row, engagement_score, round_even
 from tillgrid.plans.panels import Panels
+from tillgrid.plans.shared import scope, then
 
 
 def agents_report(
@@ -22,8 +23,13 @@ def agents_report(
     score_cell: float = 1,
     map_cell: float = 0.5,
     exact_quartiles: bool = True,
+    shared: bool = False,
 ) -> Panels:
-    """``score_places`` rounds the engagement score before agents are grouped by it."""
+    """``score_places`` rounds the engagement score before agents are grouped by it.
+
+    With ``shared`` the grouped panels come from one scan.
+    """
+    every = scope(agents, shared)
     score = engagement_score(
         F.col("monthly_transactions"), F.col("active_customer_base"), F.col("months_active")
     )
@@ -54,8 +60,8 @@ def agents_report(
     )
     panels = {
         "top_volume": lambda: op.top_k(best, "monthly_volume_ghs", 10, "agent_id"),
-        "tier_means": lambda: op.order_by_key(
-            op.mean_by(agents, "performance_tier", {c: c for c in figures}, rounding=2), "performance_tier"
+        "tier_means": then(
+            every.ask(op.mean_by, "performance_tier", {c: c for c in figures}, rounding=2), op.order_by_key, "performance_tier"
         ),
         "rate_volume_points": lambda: op.scatter_points(
             agents, "commission_rate_pct", "monthly_volume_ghs", "performance_tier"
@@ -63,20 +69,21 @@ def agents_report(
         "rate_volume_grid": lambda: op.scatter_grid(
             agents, "commission_rate_pct", "monthly_volume_ghs", rate_cell, volume_cell, "performance_tier"
         ),
-        "regions": lambda: op.value_counts(agents, "region"),
-        "region_totals": lambda: op.order_desc(
-            op.sum_by(agents, "region", {c: c for c in figures}, rounding=2), "monthly_transactions", "region"
+        "regions": every.ask(op.value_counts, "region"),
+        "region_totals": then(
+            every.ask(op.sum_by, "region", {c: c for c in figures}, rounding=2), op.order_desc, "monthly_transactions", "region"
         ),
         # The chart is titled an average but draws the total above; this is the average.
-        "region_mean_transactions": lambda: op.order_desc(
-            op.mean_by(agents, "region", {"mean_monthly_transactions": "monthly_transactions"}, rounding=2),
+        "region_mean_transactions": then(
+            every.ask(op.mean_by, "region", {"mean_monthly_transactions": "monthly_transactions"}, rounding=2),
+            op.order_desc,
             "mean_monthly_transactions",
             "region",
         ),
-        "map_centre": lambda: op.kpis(agents, {"lat": F.avg("gps_latitude"), "lon": F.avg("gps_longitude")}),
+        "map_centre": every.ask(op.kpis, {"lat": F.avg("gps_latitude"), "lon": F.avg("gps_longitude")}),
         "map_points": lambda: op.map_points(agents, "gps_latitude", "gps_longitude", {"popup": popup}),
         "map_clusters": lambda: op.group_points(agents, "gps_latitude", "gps_longitude", map_cell),
-        "base_by_tier": lambda: op.mean_ci_by(agents, "performance_tier", "active_customer_base"),
+        "base_by_tier": every.ask(op.mean_ci_by, "performance_tier", "active_customer_base"),
         "hours_base_points": lambda: op.scatter_points(
             agents, "working_hours", "active_customer_base", "performance_tier"
         ),
@@ -84,12 +91,13 @@ def agents_report(
         "hours_base_grid": lambda: op.category_grid(
             agents, "working_hours", "active_customer_base", base_cell, "performance_tier"
         ),
-        "base_by_training": lambda: op.order_by_key(
-            op.mean_by(agents, "training_completed", {"mean_customer_base": "active_customer_base"}, rounding=2),
+        "base_by_training": then(
+            every.ask(op.mean_by, "training_completed", {"mean_customer_base": "active_customer_base"}, rounding=2),
+            op.order_by_key,
             "training_completed",
         ),
-        "region_training": lambda: op.order_by_key(
-            op.mean_pivot(agents, "region", "training_completed", "monthly_volume_ghs", training_values), "region"
+        "region_training": then(
+            every.ask(op.mean_pivot, "region", "training_completed", "monthly_volume_ghs", training_values), op.order_by_key, "region"
         ),
         "top_engagement": lambda: op.top_k(
             scored.select("agent_id", "engagement_score"), "engagement_score", 10, "agent_id"
@@ -108,4 +116,7 @@ def agents_report(
         panels["compliance_by_tier"] = lambda: op.box_stats(
             agents, "performance_tier", "compliance_score", exact_quartiles
         )
+        panels["compliance_outliers"] = lambda: op.box_outliers(
+            agents, "performance_tier", "compliance_score", exact_quartiles
+        )
     return Panels(panels)

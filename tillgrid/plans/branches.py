@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tillgrid import operators as op
 from tillgrid.functions import coverage_pct, describe_row, flag_value, ratio
 from tillgrid.plans.panels import Panels
+from tillgrid.plans.shared import scope
 from tillgrid.sources import inline_table
 
 # The district each branch serves.
@@ -95,7 +96,10 @@ def branches_report(
     load_cell: float = 100,
     satisfaction_cell: float = 0.5,
     exact_quartiles: bool = True,
+    shared: bool = False,
 ) -> Panels:
+    """With ``shared`` the grouped panels come from one scan."""
+    every = scope(branches, shared)
     loads = branches.withColumns(
         {
             "customer_to_staff": ratio(F.col("active_customers"), F.col("staff_count")),
@@ -119,7 +123,7 @@ def branches_report(
     return Panels(
         {
             "top_profitability": lambda: op.top_k(best, "profitability_index", 5, ["branch_name", "region"]),
-            "categories": lambda: op.value_counts(branches, "performance_category"),
+            "categories": every.ask(op.value_counts, "performance_category"),
             "correlations": lambda: op.corr_matrix(branches, METRICS),
             "customer_to_staff": lambda: loads.select("branch_name", "customer_to_staff"),
             "capacity": lambda: op.order_desc(
@@ -138,16 +142,17 @@ def branches_report(
                 satisfaction_cell,
                 "performance_category",
             ),
-            "regions": lambda: op.value_counts(branches, "region"),
-            "map_centre": lambda: op.kpis(branches, {"lat": F.avg("gps_latitude"), "lon": F.avg("gps_longitude")}),
+            "regions": every.ask(op.value_counts, "region"),
+            "map_centre": every.ask(op.kpis, {"lat": F.avg("gps_latitude"), "lon": F.avg("gps_longitude")}),
             "map_points": lambda: op.map_points(
                 branches,
                 "gps_latitude",
                 "gps_longitude",
                 {"popup": popup, "color": flag_value(F.col("atm_available"))},
             ),
-            "accessibility": lambda: op.value_counts(branches, "disability_access"),
+            "accessibility": every.ask(op.value_counts, "disability_access"),
             "access_customers": lambda: op.box_stats(branches, "disability_access", "active_customers", exact_quartiles),
+            "access_outliers": lambda: op.box_outliers(branches, "disability_access", "active_customers", exact_quartiles),
             "coverage": lambda: district_coverage(branches, mapping, population),
         }
     )

@@ -17,6 +17,7 @@ from tillgrid.functions import (
     year_of,
 )
 from tillgrid.plans.panels import Panels
+from tillgrid.plans.shared import scope, then
 
 # Tenure segment edges in years, and their labels.
 TENURE_EDGES = (0, 1, 3, 5, 10, 20)
@@ -96,16 +97,23 @@ def customer_insights(customers: DataFrame) -> DataFrame:
 
 
 def customers_report(
-    customers: DataFrame, untapped_below: float = 10, tenure_cell: float = 1, income_cell: float = 500
+    customers: DataFrame,
+    untapped_below: float = 10,
+    tenure_cell: float = 1,
+    income_cell: float = 500,
+    shared: bool = False,
 ) -> Panels:
-    """Panels of a ``prepare_customers`` frame; those on income and age bins need their columns."""
+    """Panels of a ``prepare_customers`` frame; those on income and age bins need their columns.
 
-    def counts(col: str) -> DataFrame:
-        return op.value_counts(customers, col, order=None)
+    With ``shared`` the grouped panels come from one scan.
+    """
+    every = scope(customers, shared)
+    shares = every.ask(op.value_shares, "employment_sector")
+    regions = every.ask(op.value_counts, "region", order=None)
+    joined = every.ask(op.value_counts, "year_joined", order=None)
 
     def sectors() -> DataFrame:
-        shares = op.value_shares(customers, "employment_sector")
-        return shares.withColumn("flag", flag_below(F.col("share"), untapped_below))
+        return shares().withColumn("flag", flag_below(F.col("share"), untapped_below))
 
     def segments() -> DataFrame:
         dense = op.dense_counts(customers, F.col("segment"), TENURE_LABELS)
@@ -122,13 +130,13 @@ def customers_report(
             },
         ),
         "sector_penetration": lambda: op.order_asc(sectors(), "share", "employment_sector"),
-        "regions": lambda: op.order_desc(op.flag_max(counts("region"), "n"), "n", "region"),
-        "strongest_region": lambda: op.arg_max(counts("region"), "region", "n"),
-        "gender": lambda: op.value_shares(customers, "gender"),
-        "gender_balance": lambda: op.imbalance_flag(customers, "gender"),
+        "regions": lambda: op.order_desc(op.flag_max(regions(), "n"), "n", "region"),
+        "strongest_region": then(regions, op.arg_max, "region", "n"),
+        "gender": every.ask(op.value_shares, "gender"),
+        "gender_balance": every.ask(op.imbalance_flag, "gender"),
         "segments": segments,
-        "acquisition": lambda: op.order_by_key(counts("year_joined"), "year_joined"),
-        "peak_year": lambda: op.arg_max(counts("year_joined"), "year_joined", "n"),
+        "acquisition": then(joined, op.order_by_key, "year_joined"),
+        "peak_year": then(joined, op.arg_max, "year_joined", "n"),
         "insights": lambda: customer_insights(customers),
     }
     if "income" in customers.columns:
@@ -139,5 +147,5 @@ def customers_report(
             "income_grid": lambda: op.scatter_grid(customers, "tenure_years", "income", tenure_cell, income_cell),
         }
     if "age_binned" in customers.columns:
-        panels["age_bins"] = lambda: op.value_counts(customers, "age_binned", order="key")
+        panels["age_bins"] = every.ask(op.value_counts, "age_binned", order="key")
     return Panels(panels)

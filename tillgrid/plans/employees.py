@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tillgrid import operators as op
 from tillgrid.functions import tenure_years_as_of, year_of
 from tillgrid.plans.panels import Panels
+from tillgrid.plans.shared import scope, then
 
 
 def prepare_employees(employees: DataFrame, as_of: dt.date) -> DataFrame:
@@ -31,30 +32,35 @@ def employees_report(
     joining_year: int | str = "All",
     education_levels: Sequence[str] = (),
     band_width: float = 10_000,
+    shared: bool = False,
 ) -> Panels:
-    """Panels of a ``prepare_employees`` frame; only education by income leaves the filter out."""
-    chosen = op.filter_eq_optional(
-        employees, {"branch": branch, "department": department, "joining_year": joining_year}
-    )
+    """Panels of a ``prepare_employees`` frame; options and education by income leave the filter out.
+
+    With ``shared`` the grouped panels come from one scan of all employees and one of the chosen ones.
+    """
+    filters = {"branch": branch, "department": department, "joining_year": joining_year}
+    every = scope(employees, shared)
+    chosen = scope(op.filter_eq_optional(employees, filters), shared)
+    hired = chosen.ask(op.count_non_null_by, "joining_year", "employee_id")
+    tenure = chosen.ask(op.mean_by, "department", {"mean_tenure": "tenure_years"})
+    ages = chosen.ask(op.mean_by, "position", {"mean_age": "age"})
     panels = {
-        "branch_options": lambda: op.options_with_all(employees, "branch"),
-        "department_options": lambda: op.options_with_all(employees, "department"),
-        "year_options": lambda: op.options_with_all(employees, "joining_year"),
-        "kpis": lambda: op.kpis(
-            chosen,
+        "branch_options": every.ask(op.options_with_all, "branch"),
+        "department_options": every.ask(op.options_with_all, "department"),
+        "year_options": every.ask(op.options_with_all, "joining_year"),
+        "kpis": chosen.ask(
+            op.kpis,
             {
                 "n_employees": op.distinct_count(F.col("employee_id")),
                 "mean_tenure": F.avg("tenure_years"),
                 "mean_age": F.avg("age"),
             },
         ),
-        "hiring": lambda: op.order_by_key(op.count_non_null_by(chosen, "joining_year", "employee_id"), "joining_year"),
-        "departments": lambda: op.value_shares(chosen, "department"),
-        "tenure_by_department": lambda: op.order_by_key(
-            op.mean_by(chosen, "department", {"mean_tenure": "tenure_years"}), "department"
-        ),
-        "age_by_position": lambda: op.order_by_key(op.mean_by(chosen, "position", {"mean_age": "age"}), "position"),
-        "gender": lambda: op.value_shares(chosen, "gender"),
+        "hiring": then(hired, op.order_by_key, "joining_year"),
+        "departments": chosen.ask(op.value_shares, "department"),
+        "tenure_by_department": then(tenure, op.order_by_key, "department"),
+        "age_by_position": then(ages, op.order_by_key, "position"),
+        "gender": chosen.ask(op.value_shares, "gender"),
     }
     if education_levels:
         panels["education_by_income"] = lambda: op.band_crosstab(

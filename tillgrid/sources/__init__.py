@@ -22,6 +22,8 @@ from tillgrid.sources.schemas import (
     Dataset,
     Field,
 )
+from tillgrid.sources.incremental import changed_files, list_files, stage_changes
+from tillgrid.sources.quarantine import Quarantine, read_quarantined
 from tillgrid.sources.writers import export_csv, stage
 
 __all__ = [
@@ -36,13 +38,18 @@ __all__ = [
     "REGION_POPULATION",
     "Dataset",
     "Field",
+    "Quarantine",
+    "changed_files",
     "conform",
     "export_csv",
     "inline_table",
+    "list_files",
     "normalize_headers",
     "normalize_nulls",
     "read_bundle",
+    "read_quarantined",
     "read_table",
     "read_texts",
     "stage",
+    "stage_changes",
 ]

@@ -76,17 +76,32 @@ def _typed(raw: DataFrame, header: str, field: Field, date_format: str | None) -
                 parsed = F.when(bad, F.raise_error(message)).otherwise(parsed)
             col = parsed
     elif field.dtype.startswith("decimal") and field.mode == "strict":
-        # As for text: what does not fit the declared decimals fails.
-        parsed, whole = col.try_cast(field.dtype), col.try_cast("decimal(38,18)")
-        known = col.isNotNull() & ~F.isnan(col.cast("double"))
-        bad = known & (parsed.isNull() | (parsed != whole))
-        message = F.concat(F.lit(f"{field.name} is not {field.dtype}: "), col.cast("string"))
-        col = F.when(bad, F.raise_error(message)).otherwise(parsed)
+        col = _strict_decimal(raw, col, raw.schema[header].dataType, field)
     else:
         col = col.cast(field.dtype)
     return nan_to_null(col) if field.dtype == "double" else col
 
 
+def _strict_decimal(raw: DataFrame, col: Column, source: T.DataType, field: Field) -> Column:
+    """As for text, what does not fit the declared decimals fails; what surely fits is not tested."""
+    declared = T.DecimalType(*map(int, re.findall(r"\d+", field.dtype)))
+    parsed = col.try_cast(field.dtype)
+    if isinstance(source, T.IntegralType):
+        source = T.DecimalType(20, 0)
+    if isinstance(source, T.DecimalType):
+        more_digits = source.precision - source.scale > declared.precision - declared.scale
+        ansi = raw.sparkSession.conf.get("spark.sql.ansi.enabled") == "true"
+        if source.scale <= declared.scale and (ansi or not more_digits):
+            return col.cast(field.dtype)  # too many whole digits fail in the cast
+        bad = col.isNotNull() & (parsed.isNull() | (parsed != col) if source.scale > declared.scale else parsed.isNull())
+    else:
+        # A double with so few decimals comes back from them as it was.
+        number = col.cast("double")
+        bad = ~F.isnan(number) & (parsed.isNull() | (parsed.cast("double") != number))
+    message = F.concat(F.lit(f"{field.name} is not {field.dtype}: "), col.cast("string"))
+    return F.when(bad, F.raise_error(message)).otherwise(parsed)
+
+
 def conform(
     raw: DataFrame,
     dataset: Dataset,
