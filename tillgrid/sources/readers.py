@@ -97,7 +97,7 @@ def _strict_decimal(raw: DataFrame, col: Column, source: T.DataType, field: Fiel
     else:
         # A double with so few decimals comes back from them as it was.
         number = col.cast("double")
-        bad = ~F.isnan(number) & (parsed.isNull() | (parsed.cast("double") != number))
+        bad = number.isNotNull() & ~F.isnan(number) & (parsed.isNull() | (parsed.cast("double") != number))
     message = F.concat(F.lit(f"{field.name} is not {field.dtype}: "), col.cast("string"))
     return F.when(bad, F.raise_error(message)).otherwise(parsed)
 
