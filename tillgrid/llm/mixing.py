@@ -27,6 +27,7 @@ BLOCK_ROWS = 32
 CELL_ROWS = 1_000
 RANGE = 1 << 19  # slots that the driver holds at once
 BROADCAST_SOURCES = 100_000  # a row each; more are joined by shuffle
+BROADCAST_SLOTS = 1_000_000  # some 40 bytes each, for 32 million rows of a mix
 SLOTS = "s string, block long, epoch long, slot long"
 
 
@@ -152,8 +153,10 @@ def mix(
     sized = spark.createDataFrame([(s, n, per[s]) for s, n in sizes.items()], "s string, rows long, blocks long")
     if len(sizes) <= BROADCAST_SOURCES:
         sized = F.broadcast(sized)
+    slots = slot_table(spark, parts, per)
+    few = slots.count() <= BROADCAST_SLOTS
     turn = (F.col("epoch") * F.col("blocks") + F.col("block")).alias("turn")
-    dealt = slot_table(spark, parts, per).join(sized, "s").select("s", "rows", turn, "slot")
+    dealt = slots.join(sized, "s").select("s", "rows", turn, "slot")
     # How often the rows of a source may come: one row for each source.
     last = dealt.groupBy("s").agg(F.max("rows").alias("rows"), F.ceil((F.max("turn") + 1) * block_rows / F.max("rows")).alias("epochs"))
     last = last.withColumnRenamed("s", "of")
@@ -173,7 +176,10 @@ def mix(
     )
     at = F.col("rank") + F.col("epoch") * F.col("rows")
     placed = again.select("row", "source", "epoch", F.floor(at / block_rows).alias("own"), (at % block_rows).alias("place"))
-    held = placed.join(dealt.drop("rows"), (F.col("source") == F.col("s")) & (F.col("own") == F.col("turn")))
+    at_slots = dealt.drop("rows")
+    if few:  # counted above; else both sides are shuffled, the rows as often as they come
+        at_slots = F.broadcast(at_slots)
+    held = placed.join(at_slots, (F.col("source") == F.col("s")) & (F.col("own") == F.col("turn")))
     return held.select(
         *[F.col("row").getField(c).alias(c) for c in df.columns],
         F.col("epoch").alias(epoch), F.col("own").alias(block), F.col("slot").alias(slot), F.col("place").alias(place),
