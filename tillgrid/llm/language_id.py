@@ -155,6 +155,27 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(2.0**best)
 
 
+def _last_draws(rows: DataFrame, sizes: dict[str, int], per_language: int, spare: float | None) -> dict[str, int]:
+    """The draw up to which each language has its sample; a language of whose rows too few were looked at is left out.
+
+    Draws are even, so ``spare`` times the sample's share of the rows is looked at: no task meets all rows of a
+    language. Without it every draw of the rows is, once each.
+    """
+    looked = rows.select("lang", "draw")
+    if spare is not None:
+        limit = F.lit(None).cast("long")
+        for lang, n in sizes.items():
+            share = min(1.0, spare * per_language / n)
+            top = min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
+            limit = F.when(F.col("lang") == lang, top).otherwise(limit)
+        looked = looked.where(F.col("draw") <= limit)
+    order = Window.partitionBy("lang").orderBy("draw")
+    first = looked.groupBy("lang", "draw").agg(F.count(F.lit(1)).alias("n")).withColumn("place", F.row_number().over(order))
+    ends = first.where(F.col("place") <= per_language).groupBy("lang").agg(F.max("draw").alias("draw"), F.sum("n").alias("n"))
+    found = ends.collect()  # one row per language
+    return {r["lang"]: r["draw"] for r in found if spare is None or r["n"] >= min(per_language, sizes[r["lang"]])}
+
+
 def fit(train: DataFrame, text_col: str, lang_col: str, id_col: str, per_language: int = PER_LANGUAGE) -> Model:
     """Fit on the rows given; those without a language or a letter teach nothing.
 
@@ -166,10 +187,11 @@ def fit(train: DataFrame, text_col: str, lang_col: str, id_col: str, per_languag
         col(lang_col).cast("string").alias("lang"),
         F.xxhash64(col(id_col), col(text_col).cast("string"), F.lit(1)).alias("draw"),
     )
-    # The draw of each language's last row in the sample; a task sends no more than the sample holds.
-    order = Window.partitionBy("lang").orderBy("draw")
-    first = rows.select("lang", "draw").withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language)
-    last = {lang: draw for lang, draw in first.groupBy("lang").agg(F.max("draw")).collect()}  # one row per language
+    sizes = {lang: n for lang, n in rows.groupBy("lang").count().collect()}  # one row per language
+    last = _last_draws(rows, sizes, per_language, 4.0)
+    # Where rows are so alike that they share draws, the first look may find too few of them.
+    if few := {lang: n for lang, n in sizes.items() if lang not in last}:
+        last |= _last_draws(rows.where(F.col("lang").isin(list(few))), few, per_language, None)
     languages = sorted(last)
     if not languages:
         return Model([], np.zeros((1 << BITS, 0)), np.zeros(0), 1.0)
@@ -212,7 +234,7 @@ def fit(train: DataFrame, text_col: str, lang_col: str, id_col: str, per_languag
         seen[feature] = n
     idf = np.log((1 + seen[-1]) / (1 + seen[:-1])) + 1
 
-    limit = F.lit(None).cast("long")
+    limit, order = F.lit(None).cast("long"), Window.partitionBy("lang").orderBy("draw")
     for lang in languages:
         limit = F.when(F.col("lang") == lang, last[lang]).otherwise(limit)
     drawn = rows.where(F.col("draw") <= limit).mapInArrow(vectors, "lang string, draw long, features binary, shares binary")
