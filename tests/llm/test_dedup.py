@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tillgrid.llm.components import components
 from tillgrid.llm.exact_dedup import exact_dedup, exact_groups
 from tillgrid.llm.near_dedup import circulant, near_dedup, near_groups, signature
-from tillgrid.llm.substring_dedup import remove_repeats
+from tillgrid.llm.substring_dedup import CELL, _units, remove_repeats
 from tillgrid.llm.textblocks import mix
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -179,6 +179,44 @@ def test_substring_dedup_of_short_windows(make, corpus, k, gram):
     assert got == brute_removal(corpus, k)
 
 
+@pytest.mark.parametrize("bits", [4, 7])
+def test_substring_words_decide(make, corpus, bits):
+    """Words that share fingerprints make false pieces and edges; the answer is that of the words."""
+    got = {r[0]: tuple(r)[1:] for r in remove_repeats(make(corpus), with_text=True, bits=bits).collect()}
+    assert got == brute_removal(corpus, 13)
+
+
+def test_substring_paths_are_compacted(spark):
+    """Paths over (doc, part, pos, n, head, tail): a chain is one unit, a branch and a cell's end begin another."""
+    rows = [(1, 0, p, 1, p, p + 1) for p in range(6)] + [(2, 0, 0, 1, 3, 99)]  # node 3 has two ways out
+    rows += [(3, 0, CELL - 1, 1, 200, 201), (3, 0, CELL, 4, 201, 202), (3, 0, CELL + 4, 1, 202, 203)]
+    rows += [(4, 0, 0, 1, 300, 301), (5, 0, 7, 1, 301, 302)]  # one way on, but in another document
+    paths = spark.createDataFrame(rows, "doc long, part long, pos long, n long, head long, tail long")
+    got = {}
+    for r in _units(paths).collect():
+        got.setdefault(r.unit, set()).add((r.doc, r.pos, r.off))
+    assert sorted(map(sorted, got.values())) == [
+        [(1, 0, 0), (1, 1, 1), (1, 2, 2)],
+        [(1, 3, 0), (1, 4, 1), (1, 5, 2)],
+        [(2, 0, 0)],
+        [(3, CELL - 1, 0)],
+        [(3, CELL, 0), (3, CELL + 4, 4)],
+        [(4, 0, 0)],
+        [(5, 7, 0)],
+    ]
+
+
+def test_substring_long_text(make):
+    """A text of many cells, its copy with one word changed, and a passage from its middle."""
+    rng = np.random.default_rng(11)
+    words = [f"v{i}" for i in rng.integers(0, 3000, 3 * CELL)]
+    other = [*words[: CELL + 5], "changed", *words[CELL + 6 :]]
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, "x y " + " ".join(words[CELL - 20 : CELL + 40]))]
+    got = {r[0]: tuple(r)[1:] for r in remove_repeats(make(rows), with_text=True).collect()}
+    assert got == brute_removal(rows, 13)
+    assert got[2][1] == len(words) - 1 and got[3][1] == 60
+
+
 def test_substring_odd_rows(make):
     a, b = " ".join(WORDS[:20]), " ".join(WORDS[50:70])
     rows = [(4, a), (4, b), (4, a), (None, a), (6, f"{a} {b}"), (1, None)]

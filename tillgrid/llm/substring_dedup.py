@@ -1,14 +1,17 @@
 """Substring dedup by compaction of a De Bruijn graph of word windows.
 
-Every window of ``k`` words is an edge of the graph from its first k-1 words to its last k-1. Edges are
-never shuffled one by one: consecutive windows of a document whose smallest inner fingerprint (over
-``k - GRAM + 1`` overlapping grams) is the same form one path piece, keyed by that fingerprint. Equal windows
-have equal fingerprints, so they meet in the same key. Keys seen in one document only are dropped; where a key
-has one distinct piece, the path does not branch and the piece stands for all its windows; only pieces of
-branching keys are opened into windows again, at the source coordinates of their first document. The first
-document of every window then comes back to each piece's occurrences, and their spans to the texts.
-
-Pieces are equal when two 64-bit fingerprints of their words and their lengths are.
+Nodes are runs of k-1 words; every window of ``k`` words is an edge from its first k-1 words to its last. Only edges
+of several documents matter. They are found without shuffling edges one by one: consecutive windows of a document whose
+smallest inner fingerprint (over ``k - GRAM + 1`` overlapping grams) is the same form one piece under that fingerprint.
+Equal windows have equal fingerprints, so they meet in the same key, and keys of one document only are dropped. A key
+with one distinct piece has no branch inside it: the piece is one path already. Pieces of other keys are opened at
+their source into single edges.
+
+Joins then compact these paths. Each node counts the edges that enter and leave it; where one enters, one leaves, and
+the second follows the first at the coordinates of their first document, the two are linked, and linked paths become one
+path piece ("unit") with an id and its source coordinates. An occurrence in a later document is a span of a unit. Spans
+are verified: the digest of their words and that of the words at the source must be equal, and documents
+of spans that fail are done again by the words themselves. So 64-bit fingerprints find candidates, and words decide.
 """
 
 from __future__ import annotations
@@ -20,12 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tillgrid.llm.support import col, settle
 from tillgrid.llm.textblocks import Block, mix, rows_of, run_hashes, text_blocks
 
 WINDOW = 13
 GRAM = 5
+CELL = 4096  # words of a source document; paths are cut between cells, so no task orders a whole document
 _GRAM_BASE = np.uint64(0x2545F4914F6CDD1D)
 _PATH_BASE = np.uint64(0xDA942042E4DD58B5)
 _PATH_INVERSE = np.uint64(pow(int(_PATH_BASE), -1, 1 << 64))
@@ -48,10 +53,15 @@ def _rolling(h: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
-def _pieces(block: Block, k: int, gram: int):
-    """(row, key, start, windows, path hash) of the block's path pieces, in order."""
+def _words(block: Block, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of all words, and where each text's words begin."""
     starts, ends, bounds = block.words()
-    h = run_hashes(block.data, starts, ends)
+    return run_hashes(block.data, starts, ends) >> np.uint64(64 - bits), bounds
+
+
+def _pieces(block: Block, k: int, gram: int, bits: int):
+    """(row, key, start, windows, path hash) of the block's path pieces, in order."""
+    h, bounds = _words(block, bits)
     if len(h) < k:
         none = np.zeros(0, np.int64)
         return none, none, none, none, none
@@ -80,15 +90,137 @@ def _table(columns: dict) -> pa.RecordBatch:
     )
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of each row in order, once each, joined where they go on in the same unit."""
+    for batch in batches:
+        lists = batch.column("spans")
+        row = rows_of(lists.offsets.to_numpy())
+        begin, n, unit, off = (x.to_numpy() for x in lists.flatten().flatten())
+        order = np.lexsort((begin, row))
+        row, begin, n, unit, off = (x[order] for x in (row, begin, n, unit, off))
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (begin[1:] != begin[:-1])  # rows that stand twice
+        row, begin, n, unit, off = (x[new] for x in (row, begin, n, unit, off))
+        first = np.ones(len(row), bool)
+        follows = (row[1:] == row[:-1]) & (unit[1:] == unit[:-1])
+        follows &= (begin[1:] == begin[:-1] + n[:-1]) & (off[1:] == off[:-1] + n[:-1])
+        first[1:] = ~follows
+        at = np.flatnonzero(first)
+        total = np.add.reduceat(n, at) if len(at) else n
+        edges = np.searchsorted(row[at], np.arange(batch.num_rows + 1))
+        spans = pa.StructArray.from_arrays(
+            [pa.array(begin[at]), pa.array(total), pa.array(unit[at]), pa.array(off[at])], names=["begin", "n", "unit", "off"]
+        )
+        whole = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), spans)
+        yield _table({"doc": batch.column("doc"), "part": batch.column("part"), "spans": whole})
+
+
+_SPANS = "array<struct<begin:long,n:long,unit:long,off:long>>"
+_PROOFS = pa.list_(
+    pa.struct([("unit", pa.int64()), ("off", pa.int64()), ("n", pa.int64()), ("own", pa.bool_()), ("sha", pa.binary())])
+)
+
+
+def _cut(k: int, with_text: bool):
+    """Words without the spans of each row, and the digests of its spans and of those asked for at their source."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = {c: (batch.column(c).offsets.to_numpy(), batch.column(c).values.flatten()) for c in ("spans", "asked")}
+            lists = {c: (edges, [x.to_numpy() for x in values]) for c, (edges, values) in lists.items()}
+            texts = batch.column("text")
+            out = {"n_words": [], "n_removed": [], "kept_sha256": [], "kept": [], "proofs": []}
+            for i in range(batch.num_rows):
+                words = (texts[i].as_py() or "").encode().split()
+                proofs, gone = [], None
+                for which, (edges, (begin, n, unit, off)) in lists.items():
+                    lo, hi = edges[i], edges[i + 1]
+                    if lo == hi:
+                        continue
+                    if which == "spans":
+                        turns = np.zeros(len(words) + 1, np.int64)
+                        np.add.at(turns, begin[lo:hi], 1)
+                        np.add.at(turns, begin[lo:hi] + n[lo:hi] + (k - 1), -1)
+                        gone = np.cumsum(turns[:-1]) > 0
+                    for j in range(lo, hi):
+                        said = b" ".join(words[begin[j] : begin[j] + n[j] + k - 1])
+                        sha = hashlib.sha256(said).digest()
+                        proofs.append({"unit": unit[j], "off": off[j], "n": n[j], "own": which == "spans", "sha": sha})
+                kept = b" ".join(words if gone is None else [words[j] for j in np.flatnonzero(~gone)])
+                out["n_words"].append(len(words))
+                out["n_removed"].append(0 if gone is None else int(gone.sum()))
+                out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
+                out["kept"].append(kept if with_text else None)
+                out["proofs"].append(proofs)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc"),
+                    batch.column("part"),
+                    pa.array(out["n_words"], pa.int64()),
+                    pa.array(out["n_removed"], pa.int64()),
+                    pa.array(out["kept_sha256"], pa.string()),
+                    pa.array(out["kept"], pa.binary()).cast(pa.string()),
+                    pa.array(out["proofs"], _PROOFS),
+                ],
+                names=["doc_id", "part", "n_words", "n_removed", "kept_sha256", "kept", "proofs"],
+            )
+
+    return cut
+
+
+_CUT = (
+    "doc_id long, part long, n_words long, n_removed long, kept_sha256 string, kept string, "
+    "proofs array<struct<unit:long,off:long,n:long,own:boolean,sha:binary>>"
+)
+
+
+def _units(segments: DataFrame) -> DataFrame:
+    """(doc, part, pos, unit, off) for paths of (doc, part, pos, n, head, tail): linked paths share a unit.
+
+    A node with one path in and one out links them if the second begins where the first ends in one source document.
+    """
+    none = F.lit(None).cast("struct<doc:long,part:long,pos:long>")
+    ends = segments.select(
+        F.col("tail").alias("node"), F.struct("doc", "part", (F.col("pos") + F.col("n")).alias("pos")).alias("enters"), none.alias("leaves")
+    )
+    starts = segments.select(F.col("head").alias("node"), none.alias("enters"), F.struct("doc", "part", "pos").alias("leaves"))
+    linked = (
+        ends.unionByName(starts)
+        .groupBy("node")
+        .agg(
+            F.count("enters").alias("degree_in"),
+            F.count("leaves").alias("degree_out"),
+            F.max("enters").alias("enters"),
+            F.max("leaves").alias("leaves"),
+        )
+        .where("degree_in = 1 and degree_out = 1 and enters = leaves")
+        .select("leaves.*", F.lit(True).alias("linked"))
+    )
+    inside = Window.partitionBy("doc", "part", F.floor(F.col("pos") / CELL)).orderBy("pos")
+    begins = F.last(F.when(F.col("linked").isNull(), F.col("pos")), ignorenulls=True).over(inside)
+    begin = F.coalesce(begins, F.first("pos").over(inside))
+    joined = segments.select("doc", "part", "pos").join(linked, ["doc", "part", "pos"], "left").withColumn("begin", begin)
+    unit = F.xxhash64("doc", "part", "begin").alias("unit")
+    return joined.select("doc", "part", "pos", unit, (F.col("pos") - F.col("begin")).alias("off"))
+
+
 def remove_repeats(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW, gram: int = GRAM, with_text: bool = False
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    k: int = WINDOW,
+    gram: int = GRAM,
+    with_text: bool = False,
+    bits: int = 64,
 ) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` per row; with ``with_text`` also ``kept``, the text that is left.
 
     A word goes if it lies in a window of ``k`` words that also starts in a row with a smaller id. Windows
     are those of the input. A null or empty text has no words; texts under ``k`` words lose none. Rows without
     an id lose nothing and cause no loss. Rows that share an id do not clear each other, and each is judged
-    by its own words. An empty table gives no rows; other columns are ignored.
+    by its own words. An empty table gives no rows; other columns are ignored. Texts are whole, however long: a text, its
+    pieces and its spans are one row of a task each. ``bits`` is the width of a word's fingerprint: few bits make
+    words collide, which costs time and changes no answer.
     """
     if not 1 <= gram <= k:
         raise ValueError("a gram lies within a window")
@@ -105,7 +237,7 @@ def remove_repeats(
         for batch in batches:
             doc = batch.column("doc").to_numpy()
             for block in text_blocks(batch.column("text")):
-                row, key, *_ = _pieces(block, k, gram)
+                row, key, *_ = _pieces(block, k, gram, bits)
                 pairs = _distinct(row, key)
                 yield _table({"key": pairs[1], "doc": doc[block.first + pairs[0]]})
 
@@ -113,62 +245,52 @@ def remove_repeats(
         for batch in batches:
             doc, part = batch.column("doc").to_numpy(), batch.column("part").to_numpy()
             for block in text_blocks(batch.column("text")):
-                row, key, start, windows, path = _pieces(block, k, gram)
+                row, key, start, windows, path = _pieces(block, k, gram, bits)
                 at = block.first + row
                 yield _table({"key": key, "path": path, "doc": doc[at], "part": part[at], "start": start, "n": windows})
 
-    def windows_at(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def segments_at(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("wanted")
             edges = lists.offsets.to_numpy()
             wanted = lists.values.flatten()
-            doc = batch.column("doc").to_numpy()
+            doc, part = batch.column("doc").to_numpy(), batch.column("part").to_numpy()
             for block in text_blocks(batch.column("text")):
-                starts, ends, bounds = block.words()
-                hashes = _rolling(run_hashes(block.data, starts, ends), k).view(np.int64)
+                h, bounds = _words(block, bits)
+                windows, nodes = _rolling(h, k).view(np.int64), _rolling(h, k - 1).view(np.int64)
                 lo, hi = edges[block.first], edges[block.first + block.rows]
-                key, path, start, n = (x.to_numpy()[lo:hi] for x in wanted)
+                key, path, start, n, fork = (x.to_numpy(zero_copy_only=False)[lo:hi] for x in wanted)
                 row = np.repeat(np.arange(block.rows), np.diff(edges[block.first : block.first + block.rows + 1]))
-                each = np.repeat(np.arange(len(n)), n)
-                step = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+                opened = np.where(fork, n, 1)
+                each = np.repeat(np.arange(len(n)), opened)
+                step = np.arange(len(each)) - np.repeat(np.cumsum(opened) - opened, opened)
+                size = np.where(fork, 1, n)[each]
                 at = (bounds[row] + start)[each] + step
                 yield _table(
-                    {"key": key[each], "path": path[each], "n": n[each], "doc": doc[block.first + row][each], "step": step, "window": hashes[at]}
+                    {
+                        "key": key[each],
+                        "path": path[each],
+                        "n": n[each],
+                        "fork": fork[each],
+                        "doc": doc[block.first + row][each],
+                        "part": part[block.first + row][each],
+                        "pos": start[each] + step,
+                        "step": step,
+                        "size": size,
+                        "window": windows[at],
+                        "head": nodes[at],
+                        "tail": nodes[at + size],
+                    }
                 )
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("spans")
-            edges = lists.offsets.to_numpy()
-            begin, n = (x.to_numpy() for x in lists.values.flatten())
-            texts = batch.column("text")
-            out = {"n_words": [], "n_removed": [], "kept_sha256": [], "kept": []}
-            for i in range(batch.num_rows):
-                words = (texts[i].as_py() or "").encode().split()
-                removed = 0
-                if (lo := edges[i]) < (hi := edges[i + 1]):
-                    turns = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(turns, begin[lo:hi], 1)
-                    np.add.at(turns, begin[lo:hi] + n[lo:hi] + (k - 1), -1)
-                    gone = np.cumsum(turns[:-1]) > 0
-                    removed = int(gone.sum())
-                    kept = b" ".join([words[j] for j in np.flatnonzero(~gone)])
-                else:
-                    kept = b" ".join(words)
-                out["n_words"].append(len(words))
-                out["n_removed"].append(removed)
-                out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                out["kept"].append(kept if with_text else None)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc"),
-                    pa.array(out["n_words"], pa.int64()),
-                    pa.array(out["n_removed"], pa.int64()),
-                    pa.array(out["kept_sha256"], pa.string()),
-                    pa.array(out["kept"], pa.binary()).cast(pa.string()),
-                ],
-                names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
-            )
+            for doc, part, text, wanted in zip(*(batch.column(c) for c in ("doc", "part", "text", "wanted"))):
+                words = text.as_py().encode().split()
+                at = sorted({i for x in wanted.as_py() for i in range(x["start"], x["start"] + x["n"])})
+                sha = [hashlib.sha256(b" ".join(words[i : i + k])).digest() for i in at]
+                same = {"doc": pa.array([doc.as_py()] * len(at), pa.int64()), "part": pa.array([part.as_py()] * len(at), pa.int64())}
+                yield _table(same | {"begin": pa.array(at, pa.int64()), "sha": pa.array(sha, pa.binary())})
 
     # 1. Keys of more than one document.
     shared = (
@@ -183,55 +305,114 @@ def remove_repeats(
     occurrences = settle(known.mapInArrow(pieces, piece_schema).join(settle(shared), "key"))
     # 3. Distinct pieces; a key with one of them does not branch.
     distinct = settle(
-        occurrences.groupBy("key", "path", "n").agg(
-            F.min("doc").alias("first"), F.min(F.struct("doc", "part", "start")).alias("source")
-        )
+        occurrences.groupBy("key", "path", "n").agg(F.min(F.struct("doc", "part", "start")).alias("source"))
     )
     forks = settle(distinct.groupBy("key").agg(F.count(F.lit(1)).alias("pieces")).where("pieces > 1").select("key"))
-    # 4. Pieces of branching keys are opened at their source.
+    # 4. Edges of branching keys, and the ends of all other pieces, at their source.
     wanted = (
-        distinct.join(forks, "key", "left_semi")
+        distinct.join(forks.withColumn("fork", F.lit(True)), "key", "left")
         .groupBy(F.col("source.doc").alias("doc"), F.col("source.part").alias("part"))
-        .agg(F.collect_list(F.struct("key", "path", F.col("source.start").alias("start"), "n")).alias("wanted"))
+        .agg(
+            F.collect_list(
+                F.struct("key", "path", F.col("source.start").alias("start"), "n", F.coalesce("fork", F.lit(False)).alias("fork"))
+            ).alias("wanted")
+        )
     )
     opened = settle(
         known.join(wanted, ["doc", "part"]).mapInArrow(
-            windows_at, "key long, path long, n long, doc long, step long, window long"
+            segments_at,
+            "key long, path long, n long, fork boolean, doc long, part long, pos long, step long, size long, "
+            "window long, head long, tail long",
         )
     )
-    first_of_window = settle(opened.groupBy("key", "window").agg(F.min("doc").alias("first")))
-    firsts = (
-        opened.join(first_of_window, ["key", "window"])
+    # 5. Each distinct path once, at its first document; linked paths are one unit.
+    edges = settle(
+        opened.where("fork")
+        .groupBy("key", "window")
+        .agg(F.min(F.struct("doc", "part", "pos")).alias("place"), F.min("head").alias("head"), F.min("tail").alias("tail"))
+    )
+    straight = opened.where("not fork")
+    segments = straight.select("doc", "part", "pos", F.col("size").alias("n"), "head", "tail").unionByName(
+        edges.select("place.*", F.lit(1).cast("long").alias("n"), "head", "tail")
+    )
+    units = settle(_units(segments))
+    # 6. The way of each distinct piece through the units.
+    placed_edges = edges.select("key", "window", "place.*").join(units, ["doc", "part", "pos"])
+    step = F.struct("step", "size", F.col("doc").alias("first"), "unit", "off")
+    ways = (
+        opened.where("fork")
+        .select("key", "path", "n", "window", "step", "size")
+        .join(placed_edges, ["key", "window"])
+        .select("key", "path", "n", step.alias("way"))
+        .unionByName(straight.join(units, ["doc", "part", "pos"]).select("key", "path", "n", step.alias("way")))
         .groupBy("key", "path", "n")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "first"))), lambda x: x["first"]).alias("firsts"))
-    )
-    # 5. What each occurrence loses: a whole piece, or the windows of it that came before.
-    known_firsts = settle(
-        distinct.join(firsts, ["key", "path", "n"], "left").select("key", "path", "n", "first", "firsts")
-    )
-    steps = F.filter(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.get("firsts", i.cast("int")) < F.col("doc"))
-    whole = F.when(
-        F.col("first") < F.col("doc"), F.array(F.struct(F.col("start").alias("begin"), F.col("n").alias("n")))
-    )
-    lost = F.when(
-        F.col("firsts").isNotNull(),
-        F.transform(steps, lambda i: F.struct((F.col("start") + i).alias("begin"), F.lit(1).cast("long").alias("n"))),
-    ).otherwise(whole)
-    spans = (
-        occurrences.join(known_firsts, ["key", "path", "n"])
+        .agg(F.collect_list("way").alias("way"))
+    )
+    # 7. What each occurrence loses: the steps that came before, as spans of units.
+    lost = F.transform(
+        F.filter("way", lambda x: x["first"] < F.col("doc")),
+        lambda x: F.struct((F.col("start") + x["step"]).alias("begin"), x["size"].alias("n"), x["unit"].alias("unit"), x["off"].alias("off")),
+    )
+    spans = settle(
+        occurrences.join(settle(ways), ["key", "path", "n"])
         .select("doc", "part", lost.alias("lost"))
         .where(F.size("lost") > 0)
         .groupBy("doc", "part")
         .agg(F.flatten(F.collect_list("lost")).alias("spans"))
+        .mapInArrow(_merged, f"doc long, part long, spans {_SPANS}")
+    )
+    # 8. Each distinct span is asked for at its source, and spans and questions meet their texts.
+    sources = units.where("off = 0").select("doc", "part", "pos", "unit")
+    asked = (
+        spans.select(F.explode("spans").alias("s"))
+        .select("s.unit", "s.off", "s.n")
+        .distinct()
+        .join(sources, "unit")
+        .groupBy("doc", "part")
+        .agg(F.collect_list(F.struct((F.col("pos") + F.col("off")).alias("begin"), "n", "unit", "off")).alias("asked"))
+    )
+    none = F.array().cast(_SPANS)
+    out = settle(
+        docs.join(settle(spans.join(asked, ["doc", "part"], "full")), ["doc", "part"], "left")
+        .select("doc", "part", "text", F.coalesce("spans", none).alias("spans"), F.coalesce("asked", none).alias("asked"))
+        .mapInArrow(_cut(k, with_text), _CUT)
+    )
+    # 9. Words decide: spans whose digests differ.
+    proofs = out.select("doc_id", "part", F.explode("proofs").alias("p")).select("doc_id", "part", "p.*")
+    false = settle(
+        proofs.groupBy("unit", "off", "n").agg(F.min("sha").alias("low"), F.max("sha").alias("high")).where("low != high").drop("low", "high")
+    )
+    columns = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept"] if with_text else [])]
+    if false.isEmpty():
+        return out.select(*columns)
+    # 10. Documents of such spans again, by the words of every window that may repeat.
+    doubted = settle(
+        proofs.where("own").join(false, ["unit", "off", "n"]).select(F.col("doc_id").alias("doc"), "part").distinct()
+    )
+    suspects = occurrences.join(doubted, ["doc", "part"]).select("key").distinct()
+    places = (
+        occurrences.join(suspects, "key")
+        .groupBy("doc", "part")
+        .agg(F.collect_set(F.struct("start", "n")).alias("wanted"))
+    )
+    windows = settle(known.join(places, ["doc", "part"]).mapInArrow(spelled, "doc long, part long, begin long, sha binary"))
+    first = windows.groupBy("sha").agg(F.min("doc").alias("first"))
+    one = F.struct("begin", F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("unit"), F.lit(0).cast("long").alias("off"))
+    again = (
+        windows.join(doubted, ["doc", "part"])
+        .join(first, "sha")
+        .where("first < doc")
+        .groupBy("doc", "part")
+        .agg(F.collect_set(one).alias("spans"))
     )
-    # 6. Spans meet their texts.
-    none = F.array().cast("array<struct<begin:long,n:long>>")
-    out = (
-        docs.join(settle(spans), ["doc", "part"], "left")
-        .select("doc", "text", F.coalesce("spans", none).alias("spans"))
-        .mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    redone = (
+        known.join(doubted, ["doc", "part"])
+        .join(again, ["doc", "part"], "left")
+        .select("doc", "part", "text", F.coalesce("spans", none).alias("spans"), none.alias("asked"))
+        .mapInArrow(_cut(k, with_text), _CUT)
     )
-    return out if with_text else out.drop("kept")
+    right = out.join(doubted.withColumnRenamed("doc", "doc_id"), ["doc_id", "part"], "left_anti")
+    return right.select(*columns).unionByName(redone.select(*columns))
 
 
 def _distinct(row: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
