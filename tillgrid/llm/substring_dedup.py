@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tillgrid.llm.support import col, settle
+from tillgrid.llm.support import col, discard, settle
 from tillgrid.llm.textblocks import Block, mix, rows_of, run_hashes, text_blocks
 
 WINDOW = 13
@@ -91,28 +91,27 @@ def _table(columns: dict) -> pa.RecordBatch:
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of each row in order, once each, joined where they go on in the same unit."""
+    """``spans`` of each row in order, once each, joined where they go on in the same unit; other columns as they are."""
     for batch in batches:
         lists = batch.column("spans")
+        names = [f.name for f in lists.type.value_type]
         row = rows_of(lists.offsets.to_numpy())
-        begin, n, unit, off = (x.to_numpy() for x in lists.flatten().flatten())
-        order = np.lexsort((begin, row))
-        row, begin, n, unit, off = (x[order] for x in (row, begin, n, unit, off))
+        x = dict(zip(names, (c.to_numpy() for c in lists.flatten().flatten())))
+        order = np.lexsort((x["begin"], row))
+        row, x = row[order], {c: v[order] for c, v in x.items()}
         new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (begin[1:] != begin[:-1])  # rows that stand twice
-        row, begin, n, unit, off = (x[new] for x in (row, begin, n, unit, off))
-        first = np.ones(len(row), bool)
-        follows = (row[1:] == row[:-1]) & (unit[1:] == unit[:-1])
-        follows &= (begin[1:] == begin[:-1] + n[:-1]) & (off[1:] == off[:-1] + n[:-1])
-        first[1:] = ~follows
-        at = np.flatnonzero(first)
-        total = np.add.reduceat(n, at) if len(at) else n
-        edges = np.searchsorted(row[at], np.arange(batch.num_rows + 1))
-        spans = pa.StructArray.from_arrays(
-            [pa.array(begin[at]), pa.array(total), pa.array(unit[at]), pa.array(off[at])], names=["begin", "n", "unit", "off"]
-        )
-        whole = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), spans)
-        yield _table({"doc": batch.column("doc"), "part": batch.column("part"), "spans": whole})
+        new[1:] = (row[1:] != row[:-1]) | (x["begin"][1:] != x["begin"][:-1])  # rows that stand twice
+        row, x = row[new], {c: v[new] for c, v in x.items()}
+        same = (row[1:] == row[:-1]) & (x["unit"][1:] == x["unit"][:-1])
+        for c in ("begin", "off"):
+            same &= x[c][1:] == x[c][:-1] + x["n"][:-1]
+        at = np.flatnonzero(np.append(True, ~same)[: len(row)])
+        size = np.add.reduceat(x["n"], at) if len(at) else x["n"]
+        x = {c: v[at] for c, v in x.items()} | {"n": size}
+        ends = pa.array(np.searchsorted(row[at], np.arange(batch.num_rows + 1)), pa.int32())
+        spans = pa.StructArray.from_arrays([pa.array(v) for v in x.values()], names=names)
+        others = {c: batch.column(c) for c in batch.schema.names if c != "spans"}
+        yield _table(others | {"spans": pa.ListArray.from_arrays(ends, spans)})
 
 
 _SPANS = "array<struct<begin:long,n:long,unit:long,off:long>>"
@@ -259,7 +258,7 @@ def remove_repeats(
                 h, bounds = _words(block, bits)
                 windows, nodes = _rolling(h, k).view(np.int64), _rolling(h, k - 1).view(np.int64)
                 lo, hi = edges[block.first], edges[block.first + block.rows]
-                key, path, start, n, fork = (x.to_numpy(zero_copy_only=False)[lo:hi] for x in wanted)
+                start, n, fork = (x.to_numpy(zero_copy_only=False)[lo:hi] for x in wanted)
                 row = np.repeat(np.arange(block.rows), np.diff(edges[block.first : block.first + block.rows + 1]))
                 opened = np.where(fork, n, 1)
                 each = np.repeat(np.arange(len(n)), opened)
@@ -268,16 +267,12 @@ def remove_repeats(
                 at = (bounds[row] + start)[each] + step
                 yield _table(
                     {
-                        "key": key[each],
-                        "path": path[each],
-                        "n": n[each],
-                        "fork": fork[each],
                         "doc": doc[block.first + row][each],
                         "part": part[block.first + row][each],
+                        "start": start[each],
                         "pos": start[each] + step,
-                        "step": step,
-                        "size": size,
-                        "window": windows[at],
+                        "n": size,
+                        "window": pa.array(windows[at], mask=~fork[each]),
                         "head": nodes[at],
                         "tail": nodes[at + size],
                     }
@@ -293,7 +288,7 @@ def remove_repeats(
                 yield _table(same | {"begin": pa.array(at, pa.int64()), "sha": pa.array(sha, pa.binary())})
 
     # 1. Keys of more than one document.
-    shared = (
+    shared = settle(
         known.mapInArrow(keys, "key long, doc long")
         .groupBy("key")
         .agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
@@ -302,65 +297,76 @@ def remove_repeats(
     )
     # 2. Their pieces, wherever they occur.
     piece_schema = "key long, path long, doc long, part long, start long, n long"
-    occurrences = settle(known.mapInArrow(pieces, piece_schema).join(settle(shared), "key"))
+    occurrences = settle(known.mapInArrow(pieces, piece_schema).join(shared, "key"))
     # 3. Distinct pieces; a key with one of them does not branch.
     distinct = settle(
-        occurrences.groupBy("key", "path", "n").agg(F.min(F.struct("doc", "part", "start")).alias("source"))
+        occurrences.groupBy("key", "path", F.col("n").alias("windows"))
+        .agg(F.min(F.struct("doc", "part", "start")).alias("source"))
+        .select("key", "path", "windows", "source.*")
     )
     forks = settle(distinct.groupBy("key").agg(F.count(F.lit(1)).alias("pieces")).where("pieces > 1").select("key"))
-    # 4. Edges of branching keys, and the ends of all other pieces, at their source.
+    # 4. Edges of branching keys (with a window), and the ends of all other pieces, at their source.
+    fork = F.coalesce("fork", F.lit(False)).alias("fork")
     wanted = (
         distinct.join(forks.withColumn("fork", F.lit(True)), "key", "left")
-        .groupBy(F.col("source.doc").alias("doc"), F.col("source.part").alias("part"))
-        .agg(
-            F.collect_list(
-                F.struct("key", "path", F.col("source.start").alias("start"), "n", F.coalesce("fork", F.lit(False)).alias("fork"))
-            ).alias("wanted")
-        )
+        .groupBy("doc", "part")
+        .agg(F.collect_list(F.struct("start", F.col("windows").alias("n"), fork)).alias("wanted"))
     )
     opened = settle(
         known.join(wanted, ["doc", "part"]).mapInArrow(
-            segments_at,
-            "key long, path long, n long, fork boolean, doc long, part long, pos long, step long, size long, "
-            "window long, head long, tail long",
+            segments_at, "doc long, part long, start long, pos long, n long, window long, head long, tail long"
         )
     )
+    discard(shared, forks)
     # 5. Each distinct path once, at its first document; linked paths are one unit.
     edges = settle(
-        opened.where("fork")
-        .groupBy("key", "window")
+        opened.where("window is not null")
+        .groupBy("window")
         .agg(F.min(F.struct("doc", "part", "pos")).alias("place"), F.min("head").alias("head"), F.min("tail").alias("tail"))
+        .select("window", "place.*", F.lit(1).cast("long").alias("n"), "head", "tail")
     )
-    straight = opened.where("not fork")
-    segments = straight.select("doc", "part", "pos", F.col("size").alias("n"), "head", "tail").unionByName(
-        edges.select("place.*", F.lit(1).cast("long").alias("n"), "head", "tail")
-    )
-    units = settle(_units(segments))
+    straight = opened.where("window is null")
+    ends = ["doc", "part", "pos", "n", "head", "tail"]
+    units = settle(_units(straight.select(*ends).unionByName(edges.select(*ends))))
     # 6. The way of each distinct piece through the units.
-    placed_edges = edges.select("key", "window", "place.*").join(units, ["doc", "part", "pos"])
-    step = F.struct("step", "size", F.col("doc").alias("first"), "unit", "off")
-    ways = (
-        opened.where("fork")
-        .select("key", "path", "n", "window", "step", "size")
-        .join(placed_edges, ["key", "window"])
-        .select("key", "path", "n", step.alias("way"))
-        .unionByName(straight.join(units, ["doc", "part", "pos"]).select("key", "path", "n", step.alias("way")))
-        .groupBy("key", "path", "n")
-        .agg(F.collect_list("way").alias("way"))
+    spot = ["doc", "part", "pos"]
+    placed = settle(
+        edges.select("window", *spot).join(units, spot).select("window", F.col("doc").alias("first"), "unit", "off")
+    )
+    discard(edges)
+    piece = ["doc", "part", "start"]
+    span = F.struct((F.col("pos") - F.col("start")).alias("begin"), "n", "unit", "off", "first").alias("span")
+    walked = settle(
+        opened.select(*piece, "pos", "n", "window")
+        .join(placed, "window")
+        .select(*piece, span)
+        .unionByName(straight.join(units, spot).withColumn("first", F.col("doc")).select(*piece, span))
+        .groupBy(*piece)
+        .agg(F.collect_list("span").alias("spans"))
+        .mapInArrow(
+            _merged,
+            "doc long, part long, start long, spans array<struct<begin:long,n:long,unit:long,off:long,first:long>>",
+        )
+    )
+    discard(opened, placed)
+    ways = settle(
+        distinct.join(walked, piece).select("key", "path", F.col("windows").alias("n"), F.col("spans").alias("way"))
     )
+    discard(distinct, walked)
     # 7. What each occurrence loses: the steps that came before, as spans of units.
     lost = F.transform(
         F.filter("way", lambda x: x["first"] < F.col("doc")),
-        lambda x: F.struct((F.col("start") + x["step"]).alias("begin"), x["size"].alias("n"), x["unit"].alias("unit"), x["off"].alias("off")),
+        lambda x: F.struct((F.col("start") + x["begin"]).alias("begin"), x["n"].alias("n"), x["unit"].alias("unit"), x["off"].alias("off")),
     )
     spans = settle(
-        occurrences.join(settle(ways), ["key", "path", "n"])
+        occurrences.join(ways, ["key", "path", "n"])
         .select("doc", "part", lost.alias("lost"))
         .where(F.size("lost") > 0)
         .groupBy("doc", "part")
         .agg(F.flatten(F.collect_list("lost")).alias("spans"))
         .mapInArrow(_merged, f"doc long, part long, spans {_SPANS}")
     )
+    discard(ways)
     # 8. Each distinct span is asked for at its source, and spans and questions meet their texts.
     sources = units.where("off = 0").select("doc", "part", "pos", "unit")
     asked = (
@@ -372,11 +378,14 @@ def remove_repeats(
         .agg(F.collect_list(F.struct((F.col("pos") + F.col("off")).alias("begin"), "n", "unit", "off")).alias("asked"))
     )
     none = F.array().cast(_SPANS)
+    lists = settle(spans.join(asked, ["doc", "part"], "full"))
+    discard(spans, units)
     out = settle(
-        docs.join(settle(spans.join(asked, ["doc", "part"], "full")), ["doc", "part"], "left")
+        docs.join(lists, ["doc", "part"], "left")
         .select("doc", "part", "text", F.coalesce("spans", none).alias("spans"), F.coalesce("asked", none).alias("asked"))
         .mapInArrow(_cut(k, with_text), _CUT)
     )
+    discard(lists)
     # 9. Words decide: spans whose digests differ.
     proofs = out.select("doc_id", "part", F.explode("proofs").alias("p")).select("doc_id", "part", "p.*")
     false = settle(

@@ -41,7 +41,23 @@ def settle(df: DataFrame) -> DataFrame:
     _written.append((spark, path))
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove tables that ``settle`` wrote, before ``release`` does; nothing that is still to run may read them."""
+    for frame in frames:
+        entry = (frame.sparkSession, frame.settled_at)
+        if entry in _written:
+            _written.remove(entry)
+            _remove(*entry)
+
+
+def _remove(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -49,8 +65,7 @@ def release(spark: SparkSession) -> None:
     for entry in [e for e in _written if e[0] is spark]:
         _written.remove(entry)
         if spark.sparkContext._jsc is not None:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(entry[1])
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _remove(*entry)
 
 
 @atexit.register
