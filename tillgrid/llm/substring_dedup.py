@@ -11,7 +11,9 @@ Joins then compact these paths. Each node counts the edges that enter and leave
 the second follows the first at the coordinates of their first document, the two are linked, and linked paths become one
 path piece ("unit") with an id and its source coordinates. An occurrence in a later document is a span of a unit. Spans
 are verified: the digest of their words and that of the words at the source must be equal, and documents
-of spans that fail are done again by the words themselves. So 64-bit fingerprints find candidates, and words decide.
+of spans that fail are done again by the words themselves. So no word goes whose window does not repeat, and words
+that share a fingerprint change no answer. A repeat could only be missed where two pieces of different word
+fingerprints share key, length and the 64-bit fingerprint of their path.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -178,22 +180,21 @@ def _units(segments: DataFrame) -> DataFrame:
 
     A node with one path in and one out links them if the second begins where the first ends in one source document.
     """
-    none = F.lit(None).cast("struct<doc:long,part:long,pos:long>")
-    ends = segments.select(
-        F.col("tail").alias("node"), F.struct("doc", "part", (F.col("pos") + F.col("n")).alias("pos")).alias("enters"), none.alias("leaves")
-    )
-    starts = segments.select(F.col("head").alias("node"), none.alias("enters"), F.struct("doc", "part", "pos").alias("leaves"))
+    none = F.lit(None).cast("long")
+    spot = ["doc", "part", "pos"]
+    end = [F.col("doc"), F.col("part"), F.col("pos") + F.col("n")]
+    ends = segments.select(F.col("tail").alias("node"), *[x.alias(f"end_{c}") for x, c in zip(end, spot)], *[none.alias(c) for c in spot])
+    starts = segments.select(F.col("head").alias("node"), *[none.alias(f"end_{c}") for c in spot], *spot)
     linked = (
         ends.unionByName(starts)
         .groupBy("node")
         .agg(
-            F.count("enters").alias("degree_in"),
-            F.count("leaves").alias("degree_out"),
-            F.max("enters").alias("enters"),
-            F.max("leaves").alias("leaves"),
+            F.count("end_pos").alias("degree_in"),
+            F.count("pos").alias("degree_out"),
+            *[F.max(c).alias(c) for c in (*[f"end_{c}" for c in spot], *spot)],
         )
-        .where("degree_in = 1 and degree_out = 1 and enters = leaves")
-        .select("leaves.*", F.lit(True).alias("linked"))
+        .where("degree_in = 1 and degree_out = 1 and end_doc = doc and end_part = part and end_pos = pos")
+        .select(*spot, F.lit(True).alias("linked"))
     )
     inside = Window.partitionBy("doc", "part", F.floor(F.col("pos") / CELL)).orderBy("pos")
     begins = F.last(F.when(F.col("linked").isNull(), F.col("pos")), ignorenulls=True).over(inside)
@@ -203,6 +204,11 @@ def _units(segments: DataFrame) -> DataFrame:
     return joined.select("doc", "part", "pos", unit, (F.col("pos") - F.col("begin")).alias("off"))
 
 
+def _first(position: str) -> list[Column]:
+    """The smallest document of a group and one place in it; numbers only, so that groups are hashed and not sorted."""
+    return [F.min("doc").alias("doc"), *[F.min_by(c, "doc").alias(c) for c in ("part", position)]]
+
+
 def remove_repeats(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -301,8 +307,7 @@ def remove_repeats(
     # 3. Distinct pieces; a key with one of them does not branch.
     distinct = settle(
         occurrences.groupBy("key", "path", F.col("n").alias("windows"))
-        .agg(F.min(F.struct("doc", "part", "start")).alias("source"))
-        .select("key", "path", "windows", "source.*")
+        .agg(*_first("start"))
     )
     forks = settle(distinct.groupBy("key").agg(F.count(F.lit(1)).alias("pieces")).where("pieces > 1").select("key"))
     # 4. Edges of branching keys (with a window), and the ends of all other pieces, at their source.
@@ -322,8 +327,8 @@ def remove_repeats(
     edges = settle(
         opened.where("window is not null")
         .groupBy("window")
-        .agg(F.min(F.struct("doc", "part", "pos")).alias("place"), F.min("head").alias("head"), F.min("tail").alias("tail"))
-        .select("window", "place.*", F.lit(1).cast("long").alias("n"), "head", "tail")
+        .agg(*_first("pos"), F.min("head").alias("head"), F.min("tail").alias("tail"))
+        .withColumn("n", F.lit(1).cast("long"))
     )
     straight = opened.where("window is null")
     ends = ["doc", "part", "pos", "n", "head", "tail"]
