@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillgrid.llm.chat_tree import END, START, format_conversations, read_back, read_nodes
-from tillgrid.llm.class_lm import best_classes, exchange, grown, score_texts
+from tillgrid.llm.class_lm import best_classes, exchange, grown, likelihood, novel, score_texts, unseen_types
 from tillgrid.llm.language_id import fit, ftrl, identify, temperature
 from tillgrid.llm.top_k import top_inner_products
 
@@ -89,14 +89,43 @@ def test_class_model(make):
 
 
 def test_class_model_sums_to_one(make):
-    """Over all one-word continuations by known types and one unseen, and the end."""
-    train = [(1, "a b a b c"), (2, "a b d"), (3, "b a e e e e f"), (4, "a a a a b b b b")]
-    words = ["a", "b", "c", "d", "e", "f", "unseen"]
-    asked = [(100 + i, w) for i, w in enumerate(words)] + [(99, "")]
-    got = {r.doc_id: r.score for r in score_texts(make(train + asked), F.col("doc_id") >= 99, head=3).collect()}
-    ends = {r.doc_id - 200: r.score for r in score_texts(make(train + [(300 + i, f"{w} {w}") for i, w in enumerate(words)]), F.col("doc_id") >= 99, head=3).collect() if r.doc_id >= 99}
-    assert len(ends) == len(words)
-    assert 0 < sum(10**s for s in got.values()) <= 1 + 1e-9
+    """Starts, transitions and ends, solved from the scores of all texts of at most two words, leave nothing over."""
+    train = [(1, "a b a b c"), (2, "a b d"), (3, "b a e e e e f"), (4, "a a a a b b b b g g")]
+    words = [*"abcdefg", "unseen"]
+    asked = [(100, ""), *((101 + i, w) for i, w in enumerate(words))]
+    asked += [(200 + i * len(words) + j, f"{v} {w}") for i, v in enumerate(words) for j, w in enumerate(words)]
+    for head in (3, 1 << 17):
+        df = score_texts(make(train + asked), F.col("doc_id") >= 100, head=head, class_words=2, classes=2)
+        got = {r.doc_id: 10**r.score for r in df.collect()}
+        one = np.array([got[101 + i] for i in range(len(words))])
+        two = np.array([got[200 + i] for i in range(len(words) ** 2)]).reshape(len(words), -1)
+        kinds = np.array([1.0] * 7 + [novel(3, 1, 4)[1]])  # c, d and f stand once, g twice
+        step = two / one
+        starts = np.linalg.solve(np.eye(len(words)) - step * kinds, one)  # every word's ways on and its end sum to one
+        assert abs(got[100] + (starts * kinds).sum() - 1) < 1e-9
+        assert one[-1] <= one[:-1].min() + 1e-12  # an unseen word is no likelier than a learned one
+
+
+def test_class_model_is_the_same_for_every_head(make):
+    """Common words beyond those that all tasks know get their class by joins, as neighbours too."""
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(300)]
+    weight = 1 / (np.arange(300) + 5.0)
+    rows = [(i, " ".join(rng.choice(words[i % 2 :: 2], 60, p=weight[i % 2 :: 2] / weight[i % 2 :: 2].sum()))) for i in range(90)]
+    df, held = make(rows), F.col("doc_id") % 10 == 0
+    scores = [
+        {r.doc_id: r.score for r in score_texts(df, held, head=head, class_words=12, classes=4).collect()} for head in (12, 40, 1 << 17)
+    ]
+    for other in scores[1:]:
+        assert scores[0].keys() == other.keys()
+        assert max(abs(scores[0][i] - other[i]) for i in other) < 1e-9
+
+
+def test_unseen_types_and_likelihood():
+    assert unseen_types(0, 0) == 1 and unseen_types(10, 4) == 9
+    assert novel(10, 4, 20) == (10 / 18, 25) and novel(400, 10, 500)[1] > 7_000
+    mixed, apart = np.array([[5.0, 5], [5, 5]]), np.array([[0.0, 10], [10, 0]])
+    assert likelihood(apart) > likelihood(mixed)
 
 
 def test_class_model_without_training(make):

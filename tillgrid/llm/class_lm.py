@@ -5,15 +5,17 @@ classes by exchange on the driver: each word in turn moves to the class that rai
 the corpus most, judged by the counts of all neighbouring words in all training rows. Then every other word
 with at least ``HEAD_COUNT`` tokens moves in Spark to the class of most gain, all words of a round at once,
 judged by its counts next to each class in all training rows; in the first round words without a class stand
-for the magnitude of their count, in later ones for the class they got. How many words the driver exchanges
+for the magnitude of their count, in later ones for the class they got. A round that lowers the likelihood of the
+training rows is undone and is the last. How many words the driver exchanges
 and how many classes there are grows with the vocabulary. Rarer and unseen words form one more class.
 Transitions are smoothed towards the classes' own frequency. In the rare class an
-absolute discount, estimated from the words met once and twice, leaves room for unseen words, which count
-as one more type; so the probabilities of all types sum to one and every text has one.
+absolute discount, estimated from the words met once and twice, leaves room for unseen words, which share it
+evenly among as many types as those words let expect (``novel``); so the probabilities of all types sum to
+one and every text has one.
 
 What is sent to all tasks are ``head`` words with their classes and the square of the number of classes. The
-classes and counts of all other words meet the training pairs and the texts in joins; only as neighbours in
-the rounds of exchange do they stand together for one class.
+classes and counts of all other words meet the training pairs and the texts in joins, as neighbours too, so the
+result is the same for every ``head`` that holds the words the driver exchanges.
 """
 
 from __future__ import annotations
@@ -54,6 +56,25 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
+def unseen_types(once: int, twice: int) -> float:
+    """How many types of words were never met, at least, from how many were met once and twice (Chao's estimate)."""
+    return max(1.0, once * (once - 1) / (2 * (twice + 1)))
+
+
+def novel(once: int, twice: int, rare_words: int) -> tuple[float, float]:
+    """The discount from each rare word's count, and among how many unseen types the sum is shared.
+
+    They are at least so many that none of them is likelier than a word met once.
+    """
+    discount = once / (once + 2 * twice) if once and twice else 0.5
+    return discount, max(unseen_types(once, twice), discount * rare_words / (1 - discount))
+
+
+def likelihood(grid: np.ndarray) -> float:
+    """The part of the log likelihood of the training rows that depends on the classes."""
+    return float(_xlogx(grid).sum() - _xlogx(grid.sum(axis=0)).sum() - _xlogx(grid.sum(axis=1)).sum())
+
+
 def exchange(pairs: np.ndarray, movable: int, classes: int, rounds: int = ROUNDS) -> np.ndarray:
     """Class of each unit, for counts of neighbouring units.
 
@@ -188,96 +209,162 @@ def score_texts(
     common_words, common_tokens = common.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     class_words, classes = (given or own for given, own in zip((class_words, classes), grown(common_words)))
     movable = min(class_words, len(head_keys))
-    magnitude = np.log2(np.maximum(head_counts[movable:], 1)).astype(np.int64)
-    bands, band = np.unique(magnitude, return_inverse=True)
-    end_unit, rare_unit = movable + len(bands), movable + len(bands) + 1
+    least = HEAD_COUNT.bit_length() - 1
+    bands = int(head_counts[movable - 1]).bit_length() - least if common_words > movable else 0
+    end_unit, rare_unit = movable + bands, movable + bands + 1
     units = rare_unit + 1
+    band = np.frexp(head_counts[movable:])[1] - 1 - least  # a band for each power of two
     unit_of = np.concatenate((np.arange(movable), movable + band, [rare_unit]))  # the last is for index -1
+    beyond = common_words > len(head_keys)  # else every word outside the head is in the rare class
 
     def sequences(block, known: Lookup):
-        """Fingerprints, their head index (-1: none), units with end tokens, bounds of words and of units."""
+        """Fingerprints, their head index (-1: none), bounds of words and of tokens."""
         starts, stops, bounds = block.words()
         keys = run_hashes(block.data, starts, stops, lower=True)
-        index = known.get(keys)
-        return keys, index, np.insert(unit_of[index], bounds[1:], end_unit), bounds, bounds + np.arange(block.rows + 1)
+        return keys, known.get(keys), bounds, bounds + np.arange(block.rows + 1)
 
     def known_words() -> Lookup:
         known = Lookup(19)
         known.add(head_keys, np.arange(len(head_keys)))
         return known
 
-    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, seen = known_words(), np.zeros(units * units, np.int64)
-        for batch in batches:
-            for block in text_blocks(batch.column("text")):
-                line = sequences(block, known)[2]
-                np.add.at(seen, np.concatenate(([end_unit], line[:-1])) * units + line, 1)
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["pair", "n"])
-
-    table = train.mapInArrow(neighbours, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    pairs = np.zeros(units * units)  # at most one row per pair of units came back
-    pairs[table.column("pair").to_numpy()] = table.column("n").to_numpy()
-    pairs = pairs.reshape(units, units)
+    def neighbours(kind_of: np.ndarray, end: int, total: int, outside: DataFrame | None) -> np.ndarray:
+        """Counts of a kind (unit or class) before a kind over all training rows.
+
+        ``kind_of`` is by head index, the last for words that are neither there nor in ``outside`` (``key``, ``class``).
+        """
+        spare, closed = int(kind_of[-1]), outside is None
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Pairs of kinds (0), of a word outside the head before (1) or after (2) a kind, and of two such words (3)."""
+            known, seen = known_words(), np.zeros(total * total, np.int64)
+
+            def rows(case, a, b, n):
+                columns = [pa.array(np.full(len(n), case), pa.int64()), *(pa.array(x.astype(np.int64)) for x in (a, b, n))]
+                return pa.RecordBatch.from_arrays(columns, names=["case", "a", "b", "n"])
+
+            for batch in batches:
+                for block in text_blocks(batch.column("text")):
+                    keys, index, bounds, _ = sequences(block, known)
+                    kind = kind_of[index] if closed else np.where(index < 0, -1, kind_of[index])
+                    line = np.insert(kind, bounds[1:], end)
+                    last = np.concatenate(([end], line[:-1]))
+                    case = (last < 0) + 2 * (line < 0)
+                    both = case == 0
+                    np.add.at(seen, last[both] * total + line[both], 1)
+                    if both.all():
+                        continue
+                    names = np.insert(keys.view(np.int64), bounds[1:], END)
+                    named = np.concatenate(([END], names[:-1]))
+                    for k, a, b in ((1, named, line), (2, names, last), (3, named, names)):
+                        a, b = a[case == k], b[case == k]
+                        yield rows(k, a, b, np.ones(len(a)))
+            at = np.flatnonzero(seen)
+            yield rows(0, at // total, at % total, seen[at])
+
+        met = train.mapInArrow(count, "case long, a long, b long, n long").groupBy("case", "a", "b").agg(F.sum("n").alias("n"))
+        if closed:
+            table = met
+        else:
+            met = settle(met)
+
+            def classed(df: DataFrame, name: str) -> DataFrame:
+                """The fingerprint in this column gives way to its kind."""
+                of = outside.select(F.col("key").alias(name), "class")
+                kept = [c for c in df.columns if c != name]
+                return df.join(of, name, "left").select(*kept, F.coalesce("class", F.lit(spare)).cast("long").alias(name))
+
+            one = classed(met.where(F.col("case").isin(1, 2)), "a")
+            one = one.select(*(F.when(F.col("case") == 1, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("b", "a"))), "n")
+            two = classed(classed(met.where(F.col("case") == 3), "a"), "b").select("a", "b", "n")
+            table = met.where(F.col("case") == 0).select("a", "b", "n").unionByName(one).unionByName(two)
+            table = table.groupBy("a", "b").agg(F.sum("n").alias("n"))
+        table = table.select("a", "b", "n").toArrow()  # at most the square of the number of kinds
+        grid = np.zeros((total, total))
+        grid[table.column("a").to_numpy(), table.column("b").to_numpy()] = table.column("n").to_numpy()
+        return grid
+
+    outside = None
+    if beyond:
+        last_key, last_count = int(head_keys.view(np.int64)[-1]), int(head_counts[-1])
+        after = (F.col("n") < last_count) | ((F.col("n") == last_count) & (F.col("key") > last_key))
+        unit = F.length(F.bin("n")) - 1 - least + movable
+        outside = common.where(after).select("key", unit.cast("long").alias("class"))
+    pairs = neighbours(unit_of, end_unit, units, outside)
     classes = min(classes, max(1, movable))
     class_of = exchange(pairs, movable, classes)
     total = int(class_of.max()) + 1
     grid = np.zeros((total, total))
     np.add.at(grid, (class_of[:, None], class_of[None, :]), pairs)
     kind_of, end = class_of[unit_of], int(class_of[end_unit])  # by head index; the last is for index -1
+    # Every unit behind the exchanged ones has a class of its own, in the same order.
+    if outside is not None:
+        outside = outside.select("key", (F.col("class") - movable + classes).alias("class"))
+
+    def counted(key, context, other, n) -> pa.RecordBatch:
+        columns = [pa.array(np.asarray(x, np.int64)) for x in (key, context, other, n)]
+        return pa.RecordBatch.from_arrays(columns, names=["key", "context", "other", "n"])
+
+    def contexts(kind_of: np.ndarray, end: int, total: int, outside: DataFrame | None):
+        closed = outside is None
 
-    def contexts(kind_of: np.ndarray, end: int, total: int):
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Counts of a word next to a class, and, with a context of -1, of a class before a class.
+            """Counts of a word next to a class, and, with an ``other`` (else ``END``), next to a word outside the head.
 
             Frequent words are counted in a table of bounded size, once for the task.
             """
-            known, seen = known_words(), np.zeros(total * total, np.int64)
+            known = known_words()
             dense = min(len(head_keys), max(movable, _DENSE // (2 * total)))
             held = np.zeros((dense - movable) * 2 * total, np.int32)
             for batch in batches:
                 for block in text_blocks(batch.column("text")):
-                    keys, index, _, bounds, _ = sequences(block, known)
-                    line = np.insert(kind_of[index], bounds[1:], end)
+                    keys, index, bounds, _ = sequences(block, known)
+                    kind = kind_of[index] if closed else np.where(index < 0, -1, kind_of[index])
+                    line = np.insert(kind, bounds[1:], end)
                     last = np.concatenate(([end], line[:-1]))
-                    seen += np.bincount(last * total + line, minlength=total * total)
                     free = np.flatnonzero((index < 0) | (index >= movable))
-                    at, own = free + rows_of(bounds)[free], keys[free]
+                    at = free + rows_of(bounds)[free]
+                    if not closed:
+                        names = np.insert(keys.view(np.int64), bounds[1:], END)
+                        open_ = [(0, at[line[at + 1] < 0], 1), (1, at[last[at] < 0], -1)]
+                        for side, here, step_ in open_:
+                            yield counted(names[here], np.full(len(here), side), names[here + step_], np.ones(len(here), np.int64))
                     for side, beside in ((0, line[at + 1]), (1, last[at])):
-                        often = (index[free] >= 0) & (index[free] < dense)
+                        often = (index[free] >= 0) & (index[free] < dense) & (beside >= 0)
                         np.add.at(held, (index[free[often]] - movable) * (2 * total) + beside[often] * 2 + side, 1)
                     free = free[(index[free] < 0) | (index[free] >= dense)]
                     at, own = free + rows_of(bounds)[free], keys[free]
                     own, context = np.tile(own, 2), np.concatenate((line[at + 1] * 2, last[at] * 2 + 1))
+                    own, context = own[context >= 0], context[context >= 0]
                     _, first, n = np.unique(own + context.astype(np.uint64) * _ODD, return_index=True, return_counts=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(own[first].view(np.int64)), pa.array(context[first], pa.int64()), pa.array(n)],
-                        names=["key", "context", "n"],
-                    )
+                    yield counted(own[first].view(np.int64), context[first], np.full(len(first), END), n)
             at = np.flatnonzero(held)
             for i in range(0, len(at), _CELLS):
                 some = at[i : i + _CELLS]
                 own = head_keys[movable + some // (2 * total)].view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own), pa.array(some % (2 * total)), pa.array(held[some].astype(np.int64))], names=["key", "context", "n"]
-                )
-            at = np.flatnonzero(seen)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(at), pa.array(np.full(len(at), -1)), pa.array(seen[at])], names=["key", "context", "n"]
-            )
+                yield counted(own, some % (2 * total), np.full(len(some), END), held[some].astype(np.int64))
 
         # Tasks have added up what they can, so rows are dealt by word once; a word has at most two contexts a class.
-        rows = train.mapInArrow(count, "key long, context long, n long").repartition("key")
-        rows = rows.groupBy("key", "context").agg(F.sum("n").alias("n"))
-        rows = rows.groupBy("key", (F.col("context") < 0).alias("cell")).agg(F.collect_list(F.struct("context", "n")).alias("c"))
-        return settle(rows.select("key", "cell", F.col("c.context").alias("contexts"), F.col("c.n").alias("counts")))
-
-    def moves(kind_of: np.ndarray, grid: np.ndarray):
+        rows = train.mapInArrow(count, "key long, context long, other long, n long")
+        if closed:
+            rows = rows.drop("other")
+        else:
+            rows = rows.groupBy("key", "context", "other").agg(F.sum("n").alias("n"))
+            of = outside.select(F.col("key").alias("other"), "class")
+            kind = F.coalesce("class", F.lit(int(kind_of[-1])))
+            rows = settle(rows)
+            beside = rows.where(F.col("other") != END).join(of, "other", "left").select("key", (kind * 2 + F.col("context")).alias("context"), "n")
+            rows = rows.where(F.col("other") == END).select("key", "context", "n").unionByName(beside)
+        rows = rows.repartition("key").groupBy("key", "context").agg(F.sum("n").alias("n"))
+        rows = rows.groupBy("key").agg(F.collect_list(F.struct("context", "n")).alias("c"))
+        return settle(rows.select("key", F.col("c.context").alias("contexts"), F.col("c.n").alias("counts")))
+
+    def moves(grid: np.ndarray):
         def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = known_words()
             for batch in batches:
                 index = known.get(batch.column("key").to_numpy().view(np.uint64))
-                of = np.where((index >= 0) & (kind_of[index] < classes), kind_of[index], -1)
+                of = batch.column("of").to_numpy()
                 context, n = (batch.column(c).flatten().to_numpy() for c in ("contexts", "counts"))
                 bounds = np.concatenate(([0], np.cumsum(pc.list_value_length(batch.column("counts")).to_numpy())))
                 best, i = np.zeros(len(of), np.int64), 0
@@ -292,67 +379,30 @@ def score_texts(
 
         return move
 
-    moved = None
-    for turn in range(SPREADS if common_words > movable else 0):
-        near = contexts(kind_of, end, total)
-        if turn:
-            cells = near.where("cell").select("key", F.col("counts")[0].alias("n")).toArrow()  # at most the square of the number of classes
-            grid = np.zeros(total * total)
-            grid[cells.column("key").to_numpy()] = cells.column("n").to_numpy()
-            grid = grid.reshape(total, total)
-        lists = near.where(~F.col("cell")).join(common.select("key", F.col("n").alias("total")), "key")
-        moved = settle(lists.mapInArrow(moves(kind_of, grid), "key long, at long, n long, class long"))
+    current = common.select("key", F.col("n").alias("total"), F.lit(-1).cast("long").alias("of"))
+    others, kept = current.where(F.lit(False)).select("key", F.col("total").alias("n"), F.col("of").alias("class")), None
+    for _ in range(SPREADS if common_words > movable else 0):
+        lists = contexts(kind_of, end, total, outside).join(current, "key")
+        moved = settle(lists.mapInArrow(moves(grid), "key long, at long, n long, class long"))
         got = moved.where(F.col("at") >= 0).select("at", "class").toArrow()  # ``head`` rows at most
         kind_of = kind_of.copy()
         kind_of[got.column("at").to_numpy()] = got.column("class").to_numpy()
+        kind_of[-1] = classes + 1
+        end, total = classes, classes + 2
+        others, outside = moved.where(F.col("at") < 0).select("key", "n", "class"), None
+        if beyond:
+            outside = others.select("key", "class")
+        current = moved.select("key", F.col("n").alias("total"), F.col("class").alias("of"))
+        grid = neighbours(kind_of, end, total, outside)
+        if kept is not None and likelihood(grid) < likelihood(kept[1]):
+            kind_of, grid, others = kept
+            break
+        kept = kind_of, grid, others
+    rare = classes + 1
+    if kept is None:  # all words with enough counts are exchanged, and no magnitude is left
         end, total = classes, classes + 2
-        kind_of[-1] = rare = classes + 1
-    if moved is None:  # all words with enough counts are exchanged, and no magnitude is left
-        end, rare, total = classes, classes + 1, classes + 2
         kind_of = np.append(kind_of[:-1], rare)
-        others = common.select("key", "n", F.lit(0).cast("long").alias("class")).where(F.lit(False))
-    else:
-        others = moved.where(F.col("at") < 0).select("key", "n", "class")
-
-    def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of classes (kind 0), of a word outside the head before (1) or after (2) a class, and of two such words (3)."""
-        known, seen = known_words(), np.zeros(total * total, np.int64)
-
-        def rows(kind, a, b, n):
-            columns = [pa.array(np.full(len(n), kind), pa.int64()), *(pa.array(x.astype(np.int64)) for x in (a, b, n))]
-            return pa.RecordBatch.from_arrays(columns, names=["kind", "a", "b", "n"])
-
-        for batch in batches:
-            for block in text_blocks(batch.column("text")):
-                keys, index, _, bounds, _ = sequences(block, known)
-                line = np.insert(np.where(index < 0, -1, kind_of[index]), bounds[1:], end)
-                names = np.insert(keys.view(np.int64), bounds[1:], END)
-                last, named = np.concatenate(([end], line[:-1])), np.concatenate(([END], names[:-1]))
-                kind = (last < 0) + 2 * (line < 0)
-                both = kind == 0
-                seen += np.bincount(last[both] * total + line[both], minlength=total * total)
-                for k, a, b in ((1, named, line), (2, names, last), (3, named, names)):
-                    a, b = a[kind == k], b[kind == k]
-                    yield rows(k, a, b, np.ones(len(a)))
-        at = np.flatnonzero(seen)
-        yield rows(0, at // total, at % total, seen[at])
-
-    last = train.mapInArrow(final, "kind long, a long, b long, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
-    last = settle(last)
-
-    def classed(df: DataFrame, name: str) -> DataFrame:
-        """The fingerprint in this column gives way to its class."""
-        of = others.select(F.col("key").alias(name), "class")
-        kept = [c for c in df.columns if c != name]
-        return df.join(of, name, "left").select(*kept, F.coalesce("class", F.lit(rare)).cast("long").alias(name))
-
-    one = classed(last.where(F.col("kind").isin(1, 2)), "a")
-    one = one.select(*(F.when(F.col("kind") == 1, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("b", "a"))), "n")
-    two = classed(classed(last.where(F.col("kind") == 3), "a"), "b").select("a", "b", "n")
-    table = last.where(F.col("kind") == 0).select("a", "b", "n").unionByName(one).unionByName(two)
-    table = table.groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()  # at most the square of the number of classes
-    grid = np.zeros((total, total))
-    grid[table.column("a").to_numpy(), table.column("b").to_numpy()] = table.column("n").to_numpy()
+        grid = neighbours(kind_of, end, total, None)
     size = np.zeros(total)
     np.add.at(size, kind_of[:-1], head_counts)
     for k, n in others.groupBy("class").agg(F.sum("n")).collect():  # one row per class
@@ -366,14 +416,14 @@ def score_texts(
     base_under = float(tokens + BASE_ADD * (distinct + 1))
     base = np.log10((head_counts + BASE_ADD) / base_under)
     base_end = float(np.log10((ends + BASE_ADD) / base_under))
-    discount = once / (once + 2 * twice) if once and twice else 0.5
-    unseen = float(np.log10(discount * rare_words / rare_tokens)) if rare_tokens else 0.0
+    discount, strange = novel(once, twice, rare_words)
+    unseen = float(np.log10(discount * rare_words / rare_tokens / strange)) if rare_tokens else -float(np.log10(strange))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, made = known_words(), TaskContext.get().partitionId() << 40
         for batch in batches:
             for block in text_blocks(batch.column("text")):
-                keys, index, _, bounds, turns = sequences(block, known)
+                keys, index, bounds, turns = sequences(block, known)
                 row, hit = rows_of(bounds), index >= 0
                 kind = np.insert(np.where(hit, kind_of[index], -1), bounds[1:], end)
                 last = np.concatenate(([end], kind[:-1]))
