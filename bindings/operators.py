@@ -714,6 +714,19 @@ def linreg_band(spark, sf):
     return rounded(band, "x", "y_hat", "band_low", "band_high", places=4)
 
 
+@query("""
+with lines as (select l_orderkey, l_linenumber,
+    case l_returnflag when 'N' then 1 when 'A' then l_orderkey else nullif(l_orderkey, 7) end as order_ref from lineitem)
+select l.*, o.o_orderkey, o.o_custkey, o.o_orderpriority from lines l left join orders o on l.order_ref = o.o_orderkey
+""")
+def join_dim_hot_keys(spark, sf):
+    flag = F.col("l_returnflag")
+    ref = F.when(flag == "N", 1).when(flag == "A", F.col("l_orderkey")).otherwise(F.nullif("l_orderkey", F.lit(7)))
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", ref.cast("long").alias("order_ref"))
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    return op.join_dim_hot_keys(lines, orders, "order_ref", "o_orderkey")
+
+
 # --- points
 
 
@@ -772,6 +785,33 @@ def point_clusters(spark, sf):
     return rounded(op.group_points(_positions(spark, sf), "lat", "lon", 0.25), "x_mean", "y_mean")
 
 
+@query("""
+with placed as (select embedding[1]::double as x, embedding[2]::double as y, unnest(range(0, 13)) as level from embeddings),
+cells as (select level, least(floor((x + 4) / 8 * 2 ** level), 2 ** level - 1)::bigint as x_cell,
+    least(floor((y + 4) / 8 * 2 ** level), 2 ** level - 1)::bigint as y_cell, x, y
+  from placed where x between -4 and 4 and y between -4 and 4)
+select level::int as level, array_to_string(list_transform(range(level - 1, -1, -1),
+    lambda i: ((x_cell >> i) & 1) + 2 * ((y_cell >> i) & 1)), '') as quadkey,
+  count(*) as n, round(avg(x), 6) as x_mean, round(avg(y), 6) as y_mean from cells group by level, x_cell, y_cell
+""")
+def zoom_clusters(spark, sf):
+    return rounded(op.zoom_clusters(_positions(spark, sf), "lat", "lon", 0, 12, (-4.0, 4.0, -4.0, 4.0)), "x_mean", "y_mean")
+
+
+@query("""
+with placed as (select l_quantity::double as x, l_extendedprice::double as y, row_number() over () as id from lineitem),
+cells as (select id, level, least(floor(x / 64 * 2 ** level), 2 ** level - 1)::bigint as x_cell,
+    least(floor(y / 131072 * 2 ** level), 2 ** level - 1)::bigint as y_cell
+  from placed, range(0, 9) as r(level) where x between 0 and 64 and y between 0 and 131072),
+counted as (select *, count(*) over (partition by level, x_cell, y_cell) as n from cells),
+leaves as (select id, min(level) as level from counted where n <= 100 or level = 8 group by id)
+select level::int as level, x_cell, y_cell, count(*) as n from counted join leaves using (id, level) group by 1, 2, 3
+""")
+def adaptive_grid(spark, sf):
+    lines = table(spark, sf, "lineitem")
+    return op.adaptive_grid(lines, "l_quantity", "l_extendedprice", 100, 8, (0.0, 64.0, 0.0, 131072.0))
+
+
 # --- headers, staging and export
 
 

@@ -27,9 +27,10 @@ from tillgrid.operators.filters import (
     lookup_one,
     options_with_all,
 )
-from tillgrid.operators.joins import duplicate_keys, join_dim, map_lookup
+from tillgrid.operators.joins import duplicate_keys, join_dim, join_dim_hot_keys, map_lookup
 from tillgrid.operators.ordering import order_asc, order_by_key, order_desc, preview, top_k
 from tillgrid.operators.points import category_grid, group_points, map_points, scatter_grid, scatter_points
+from tillgrid.operators.quadtree import adaptive_grid, nested_cells, quadkey, zoom_clusters
 from tillgrid.operators.reshape import dense_counts, melt
 from tillgrid.operators.shares import flag_max, pct_change, share_of_total
 from tillgrid.operators.sketches import (
