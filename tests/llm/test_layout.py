@@ -223,3 +223,24 @@ def test_mix_holds_weights_in_rows(make):
     counts = Counter(r.source for r in got)
     assert all(abs(counts[s] - w * len(got)) < 32 for s, w in (("a", 0.5), ("b", 0.3), ("c", 0.2)))
     assert {r.doc_id for r in got} == set(range(3_234))
+
+def test_shards_split_a_place_with_many_rows(make):
+    """Rows without an id, with one id, and with one text, in places that are ranked in parts."""
+    rows = [(None, f"t{i % 40}") for i in range(300)] + [(5, "same") for _ in range(200)] + [(i, "x") for i in range(100, 160)]
+    got = shard_rows(make(rows).repartition(6), shards=7, cells=512, part_rows=16).collect()
+    assert len(got) == len(rows)
+    assert Counter(r.id for r in got) == Counter(i for i, _ in rows)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert sorted(map(len, slots.values())) == [80] * 7
+
+
+def test_mix_deals_rows_without_an_id_by_their_content(make):
+    rows = [(None, f"t{i}", "en", "a", 1) for i in range(500)] + [(None, "t", "en", "a", 1)] * 3 + [(i, "u", "en", "b", 1) for i in range(40)]
+    got = mix(make(rows), weights={"a": 1.0, "b": 0.1}, cell_rows=20)
+    first = got.where("mix_epoch = 0").collect()
+    assert Counter((r.doc_id, r.text) for r in first) == Counter((i, t) for i, t, *_ in rows)
+    places = [(r["mix_slot_"], r.mix_place) for r in got.collect()]
+    assert len(set(places)) == len(places)

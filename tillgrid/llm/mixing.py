@@ -135,7 +135,8 @@ def mix(
     holds ``block_rows`` rows: ``mix_block`` counts the blocks of a source, ``mix_epoch`` how often a row
     came before, and a block may end one epoch and begin the next, so a source of a few rows stands several
     times in one block. Existing columns with these names are renamed by a trailing underscore on the new ones.
-    An empty table stays empty; texts are never read.
+    Rows without an id are dealt to tasks by a hash of their content; of other rows texts, however long, are only carried.
+    An empty table stays empty.
     """
     spark = df.sparkSession
     epoch, block, slot, place = fresh(df, "mix_epoch", "mix_block", "mix_slot", "mix_place")
@@ -161,10 +162,12 @@ def mix(
     last = dealt.groupBy("s").agg(F.max("rows").alias("rows"), F.ceil((F.max("turn") + 1) * block_rows / F.max("rows")).alias("epochs"))
     last = last.withColumnRenamed("s", "of")
     cells = max(1, -(-sum(sizes.values()) // cell_rows))
+    hashed = [col(c) for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    content = F.xxhash64(*hashed)  # rows without an id have only their content to be dealt by
     rows = df.select(
         F.struct(*[col(c) for c in df.columns]).alias("row"),
         named.alias("source"),
-        F.pmod(F.xxhash64(col(id_col)), F.lit(cells)).alias("cell"),
+        F.pmod(F.when(col(id_col).isNull(), content).otherwise(F.xxhash64(col(id_col))), F.lit(cells)).alias("cell"),
         F.xxhash64(col(id_col), F.lit(1)).alias("draw"),
         col(id_col).alias("id"),
     )

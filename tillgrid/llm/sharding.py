@@ -4,20 +4,23 @@ The ring has ``cells`` places; each shard owns ``nodes`` of them by hash. A row'
 the row belongs to the next node clockwise. Every shard has room for its even share of the rows and no
 more: what does not fit goes on clockwise to the next shard with room. Rows between the same two nodes
 (an arc) share one walk around the ring, so the walk is planned over row counts per arc, ``shards * nodes``
-numbers whatever the table holds, and each row then finds its shard from its rank in its arc.
+numbers whatever the table holds, and each row then finds its shard from its rank in its arc. A place with
+many rows, as where they have no id or one id repeats, is ranked in parts, none of which waits for another.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillgrid.llm.support import col, ranked
+from tillgrid.llm.support import col, ranked, settle
 
 NODES = 64
 CELLS = 1 << 16
+PART_ROWS = 100_000  # of a place, ranked by one task
 
 
 def ring(shards: int, nodes: int = NODES, cells: int = CELLS) -> list[tuple[int, int]]:
@@ -54,42 +57,45 @@ def plan_loads(counts: list[int], points: list[tuple[int, int]], room: list[int]
 
 
 def shard_rows(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, nodes: int = NODES, cells: int = CELLS
-) -> DataFrame:
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, nodes: int = NODES, cells: int = CELLS,
+    part_rows: int = PART_ROWS,
+) -> DataFrame:
     """``id``, ``size``, ``text_crc32``, ``shard``, ``slot`` per row; counts of shards are at most one apart.
 
     Slots run from 0 without gaps in every shard. Rows without an id share one place of the ring, and
-    whatever their number overflow like all others. A null text has size 1 and checksum 0. Equal rows get
-    different slots. An empty table gives no rows; other columns are ignored.
+    whatever their number overflow like all others. A null text has size 1 and checksum 0; of a text, however
+    long, only these two numbers are kept. Equal rows get different slots. A place of more than ``part_rows`` rows
+    is ranked in parts, by a hash of the row and the partition it was read from, so which of its rows goes on to the next shard
+    depends on the input's files. An empty table gives no rows; other columns are ignored.
     """
     spark = df.sparkSession
     points = ring(shards, nodes, cells)
     if len({shard for _, shard in points}) < shards:
         raise ValueError("more shards than the ring has places for; raise cells or nodes")
     places = [place for place, _ in points]
-    spans = [(0, 0, places[0]), *((i, places[i - 1] + 1, places[i]) for i in range(1, len(places)))]
-    if places[-1] + 1 < cells:
-        spans.append((0, places[-1] + 1, cells - 1))
-    arcs = F.broadcast(  # one row per place: bounded by ``cells``
-        spark.createDataFrame(spans, "arc int, lo int, hi int").select(
-            "arc", F.explode(F.sequence("lo", "hi")).alias("cell")
+    text = F.coalesce(col(text_col).cast("string"), F.lit(""))
+    rows = settle(  # numbers only; the part of a row must not change between the two times it is read below
+        df.select(
+            col(id_col).alias("id"),
+            (F.octet_length(text) + 1).cast("long").alias("size"),
+            F.crc32(text.cast("binary")).alias("text_crc32"),
+            F.pmod(F.xxhash64(col(id_col)), F.lit(cells)).cast("int").alias("place"),
+            F.spark_partition_id().alias("part"),
         )
     )
-    place = F.pmod(F.xxhash64(col(id_col)), F.lit(cells)).cast("int")
-    counts = [0] * len(points)
-    for arc, n in df.select(place.alias("cell")).groupBy("cell").count().join(arcs, "cell").groupBy("arc").agg(F.sum("count")).collect():
-        counts[arc] = n  # at most shards * nodes rows come back
+    counts, arcs = [0] * len(points), []
+    for place, n in rows.groupBy("place").count().collect():  # at most ``cells`` rows
+        arc = bisect_left(places, place) % len(points)
+        counts[arc] += n
+        arcs.append((arc, place, 1 + n // part_rows))
     total = sum(counts)
     room = [total // shards + (shard < total % shards) for shard in range(shards)]
     plan = plan_loads(counts, points, room)
-    text = F.coalesce(col(text_col).cast("string"), F.lit(""))
-    rows = df.select(
-        col(id_col).alias("id"),
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        place.alias("cell"),
-    ).join(arcs, "cell")
+    arcs = F.broadcast(spark.createDataFrame(arcs, "arc int, place int, parts long"))  # at most ``cells`` rows
     order = [F.xxhash64("id"), F.col("id"), F.col("size"), F.col("text_crc32")]
+    part = F.pmod(F.xxhash64("id", "size", "text_crc32", "part"), F.col("parts"))
+    cell = F.col("place").cast("long") * (1 << 40) + F.when(F.col("parts") > 1, part).otherwise(0)
+    rows = rows.join(arcs, "place").select("id", "size", "text_crc32", "arc", cell.alias("cell"))
     placed = F.broadcast(  # at most shards * nodes * shards rows
         spark.createDataFrame(plan, "arc int, shard int, lo long, hi long, base long")
     )
