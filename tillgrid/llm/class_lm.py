@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tillgrid.llm.support import col, settle
 from tillgrid.llm.textblocks import Lookup, rows_of, run_hashes, text_blocks
 
-HEAD = 1 << 17
+HEAD = 1 << 20  # some 50 MB for a task; words beyond cost joins, and give the same result
 CLASS_WORDS = 1_024  # at least, see ``grown``
 CLASSES = 48  # at least
 ROUNDS = 6
@@ -224,7 +224,7 @@ def score_texts(
         return keys, known.get(keys), bounds, bounds + np.arange(block.rows + 1)
 
     def known_words() -> Lookup:
-        known = Lookup(19)
+        known = Lookup(max(12, len(head_keys).bit_length() + 1))
         known.add(head_keys, np.arange(len(head_keys)))
         return known
 
@@ -322,7 +322,8 @@ def score_texts(
                     kind = kind_of[index] if closed else np.where(index < 0, -1, kind_of[index])
                     line = np.insert(kind, bounds[1:], end)
                     last = np.concatenate(([end], line[:-1]))
-                    free = np.flatnonzero((index < 0) | (index >= movable))
+                    # Where the head holds all common words, all others are rare and keep their class.
+                    free = np.flatnonzero(index >= movable if closed else (index < 0) | (index >= movable))
                     at = free + rows_of(bounds)[free]
                     if not closed:
                         names = np.insert(keys.view(np.int64), bounds[1:], END)
