@@ -5,13 +5,15 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tillgrid.llm import substring_dedup
 from tillgrid.llm.components import components
 from tillgrid.llm.exact_dedup import exact_dedup, exact_groups
 from tillgrid.llm.near_dedup import circulant, near_dedup, near_groups, signature
-from tillgrid.llm.substring_dedup import CELL, _units, remove_repeats
+from tillgrid.llm.substring_dedup import CELL, _units, _walks, remove_repeats
 from tillgrid.llm.textblocks import mix
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -206,6 +208,32 @@ def test_substring_paths_are_compacted(spark):
     ]
 
 
+def test_substring_joins(make, corpus, plan, monkeypatch):
+    """Straight paths and windows keep the unit they get, with no further joins; a join may hash its smaller side."""
+    spark, key = make([]).sparkSession, "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+    before, joins, limits = spark.conf.get(key), [], set()
+    plain = substring_dedup.settle
+
+    def watched(df):
+        joins.extend(re.findall(r"(?:SortMerge|ShuffledHash|BroadcastHash)Join", plan(df)))
+        limits.add(spark.conf.get(key))
+        return plain(df)
+
+    monkeypatch.setattr(substring_dedup, "settle", watched)
+    remove_repeats(make(corpus[:30]))
+    assert len(joins) == 10
+    assert limits == {"32m"} and spark.conf.get(key) == before
+
+
+def test_substring_walks_of_split_pieces():
+    """Edges in any order within their piece; a piece that a batch cuts in two stands in two rows."""
+    rows = [(1, 0, 0, b, 9, 5 + b, 1) for b in (2, 0, 1, 4)] + [(1, 0, 8, 0, 9, 0, 1), (1, 0, 8, 1, 7, 3, 2)]
+    names = ["doc", "part", "start", "begin", "unit", "off", "first"]
+    batch = pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows])
+    got = [(r["start"], [tuple(x.values()) for x in r["way"]]) for b in _walks([batch[:5], batch[5:]]) for r in b.to_pylist()]
+    assert got == [(0, [(0, 3, 9, 5, 1), (4, 1, 9, 9, 1)]), (8, [(0, 1, 9, 0, 1)]), (8, [(1, 1, 7, 3, 2)])]
+
+
 def test_substring_long_text(make):
     """A text of many cells, its copy with one word changed, and a passage from its middle."""
     rng = np.random.default_rng(11)

@@ -20,10 +20,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -33,6 +34,7 @@ from tillgrid.llm.textblocks import Block, mix, rows_of, run_hashes, text_blocks
 WINDOW = 13
 GRAM = 5
 CELL = 4096  # words of a source document; paths are cut between cells, so no task orders a whole document
+HASHED = "32m"  # joins hash their smaller side if no partition of it is larger as shuffled; others sort, and may spill
 _GRAM_BASE = np.uint64(0x2545F4914F6CDD1D)
 _PATH_BASE = np.uint64(0xDA942042E4DD58B5)
 _PATH_INVERSE = np.uint64(pow(int(_PATH_BASE), -1, 1 << 64))
@@ -92,6 +94,26 @@ def _table(columns: dict) -> pa.RecordBatch:
     )
 
 
+def _spans(row: np.ndarray, x: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Spans in order of row and ``begin``, once each, joined where they go on in the same unit."""
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (x["begin"][1:] != x["begin"][:-1])  # rows that stand twice
+    row, x = row[new], {c: v[new] for c, v in x.items()}
+    same = (row[1:] == row[:-1]) & (x["unit"][1:] == x["unit"][:-1])
+    for c in ("begin", "off"):
+        same &= x[c][1:] == x[c][:-1] + x["n"][:-1]
+    at = np.flatnonzero(np.append(True, ~same)[: len(row)])
+    size = np.add.reduceat(x["n"], at) if len(at) else x["n"]
+    return row[at], {c: v[at] for c, v in x.items()} | {"n": size}
+
+
+def _lists(row: np.ndarray, rows: int, x: dict) -> pa.ListArray:
+    """The values as one list of structs for each of ``rows`` rows."""
+    ends = pa.array(np.searchsorted(row, np.arange(rows + 1)), pa.int32())
+    values = [v if isinstance(v, pa.Array) else pa.array(v) for v in x.values()]
+    return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(values, names=list(x)))
+
+
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``spans`` of each row in order, once each, joined where they go on in the same unit; other columns as they are."""
     for batch in batches:
@@ -100,26 +122,35 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = rows_of(lists.offsets.to_numpy())
         x = dict(zip(names, (c.to_numpy() for c in lists.flatten().flatten())))
         order = np.lexsort((x["begin"], row))
-        row, x = row[order], {c: v[order] for c, v in x.items()}
-        new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (x["begin"][1:] != x["begin"][:-1])  # rows that stand twice
-        row, x = row[new], {c: v[new] for c, v in x.items()}
-        same = (row[1:] == row[:-1]) & (x["unit"][1:] == x["unit"][:-1])
-        for c in ("begin", "off"):
-            same &= x[c][1:] == x[c][:-1] + x["n"][:-1]
-        at = np.flatnonzero(np.append(True, ~same)[: len(row)])
-        size = np.add.reduceat(x["n"], at) if len(at) else x["n"]
-        x = {c: v[at] for c, v in x.items()} | {"n": size}
-        ends = pa.array(np.searchsorted(row[at], np.arange(batch.num_rows + 1)), pa.int32())
-        spans = pa.StructArray.from_arrays([pa.array(v) for v in x.values()], names=names)
+        spans = _spans(row[order], {c: v[order] for c, v in x.items()})
         others = {c: batch.column(c) for c in batch.schema.names if c != "spans"}
-        yield _table(others | {"spans": pa.ListArray.from_arrays(ends, spans)})
+        yield _table(others | {"spans": _lists(spans[0], batch.num_rows, spans[1])})
+
+
+def _walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of pieces, each piece's together, as a row of spans for each piece, or more where a batch ends within it."""
+    for batch in batches:
+        x = {c: batch.column(c).to_numpy() for c in batch.schema.names}
+        piece = [x.pop(c) for c in ("doc", "part", "start")]
+        new = np.ones(batch.num_rows, bool)
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in piece])
+        row = np.cumsum(new) - 1
+        order = np.lexsort((x["begin"], row))
+        edges = {"begin": x["begin"], "n": np.ones(len(row), np.int64)} | x
+        spans = _spans(row[order], {c: v[order] for c, v in edges.items()})
+        doc, part, start = (c[new] for c in piece)
+        yield _table({"doc": doc, "part": part, "start": start, "way": _lists(spans[0], len(doc), spans[1])})
 
 
 _SPANS = "array<struct<begin:long,n:long,unit:long,off:long>>"
-_PROOFS = pa.list_(
-    pa.struct([("unit", pa.int64()), ("off", pa.int64()), ("n", pa.int64()), ("own", pa.bool_()), ("sha", pa.binary())])
-)
+_DIGEST = ["sha0", "sha1", "sha2", "sha3"]
+_TO_SPACE = bytes(0x20 if 0x09 <= x <= 0x0D else x for x in range(256))
+
+
+def _spaced(text: bytes) -> bytes:
+    """The words of a text, joined by one space."""
+    text = text.translate(_TO_SPACE).strip(b" ")
+    return b" ".join(text.split()) if b"  " in text else text
 
 
 def _cut(k: int, with_text: bool):
@@ -127,43 +158,51 @@ def _cut(k: int, with_text: bool):
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = {c: (batch.column(c).offsets.to_numpy(), batch.column(c).values.flatten()) for c in ("spans", "asked")}
-            lists = {c: (edges, [x.to_numpy() for x in values]) for c, (edges, values) in lists.items()}
-            texts = batch.column("text")
-            out = {"n_words": [], "n_removed": [], "kept_sha256": [], "kept": [], "proofs": []}
-            for i in range(batch.num_rows):
-                words = (texts[i].as_py() or "").encode().split()
-                proofs, gone = [], None
-                for which, (edges, (begin, n, unit, off)) in lists.items():
-                    lo, hi = edges[i], edges[i + 1]
-                    if lo == hi:
-                        continue
-                    if which == "spans":
-                        turns = np.zeros(len(words) + 1, np.int64)
-                        np.add.at(turns, begin[lo:hi], 1)
-                        np.add.at(turns, begin[lo:hi] + n[lo:hi] + (k - 1), -1)
-                        gone = np.cumsum(turns[:-1]) > 0
-                    for j in range(lo, hi):
-                        said = b" ".join(words[begin[j] : begin[j] + n[j] + k - 1])
-                        sha = hashlib.sha256(said).digest()
-                        proofs.append({"unit": unit[j], "off": off[j], "n": n[j], "own": which == "spans", "sha": sha})
-                kept = b" ".join(words if gone is None else [words[j] for j in np.flatnonzero(~gone)])
-                out["n_words"].append(len(words))
-                out["n_removed"].append(0 if gone is None else int(gone.sum()))
+            lists = [batch.column(c) for c in ("spans", "asked")]
+            rows = [rows_of(x.offsets.to_numpy()) for x in lists]
+            own = np.repeat([True, False], [len(x) for x in rows])
+            order = np.argsort(np.concatenate(rows), kind="stable")
+            row, own = np.concatenate(rows)[order], own[order]
+            values = [[c.to_numpy() for c in x.flatten().flatten()] for x in lists]
+            begin, n, unit, off = (np.concatenate(x)[order] for x in zip(*values))
+            end = begin + n + (k - 1)
+            edges = np.searchsorted(row, np.arange(batch.num_rows + 1)).tolist()
+            out = {"n_words": [], "n_removed": [], "kept_sha256": [], "kept": []}
+            shas = []
+            for i, text in enumerate(batch.column("text").cast(pa.binary())):
+                kept = _spaced(text.as_py() or b"")
+                total, removed = kept.count(b" ") + 1 if kept else 0, 0
+                lo, hi = edges[i], edges[i + 1]
+                if lo < hi:
+                    gaps = np.flatnonzero(np.frombuffer(kept, np.uint8) == 0x20)
+                    starts, ends = np.append(0, gaps + 1), np.append(gaps, len(kept))
+                    for at, to in zip(starts[begin[lo:hi]].tolist(), ends[end[lo:hi] - 1].tolist()):
+                        shas.append(hashlib.sha256(kept[at:to]).digest())
+                    turns = np.zeros(total + 1, np.int64)
+                    np.add.at(turns, begin[lo:hi], own[lo:hi])
+                    np.add.at(turns, end[lo:hi], -1 * own[lo:hi])
+                    stays = np.cumsum(turns[:-1]) == 0
+                    removed = total - int(np.count_nonzero(stays))
+                    if removed:
+                        turns = np.flatnonzero(np.diff(stays, prepend=False, append=False))
+                        runs = zip(starts[turns[::2]].tolist(), ends[turns[1::2] - 1].tolist())
+                        kept = b" ".join([kept[at:to] for at, to in runs])
+                out["n_words"].append(total)
+                out["n_removed"].append(removed)
                 out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
                 out["kept"].append(kept if with_text else None)
-                out["proofs"].append(proofs)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc"),
-                    batch.column("part"),
-                    pa.array(out["n_words"], pa.int64()),
-                    pa.array(out["n_removed"], pa.int64()),
-                    pa.array(out["kept_sha256"], pa.string()),
-                    pa.array(out["kept"], pa.binary()).cast(pa.string()),
-                    pa.array(out["proofs"], _PROOFS),
-                ],
-                names=["doc_id", "part", "n_words", "n_removed", "kept_sha256", "kept", "proofs"],
+            digests = np.frombuffer(b"".join(shas), np.int64).reshape(-1, len(_DIGEST))
+            proofs = {"unit": unit, "off": off, "n": n, "own": own} | {c: digests[:, i] for i, c in enumerate(_DIGEST)}
+            yield _table(
+                {
+                    "doc_id": batch.column("doc"),
+                    "part": batch.column("part"),
+                    "n_words": pa.array(out["n_words"], pa.int64()),
+                    "n_removed": pa.array(out["n_removed"], pa.int64()),
+                    "kept_sha256": pa.array(out["kept_sha256"], pa.string()),
+                    "kept": pa.array(out["kept"], pa.binary()).cast(pa.string()),
+                    "proofs": _lists(row, batch.num_rows, proofs),
+                }
             )
 
     return cut
@@ -171,37 +210,35 @@ def _cut(k: int, with_text: bool):
 
 _CUT = (
     "doc_id long, part long, n_words long, n_removed long, kept_sha256 string, kept string, "
-    "proofs array<struct<unit:long,off:long,n:long,own:boolean,sha:binary>>"
+    f"proofs array<struct<unit:long,off:long,n:long,own:boolean,{','.join(f'{c}:long' for c in _DIGEST)}>>"
 )
 
 
-def _units(segments: DataFrame) -> DataFrame:
+def _units(segments: DataFrame, *carried: str) -> DataFrame:
     """(doc, part, pos, unit, off) for paths of (doc, part, pos, n, head, tail): linked paths share a unit.
 
     A node with one path in and one out links them if the second begins where the first ends in one source document.
+    Places meet as 64-bit fingerprints: unit and offset name a place at the source whichever paths are linked, so a
+    false link changes no span's words. ``carried`` columns come along.
     """
-    none = F.lit(None).cast("long")
     spot = ["doc", "part", "pos"]
-    end = [F.col("doc"), F.col("part"), F.col("pos") + F.col("n")]
-    ends = segments.select(F.col("tail").alias("node"), *[x.alias(f"end_{c}") for x, c in zip(end, spot)], *[none.alias(c) for c in spot])
-    starts = segments.select(F.col("head").alias("node"), *[none.alias(f"end_{c}") for c in spot], *spot)
+    ends = segments.select(F.col("tail").alias("node"), F.xxhash64("doc", "part", F.col("pos") + F.col("n")).alias("place"), F.lit(1).alias("paths"))
+    starts = segments.select(F.col("head").alias("node"), F.xxhash64(*spot).alias("place"), F.lit(1 << 32).alias("paths"))
     linked = (
         ends.unionByName(starts)
         .groupBy("node")
-        .agg(
-            F.count("end_pos").alias("degree_in"),
-            F.count("pos").alias("degree_out"),
-            *[F.max(c).alias(c) for c in (*[f"end_{c}" for c in spot], *spot)],
-        )
-        .where("degree_in = 1 and degree_out = 1 and end_doc = doc and end_part = part and end_pos = pos")
-        .select(*spot, F.lit(True).alias("linked"))
+        .agg(F.sum("paths").alias("paths"), F.min("place").alias("place"), F.max("place").alias("high"))
+        .where(F.col("paths") == F.lit((1 << 32) + 1))  # one ends, one starts
+        .where("place = high")
+        .select("place", F.lit(True).alias("linked"))
     )
     inside = Window.partitionBy("doc", "part", F.floor(F.col("pos") / CELL)).orderBy("pos")
     begins = F.last(F.when(F.col("linked").isNull(), F.col("pos")), ignorenulls=True).over(inside)
     begin = F.coalesce(begins, F.first("pos").over(inside))
-    joined = segments.select("doc", "part", "pos").join(linked, ["doc", "part", "pos"], "left").withColumn("begin", begin)
+    placed = segments.select(*spot, *carried, F.xxhash64(*spot).alias("place"))
+    joined = placed.join(linked, "place", "left").withColumn("begin", begin)
     unit = F.xxhash64("doc", "part", "begin").alias("unit")
-    return joined.select("doc", "part", "pos", unit, (F.col("pos") - F.col("begin")).alias("off"))
+    return joined.select(*spot, unit, (F.col("pos") - F.col("begin")).alias("off"), *carried)
 
 
 def _first(position: str) -> list[Column]:
@@ -209,6 +246,20 @@ def _first(position: str) -> list[Column]:
     return [F.min("doc").alias("doc"), *[F.min_by(c, "doc").alias(c) for c in ("part", position)]]
 
 
+@contextmanager
+def _hashed_joins(spark: SparkSession) -> Iterator[None]:
+    """Joins of partitions up to ``HASHED`` are hashed and not sorted, unless the session has a limit of its own."""
+    key = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+    if spark.conf.get(key, "0b").rstrip("bB") != "0":
+        yield
+        return
+    spark.conf.set(key, HASHED)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key)
+
+
 def remove_repeats(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -229,6 +280,11 @@ def remove_repeats(
     """
     if not 1 <= gram <= k:
         raise ValueError("a gram lies within a window")
+    with _hashed_joins(df.sparkSession):
+        return _remove_repeats(df, id_col, text_col, k, gram, with_text, bits)
+
+
+def _remove_repeats(df: DataFrame, id_col: str, text_col: str, k: int, gram: int, with_text: bool, bits: int) -> DataFrame:
     docs = df.select(col(id_col).cast("long").alias("doc"), col(text_col).cast("string").alias("text"))
     twice = docs.where("doc is not null").groupBy("doc").count().where("count > 1").select("doc")
     if twice.isEmpty():
@@ -330,32 +386,30 @@ def remove_repeats(
         .agg(*_first("pos"), F.min("head").alias("head"), F.min("tail").alias("tail"))
         .withColumn("n", F.lit(1).cast("long"))
     )
+    ends = ["doc", "part", "pos", "n", "head", "tail", "window"]
     straight = opened.where("window is null")
-    ends = ["doc", "part", "pos", "n", "head", "tail"]
-    units = settle(_units(straight.select(*ends).unionByName(edges.select(*ends))))
-    # 6. The way of each distinct piece through the units.
-    spot = ["doc", "part", "pos"]
-    placed = settle(
-        edges.select("window", *spot).join(units, spot).select("window", F.col("doc").alias("first"), "unit", "off")
-    )
+    units = settle(_units(straight.select(*ends).unionByName(edges.select(*ends)), "n", "window"))
     discard(edges)
+    # 6. The way of each distinct piece through the units.
+    placed = units.where("window is not null").select("window", "unit", "off", F.col("doc").alias("first"))
     piece = ["doc", "part", "start"]
-    span = F.struct((F.col("pos") - F.col("start")).alias("begin"), "n", "unit", "off", "first").alias("span")
     walked = settle(
-        opened.select(*piece, "pos", "n", "window")
+        opened.where("window is not null")
+        .select(*piece, (F.col("pos") - F.col("start")).alias("begin"), "window")
         .join(placed, "window")
-        .select(*piece, span)
-        .unionByName(straight.join(units, spot).withColumn("first", F.col("doc")).select(*piece, span))
-        .groupBy(*piece)
-        .agg(F.collect_list("span").alias("spans"))
+        .select(*piece, "begin", "unit", "off", "first")
+        .repartition(*piece)
+        .sortWithinPartitions(F.xxhash64(*piece))  # one number sorts faster; pieces that share it stand in several rows
         .mapInArrow(
-            _merged,
-            "doc long, part long, start long, spans array<struct<begin:long,n:long,unit:long,off:long,first:long>>",
+            _walks,
+            "doc long, part long, start long, way array<struct<begin:long,n:long,unit:long,off:long,first:long>>",
         )
     )
-    discard(opened, placed)
+    discard(opened)
+    own = F.struct(F.lit(0).cast("long").alias("begin"), "n", "unit", "off", F.col("doc").alias("first"))
+    whole = units.where("window is null").select("doc", "part", F.col("pos").alias("start"), F.array(own).alias("way"))
     ways = settle(
-        distinct.join(walked, piece).select("key", "path", F.col("windows").alias("n"), F.col("spans").alias("way"))
+        distinct.join(walked.unionByName(whole), piece).select("key", "path", F.col("windows").alias("n"), "way")
     )
     discard(distinct, walked)
     # 7. What each occurrence loses: the steps that came before, as spans of units.
@@ -393,8 +447,12 @@ def remove_repeats(
     discard(lists)
     # 9. Words decide: spans whose digests differ.
     proofs = out.select("doc_id", "part", F.explode("proofs").alias("p")).select("doc_id", "part", "p.*")
+    low, high = ([f(c).alias(f"{end}_{c}") for c in _DIGEST] for f, end in ((F.min, "low"), (F.max, "high")))
     false = settle(
-        proofs.groupBy("unit", "off", "n").agg(F.min("sha").alias("low"), F.max("sha").alias("high")).where("low != high").drop("low", "high")
+        proofs.groupBy("unit", "off", "n")
+        .agg(*low, *high)
+        .where(" or ".join(f"low_{c} != high_{c}" for c in _DIGEST))
+        .select("unit", "off", "n")
     )
     columns = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept"] if with_text else [])]
     if false.isEmpty():
